@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from .simhash import op3_simhash
+from .sketch import op7_sketch
 from .token_store import op1_token_store
 
 
 def queries() -> dict:
-    return {"op1_token_store": op1_token_store}
+    return {
+        "op1_token_store": op1_token_store,
+        "op3_simhash": op3_simhash,
+        "op7_sketch": op7_sketch,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
