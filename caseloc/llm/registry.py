@@ -1,17 +1,35 @@
-"""Queries of the corpus operators."""
+"""Queries of the corpus operators. None has SQL: tokenizers, hashes of shingles,
+trained models and packing are outside it; tests compare with brute force."""
 
 from __future__ import annotations
 
+from .decontaminate import op6_decontaminate
+from .langid import op10_langid
+from .packing import op4_packing
+from .pii import op2_pii
+from .quality import op9_quality
+from .secret_scan import op8_secret_scan
 from .simhash import op3_simhash
 from .sketch import op7_sketch
 from .token_store import op1_token_store
+from .toxicity import op5_toxicity
 
 
 def queries() -> dict:
     return {
-        "op1_token_store": op1_token_store,
-        "op3_simhash": op3_simhash,
-        "op7_sketch": op7_sketch,
+        run.__name__: run
+        for run in (
+            op1_token_store,
+            op2_pii,
+            op3_simhash,
+            op4_packing,
+            op5_toxicity,
+            op6_decontaminate,
+            op7_sketch,
+            op8_secret_scan,
+            op9_quality,
+            op10_langid,
+        )
     }
 
 
