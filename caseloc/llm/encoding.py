@@ -16,6 +16,8 @@ import re
 import numpy as np
 
 _SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
+#: Letters below this code point are letters in every version of Unicode.
+_LATIN_END = "\u0250"
 _WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]+)")
 
 
@@ -33,8 +35,9 @@ class _Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         if not piece or piece[0].isspace() or piece[-1].isspace():
             raise Ragged
-        found = _WORD_AND_MARKS.fullmatch(piece)
-        if found:
+        if piece.isalpha() and max(piece) < _LATIN_END:
+            ids = self.owner.word(self.lead + piece)
+        elif found := _WORD_AND_MARKS.fullmatch(piece):
             ids = self[found[1]] + self.owner.first[found[2]]
         else:
             ids = self.owner.plain(self.lead + piece)
@@ -43,8 +46,16 @@ class _Pieces(dict):
         return ids
 
 
+def _shown_bytes() -> dict[int, int]:
+    """Byte -> the character that stands for it in a byte-level vocabulary:
+    itself if it is printable, else the next free one from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in printable]
+    return {b: b for b in printable} | {b: 256 + i for i, b in enumerate(hidden)}
+
+
 class WordEncoder:
-    def __init__(self, path: str, keep: int = 1_000_000):
+    def __init__(self, path: str, keep: int = 700_000):
         """path: a ``tokenizers`` JSON file with a byte-level pre-tokenizer that
         adds no leading space. keep: pieces kept in memory, for each kind."""
         from tokenizers import Tokenizer
@@ -52,9 +63,16 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.keep = keep
+        self.shown = _shown_bytes()
         self.first, self.rest = _Pieces(self, ""), _Pieces(self, " ")
         self.line_break = self.plain("\n")
 
+    def word(self, text: str) -> bytes:
+        """Letters with a space before them or not: one piece of the
+        pre-tokenizer, so the model can encode it without the steps around it."""
+        shown = text.encode().decode("latin-1").translate(self.shown)
+        return np.array([t.id for t in self.tokenizer.model.tokenize(shown)], dtype="<u4").tobytes()
+
     def plain(self, text: str) -> bytes:
         ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
         return np.array(ids, dtype="<u4").tobytes()
