@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import table
 from .words import LOWER, SPACE, blocks, hash_spans
 
 GOOD, BAD, NONE = 1, 0, 2
@@ -173,7 +173,7 @@ def fit_labellers(patterns: list[str], counts: np.ndarray, rounds: int = 200) ->
     accuse a good document, which also fixes which class is which; Dirichlet
     smoothing keeps unseen votes possible.
     """
-    seen = np.array([[int(v) for v in p] for p in patterns]).reshape(len(patterns), len(LABELLERS))
+    seen = np.array([[int(v) for v in p] for p in patterns], dtype=np.int64).reshape(len(patterns), len(LABELLERS))
     one_hot = np.eye(3)[seen]  # pattern x labeller x vote
     share, rates = 0.8, np.empty((2, len(LABELLERS), 3))
     rates[GOOD], rates[BAD] = [0.002, 0.4, 0.598], [0.3, 0.2, 0.5]
@@ -187,7 +187,7 @@ def fit_labellers(patterns: list[str], counts: np.ndarray, rounds: int = 200) ->
         for side, w in ((GOOD, weight[0]), (BAD, weight[1])):
             total = np.einsum("p,plv->lv", w, one_hot) + 0.5
             rates[side] = total / total.sum(axis=1, keepdims=True)
-        if np.abs(before - posterior).max() < 1e-9:
+        if np.abs(before - posterior).max(initial=0) < 1e-9:
             break
     return {"share": share, "rates": rates, "posterior": dict(zip(patterns, posterior.tolist()))}
 

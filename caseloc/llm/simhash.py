@@ -321,7 +321,7 @@ def near_duplicates(
     into blocks and every pair of blocks is compared, each in its own task, so
     no link is lost and none holds more than two blocks. group_id is the
     smallest MD5 of a group, keep_id its smallest doc_id. All texts without
-    words form one group; a null text is its own node.
+    words (null, empty, blank) form one group.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_key("text").alias("node"))
