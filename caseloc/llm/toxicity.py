@@ -18,10 +18,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .words import LOWER, blocks
+from .words import LOWER, Block, blocks, hash_spans, mix
 
 #: Labelled documents that train the model, at most (about).
-SAMPLE = 8_000
+SAMPLE = 5_000
+#: Bytes of a word's beginnings that are features beside the word: offensive
+#: stems take many endings.
+STEMS = (5, 6, 7)
 BUCKETS = 1 << 20
 #: Chance of a toxic label without a toxic sentence: what labels get wrong.
 LEAK = 0.005
@@ -35,7 +38,7 @@ _BREAKS[[ord(c) for c in ".!?\n"]] = True
 
 @dataclass
 class Sentences:
-    """Words of many texts: bucket and sentence of each word, and the text,
+    """Words and stems of many texts: bucket and sentence of each, and the text,
     and the span in bytes, of each sentence."""
 
     buckets: np.ndarray
@@ -60,9 +63,9 @@ def sentences(texts: list[str | None]) -> Sentences:
             last = np.append(first[1:], len(new)) - 1
             docs = block.docs[first]
             begin = np.array([offset.get(block.first + k, 0) for k in range(len(edges))])[docs - block.first] - edges[docs - block.first]
-            parts.append(
-                ((block.hashes % np.uint64(BUCKETS)).astype(np.int64), np.cumsum(new) - 1 + count, docs, block.starts[first] + begin, block.ends[last] + begin)
-            )
+            own = (np.cumsum(new) - 1 + count).astype(np.int32)
+            buckets, owner = _features(block, own)
+            parts.append((buckets, owner, docs, block.starts[first] + begin, block.ends[last] + begin))
             count += len(first)
         tail = block.first + len(edges) - 1
         offset[tail] = offset.get(tail, 0) + len(block.data) - int(edges[-1])
@@ -71,40 +74,87 @@ def sentences(texts: list[str | None]) -> Sentences:
     return Sentences(*[np.concatenate(x) for x in zip(*parts)])
 
 
+def _features(block: Block, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the words and of their stems, and the sentence of each."""
+    length = block.ends - block.starts
+    hashes, owner = [block.hashes], [own]
+    longer = [np.flatnonzero(length > k) for k in STEMS]
+    starts = np.concatenate([block.starts[i] for i in longer])
+    ends = starts + np.repeat(STEMS, [len(i) for i in longer])
+    hashes.append(mix(hash_spans(LOWER[block.data], starts, ends) + (ends - starts).astype(np.uint64)))
+    owner += [own[i] for i in longer]
+    return (np.concatenate(hashes) % np.uint64(BUCKETS)).astype(np.int32), np.concatenate(owner)
+
+
+def _once(buckets: np.ndarray, sentence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A word counts once in a sentence."""
+    pairs = np.unique(sentence.astype(np.int64) * BUCKETS + buckets)
+    return (pairs % BUCKETS).astype(np.int32), (pairs // BUCKETS).astype(np.int32)
+
+
 def forward(s: Sentences, n: int, weights: np.ndarray, bias: float) -> tuple[np.ndarray, np.ndarray]:
     """Probability of each sentence, and of each of n texts."""
-    z = np.bincount(s.sentence, weights=weights[s.buckets], minlength=len(s.docs)) + bias
+    heavy = np.flatnonzero(weights[s.buckets])
+    buckets, sentence = _once(s.buckets[heavy], s.sentence[heavy])
+    z = np.bincount(sentence, weights=weights[buckets], minlength=len(s.docs)) + bias
     p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     clean = np.bincount(s.docs, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=n)
     return p, 1 - (1 - LEAK) * np.exp(clean)
 
 
-def fit(s: Sentences, labels: np.ndarray, epochs: int = 250, rate: float = 0.1, sparsity: float = 3e-5, least_docs: int = 3):
-    """Noisy-or likelihood by full-batch Adam with soft thresholding; (weights, bias)."""
+def fit(
+    texts: list[str | None],
+    labels: np.ndarray,
+    epochs: int = 300,
+    rate: float = 0.1,
+    sparsity: float = 1e-4,
+    least_docs: int = 3,
+    least_lift: float = 1.2,
+    chunk: int = 250,
+):
+    """Noisy-or likelihood by full-batch Adam with soft thresholding at zero, so
+    few words have a weight and none a negative one; (weights, bias).
+
+    Only features that are commoner in toxic texts can have a weight, so a first
+    pass counts texts by feature and a second keeps those. Both go by chunks.
+    """
     weights, bias = np.zeros(BUCKETS), -6.0
     n = len(labels)
-    if not n or not len(s.buckets):
+    if not n or not labels.any():
         return weights, bias
-    seen = np.unique(s.buckets * np.int64(n) + s.docs[s.sentence])
-    known = np.flatnonzero(np.bincount(seen // n, minlength=BUCKETS) >= least_docs)
-    place = np.full(BUCKETS, -1, dtype=np.int64)
+    seen, toxic = np.zeros(BUCKETS, dtype=np.int64), np.zeros(BUCKETS, dtype=np.int64)
+    for lo in range(0, n, chunk):
+        s = sentences(texts[lo : lo + chunk])
+        pairs = np.unique(s.docs[s.sentence] * np.int64(BUCKETS) + s.buckets)
+        seen += np.bincount(pairs % BUCKETS, minlength=BUCKETS)
+        toxic += np.bincount((pairs % BUCKETS)[labels[lo + pairs // BUCKETS] == 1], minlength=BUCKETS)
+    known = np.flatnonzero((toxic >= least_docs) & (toxic > least_lift * labels.mean() * seen))
+    place = np.full(BUCKETS, -1, dtype=np.int32)
     place[known] = np.arange(len(known))
-    col = place[s.buckets]
-    row, col = s.sentence[col >= 0], col[col >= 0]
+    rows, cols, docs, count = [], [], [], 0
+    for lo in range(0, n, chunk):
+        s = sentences(texts[lo : lo + chunk])
+        use = np.flatnonzero(place[s.buckets] >= 0)
+        buckets, row = _once(s.buckets[use], s.sentence[use])
+        rows.append(row + np.int32(count))
+        cols.append(place[buckets])
+        docs.append(s.docs.astype(np.int32) + lo)
+        count += len(s.docs)
+    row, col, doc = np.concatenate(rows), np.concatenate(cols), np.concatenate(docs)
     w = np.zeros(len(known))
     m, v, mb, vb = np.zeros(len(known)), np.zeros(len(known)), 0.0, 0.0
     for t in range(1, epochs + 1):
-        z = np.bincount(row, weights=w[col], minlength=len(s.docs)) + bias
+        z = np.bincount(row, weights=w[col], minlength=count) + bias
         p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-        clean = (1 - LEAK) * np.exp(np.bincount(s.docs, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=n))
+        clean = (1 - LEAK) * np.exp(np.bincount(doc, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=n))
         pull = np.where(labels == 1, -clean / np.maximum(1 - clean, 1e-9), 1.0) / n
-        g = pull[s.docs] * p
+        g = pull[doc] * p
         grad = np.bincount(col, weights=g[row], minlength=len(known))
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         mb, vb = 0.9 * mb + 0.1 * g.sum(), 0.99 * vb + 0.01 * g.sum() ** 2
         step = rate / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
         w = w - step * (m / (1 - 0.9**t))
-        w = np.sign(w) * np.maximum(np.abs(w) - step * sparsity, 0)
+        w = np.maximum(w - step * sparsity, 0)  # words are evidence for, never against
         bias -= rate * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.99**t)) + 1e-6)
     weights[known] = w
     return weights, bias
@@ -131,7 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     # At most about ``sample`` ids: small by its parameter.
     rows = texts.join(F.broadcast(usable), "doc_id").dropDuplicates(["doc_id"]).select("text", "toxic").limit(2 * sample).toPandas()
-    return fit(sentences(rows["text"].tolist()), rows["toxic"].to_numpy())
+    return fit(rows["text"].tolist(), rows["toxic"].to_numpy())
 
 
 def score_texts(docs: DataFrame, model, offending: float = 0.5) -> DataFrame:
