@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.session import kept
 from ..functions.text import occurrences, tokens
 
 RUN = r"[a-z0-9_.$-]+"
@@ -57,7 +58,13 @@ def token_counts(wanted: DataFrame, posted: DataFrame) -> DataFrame:
     return found.join(posted, "run").groupBy("token", "path").agg(F.sum(F.col("k") * F.col("n")).alias("n"))
 
 
-def search_files(queries: DataFrame, files: DataFrame, limit: int = 20) -> DataFrame:
+def text_counts(queries: DataFrame, files: DataFrame) -> DataFrame:
+    """(token, path, n) for all tokens of the queries: the part of a search that
+    can be shared, written once for several uses."""
+    return kept(token_counts(query_tokens(queries).select("token").distinct(), postings(files)), "token-counts")
+
+
+def search_files(queries: DataFrame, files: DataFrame, limit: int = 20, counts: DataFrame | None = None) -> DataFrame:
     """(query_id, rank, path, score): the best files for each query_id.
 
     8 x weight for a token in the path, weight x min(12, count) for one in the
@@ -66,22 +73,21 @@ def search_files(queries: DataFrame, files: DataFrame, limit: int = 20) -> DataF
     """
     wanted = query_tokens(queries)
     distinct = wanted.select("token").distinct()
-    posted = postings(files)
-    in_text = token_counts(distinct, posted).select("token", "path", F.least("n", F.lit(12)).cast("double").alias("times"))
+    counts = text_counts(queries, files) if counts is None else counts
+    in_text = counts.select("token", "path", F.least("n", F.lit(12)).cast("double").alias("times"))
     in_path = token_counts(distinct, postings(files.select("path", F.col("path").alias("text")))).select(
         "token", "path", F.lit(8.0).alias("times")
     )
     scored = wanted.join(in_text.unionByName(in_path), "token").select("query_id", "path", (F.col("weight") * F.col("times")).alias("score"))
-    phrases = phrase_hits(queries, files, wanted, in_text).select("query_id", "path", F.lit(5.0).alias("score"))
+    phrases = phrase_hits(queries, files, in_text).select("query_id", "path", F.lit(5.0).alias("score"))
     total = scored.unionByName(phrases).groupBy("query_id", "path").agg(F.round(F.sum("score"), 6).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "path")
     return total.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query_id", "rank", "path", "score")
 
 
-def phrase_hits(queries: DataFrame, files: DataFrame, wanted: DataFrame, in_text: DataFrame) -> DataFrame:
+def phrase_hits(queries: DataFrame, files: DataFrame, in_text: DataFrame) -> DataFrame:
     """(query_id, phrase, path): files that hold a whole query text. Only files
-    with every token of the query_id's single text are opened; texts of a
-    query_id with several are tested by the tokens of each."""
+    with every token of a text are opened."""
     phrases = queries.select("query_id", F.trim(F.lower("query")).alias("phrase")).where(F.length("phrase") > 4)
     need = phrases.select("query_id", "phrase", F.explode(F.array_distinct(tokens("phrase"))).alias("token"))
     sizes = need.groupBy("query_id", "phrase").agg(F.count("*").alias("need"))
@@ -226,8 +232,8 @@ def beam_prune(hits: DataFrame, lanes: dict[str, int], budget: int) -> DataFrame
     own = hits.withColumn("n", F.row_number().over(by_lane)).where(F.col("n") <= limit).select("instance_id", "item", "n", number.alias("lane"))
     first = best.select("instance_id", "item", "n", "lane").unionByName(own).groupBy("instance_id", "item").agg(F.min(F.struct("lane", "n")).alias("place"))
     fill = Window.partitionBy("instance_id").orderBy("place", "item")
-    kept = first.withColumn("k", F.row_number().over(fill)).where(F.col("k") <= budget)
-    return kept.join(total, ["instance_id", "item"]).select("instance_id", "item", "score")
+    full = first.withColumn("k", F.row_number().over(fill)).where(F.col("k") <= budget)
+    return full.join(total, ["instance_id", "item"]).select("instance_id", "item", "score")
 
 
 def scoped(files: DataFrame, scope: DataFrame) -> DataFrame:

@@ -37,10 +37,9 @@ ranked AS (SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query
 def flagship(spark, sf_dir):
     """Each passage's files ranked and scored against the files that hold it."""
     passages, corpus = _passages(spark, sf_dir), files(spark, sf_dir)
-    ranked = S.search_files(passages, corpus, 15).select(F.col("query_id").alias("instance_id"), "rank", F.col("path").alias("item"))
-    wanted = S.query_tokens(passages)
-    counts = S.token_counts(wanted.select("token").distinct(), S.postings(corpus))
-    holding = S.phrase_hits(passages, corpus, wanted, counts).select(F.col("query_id").alias("instance_id"), F.col("path").alias("item"))
+    counts = S.text_counts(passages, corpus)
+    ranked = S.search_files(passages, corpus, 15, counts).select(F.col("query_id").alias("instance_id"), "rank", F.col("path").alias("item"))
+    holding = S.phrase_hits(passages, corpus, counts).select(F.col("query_id").alias("instance_id"), F.col("path").alias("item"))
     instances = passages.select(F.col("query_id").alias("instance_id"))
     scores = M.rank_metrics(instances, ranked, holding)
     return scores.select("instance_id", "gold_count", "pred_count", "acc@1", "acc@5", "recall@15", "mrr@15", "map@15", "set_f1@10")
