@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.session import kept
 from ..operators import metrics as M
 from ..operators import search as S
 from .views import FILES_SQL, files, load
@@ -39,7 +40,8 @@ def flagship(spark, sf_dir):
     passages, corpus = _passages(spark, sf_dir), files(spark, sf_dir)
     counts = S.text_counts(passages, corpus)
     ranked = S.search_files(passages, corpus, 15, counts).select(F.col("query_id").alias("instance_id"), "rank", F.col("path").alias("item"))
-    holding = S.phrase_hits(passages, corpus, counts).select(F.col("query_id").alias("instance_id"), F.col("path").alias("item"))
+    ranked = kept(ranked, "ranked")
+    holding = kept(S.phrase_hits(passages, corpus, counts).select(F.col("query_id").alias("instance_id"), F.col("path").alias("item")), "gold")
     instances = passages.select(F.col("query_id").alias("instance_id"))
     scores = M.rank_metrics(instances, ranked, holding)
     return scores.select("instance_id", "gold_count", "pred_count", "acc@1", "acc@5", "recall@15", "mrr@15", "map@15", "set_f1@10")
