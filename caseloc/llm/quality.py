@@ -23,7 +23,7 @@ from .words import LOWER, SPACE, blocks, hash_spans
 
 GOOD, BAD, NONE = 1, 0, 2
 #: Documents whose features train the scorer, at most (about).
-SAMPLE = 6_000
+SAMPLE = 4_000
 BUCKETS = 1 << 16
 #: A document is rejected below this score. Very short texts have little evidence
 #: either way and score between it and 0.5, so they stay.
@@ -217,21 +217,22 @@ def _sample_rows(posterior: dict[str, float], fallback: float):
     return run
 
 
-def fit_scorer(ids: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray, epochs: int = 150, rate: float = 0.5, decay: float = 1e-6):
-    """Logistic regression on soft labels by full-batch Adam; (weights, bias)."""
+def fit_scorer(counts: np.ndarray, flat: np.ndarray, vals: np.ndarray, labels: np.ndarray, epochs: int = 150, rate: float = 0.5, decay: float = 1e-6):
+    """Logistic regression on soft labels by full-batch Adam; (weights, bias).
+
+    counts: features of each text; flat and vals: their ids and values in a row.
+    """
     weights, bias = np.zeros(WIDTH), 0.0
     if not len(labels):
         return weights, bias
-    rows = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
-    flat = np.concatenate(ids).astype(np.int64) if len(ids) else np.zeros(0, np.int64)
-    vals = np.concatenate(values) if len(values) else np.zeros(0)
+    rows = np.repeat(np.arange(len(labels), dtype=np.int32), counts)
     # Either class has the same total weight.
     good = labels.sum()
     balance = np.where(labels > 0.5, 0.5 / max(good, 1), 0.5 / max(len(labels) - good, 1))
     balance /= balance.sum()
     m, v, mb, vb = np.zeros(WIDTH), np.zeros(WIDTH), 0.0, 0.0
     for t in range(1, epochs + 1):
-        z = np.bincount(rows, weights=weights[flat] * vals, minlength=len(ids)) + bias
+        z = np.bincount(rows, weights=weights[flat] * vals, minlength=len(labels)) + bias
         g = balance * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - labels)
         grad = np.bincount(flat, weights=g[rows] * vals, minlength=WIDTH) + decay * weights
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
@@ -254,8 +255,14 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> dict:
     # Copies of one text count once, or a large group of them could fill the sample.
     chosen = chosen.dropDuplicates(["text"])
     rows = chosen.mapInArrow(_sample_rows(model["posterior"], model["share"]), "ids array<int>, vals array<float>, label double")
-    found = rows.limit(4 * sample).toPandas()
-    model["weights"], model["bias"] = fit_scorer(found["ids"].tolist(), found["vals"].tolist(), found["label"].to_numpy())
+    found = rows.limit(4 * sample).toArrow().combine_chunks()
+    ids, vals = (found.column(c).combine_chunks() for c in ("ids", "vals"))
+    ids, vals = (x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in (ids, vals))
+    model["weights"], model["bias"] = fit_scorer(
+        np.diff(ids.offsets.to_numpy()), ids.flatten().to_numpy(), vals.flatten().to_numpy(), found.column("label").to_numpy()
+    )
+    del found, ids, vals
+    pa.default_memory_pool().release_unused()
     return model
 
 

@@ -16,9 +16,9 @@ Two users of this idea:
   member loses no component and the rows stay linear.
 * ``near_duplicates``: documents with a similarity of 0.8 or more on five-word
   shingles. That is about 15 % of differing bits, far beyond an exact key, so a
-  long ring (256 bits of two-word features) offers chains of three equal 8-bit
-  segments at all 32 places, and the full check is the Hamming distance of
-  2048-bit fingerprints of the five-word shingles.
+  long ring (512 bits of two-word features) offers chains of three equal 8-bit
+  segments at all 64 places, and the full check is the Hamming distance of
+  4096-bit fingerprints of the five-word shingles.
 """
 
 from __future__ import annotations
@@ -56,7 +56,7 @@ def shingle_hashes(text: str | None, words: int) -> np.ndarray:
     return np.array(hashes, dtype=np.uint64)
 
 
-def majority_bits(hashes: np.ndarray, columns: int = 1, block: int = 1 << 14) -> np.ndarray:
+def majority_bits(hashes: np.ndarray, columns: int = 1, block: int = 1 << 12) -> np.ndarray:
     """``columns`` 64-bit words; a bit is 1 if set in over half the hashes. The
     first word uses the hashes as they are, the others mixes of them."""
     counts = np.zeros(64 * columns, dtype=np.int64)
@@ -225,21 +225,30 @@ def fingerprint_components(docs: DataFrame, words: int = 3, distance: int = 2) -
 
 # --- near-duplicates at a shingle similarity ---------------------------------
 
-RING_WORDS, FULL_WORDS = 4, 32
+RING_WORDS, FULL_WORDS = 8, 64
 
 
-def _sketch_rows(shingle_words: int, ring_words: int, full_words: int, feature_words: int):
+def _chain_keys(ring: np.ndarray, chain: int) -> np.ndarray:
+    """For each byte of the ring its place and the ``chain`` bytes from there on."""
+    around = ring.astype(">u8").view(np.uint8).astype(np.int64)
+    keys = np.arange(len(around), dtype=np.int64)
+    for i in range(chain):
+        keys = keys << 8 | np.roll(around, -i)
+    return keys
+
+
+def _sketch_rows(shingle_words: int, feature_words: int, chain: int):
     def run(batches):
         for batch in batches:
-            ring, full = [], []
+            keys, full = [], []
             for found in word_hashes(batch.column(1).to_pylist()):
-                wide = majority_bits(np.unique(shingles(found, shingle_words)), full_words)
-                fine = majority_bits(np.unique(shingles(found, feature_words)), ring_words)
-                ring.append(fine.view(np.int64).tolist())
+                wide = majority_bits(np.unique(shingles(found, shingle_words)), FULL_WORDS)
+                fine = majority_bits(np.unique(shingles(found, feature_words)), RING_WORDS)
+                keys.append(_chain_keys(fine, chain))
                 full.append(wide.tobytes())
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)), 8 * RING_WORDS)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(ring, type=pa.list_(pa.int64())), pa.array(full, type=pa.binary())],
-                names=["node", "ring", "full"],
+                [batch.column(0), lists.cast(pa.list_(pa.int64())), pa.array(full, type=pa.binary())], names=["node", "keys", "full"]
             )
 
     return run
@@ -253,7 +262,7 @@ def allowed_bits(similarity: float, bits: int, slack: float = 0.0) -> int:
 
 
 def _bucket_links(limit: int):
-    """Sorted rows (bucket, node, full) -> a spanning forest of each bucket's links."""
+    """Sorted rows (bucket, id, full) -> a spanning forest of each bucket's links."""
 
     def links(nodes: list, wide: np.ndarray):
         n = len(nodes)
@@ -285,7 +294,7 @@ def _bucket_links(limit: int):
 
     def out_of(whole, edges):
         stop = int(edges[-1])
-        nodes = whole.column("node").slice(0, stop).to_pylist()
+        nodes = whole.column("id").slice(0, stop).to_pylist()
         wide = np.frombuffer(b"".join(whole.column("full").slice(0, stop).to_pylist()), dtype=np.uint64).reshape(stop, -1)
         sizes = np.diff(edges)
         found = []
@@ -297,7 +306,7 @@ def _bucket_links(limit: int):
             found += links(nodes[lo : lo + size], wide[lo : lo + size])
         if found:
             yield pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in found], type=pa.string()), pa.array([x[1] for x in found], type=pa.string())], names=["a", "b"]
+                [pa.array([x[0] for x in found], type=pa.int64()), pa.array([x[1] for x in found], type=pa.int64())], names=["a", "b"]
             )
 
     return run
@@ -310,64 +319,53 @@ def near_duplicates(
     feature_words: int = 2,
     chain: int = 3,
     bucket_cap: int = 1_024,
-    slack: float = 1.0,
+    slack: float = 1.5,
 ) -> DataFrame:
     """(doc_id, text_md5, group_id, keep_id): one row for each distinct pair of
     doc_id and text.
 
     Exact copies share a node (the MD5 of their text). Nodes that share a chain
-    of ``chain`` equal segments at one of the 32 places of the ring are compared
+    of ``chain`` equal segments at one of the 64 places of the ring are compared
     by the full Hamming check. A bucket of more than ``bucket_cap`` nodes is cut
     into blocks and every pair of blocks is compared, each in its own task, so
     no link is lost and none holds more than two blocks. group_id is the
     smallest MD5 of a group, keep_id its smallest doc_id. All texts without
     words (null, empty, blank) form one group.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_key("text").alias("node"))
+    # Ids are fixed by the writing, and shorter than keys of texts in the shuffles below.
     sketches = written(
-        rows.select("node", "text").mapInArrow(
-            _sketch_rows(shingle_words, RING_WORDS, FULL_WORDS, feature_words), "node string, ring array<long>, full binary"
-        ).dropDuplicates(["node"]),
+        rows.select("node", "text")
+        .mapInArrow(_sketch_rows(shingle_words, feature_words, chain), "node string, keys array<long>, full binary")
+        .dropDuplicates(["node"])
+        .withColumn("id", F.monotonically_increasing_id()),
         "near-sketches",
     )
-    places = 8 * RING_WORDS
-    picks = []
-    for s in range(places):
-        key = F.lit(s).cast("long")
-        for i in range(chain):
-            at = (s + i) % places
-            byte = F.shiftrightunsigned(F.element_at("ring", at // 8 + 1), 56 - 8 * (at % 8)).bitwiseAND(F.lit(255))
-            key = F.shiftleft(key, 8).bitwiseOR(byte)
-        picks.append(key)
-    keys = sketches.select("node", F.explode(F.array(*picks)).alias("key"))
+    keys = sketches.select("id", F.explode("keys").alias("key"))
     sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / bucket_cap).cast("int")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     members = (
         keys.join(sizes, "key")
-        .select("key", "node", blocks.alias("blocks"))
+        .select("key", "id", blocks.alias("blocks"))
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(
-            F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"),
-            "node",
-        )
+        .select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "id")
     )
     ready = (
-        members.join(sketches.select("node", "full"), "node")
-        .select("bucket", "node", "full")
+        members.join(sketches.select("id", "full"), "id")
+        .select("bucket", "id", "full")
         .repartition("bucket")
-        .sortWithinPartitions("bucket", "node")
+        .sortWithinPartitions("bucket", "id")
     )
     limit = allowed_bits(similarity, 64 * FULL_WORDS, slack)
-    edges = ready.mapInArrow(_bucket_links(limit), "a string, b string")
-    roots = connected_components(edges)
+    roots = connected_components(ready.mapInArrow(_bucket_links(limit), "a long, b long"))
     ids = written(rows.select("doc_id", "node").distinct(), "near-ids")
-    nodes = ids.groupBy("node").agg(F.min("doc_id").alias("low"))
-    grouped = nodes.join(roots, "node", "left").withColumn("group_id", F.coalesce("root", "node")).select("node", "low", "group_id")
-    kept = grouped.groupBy("group_id").agg(F.min("low").alias("keep_id"), F.min_by("node", F.struct(F.col("low").isNull().alias("no_id"), "low", "node")).alias("keep_node"))
-    by_node = grouped.join(kept, "group_id").select("node", "group_id", "keep_id", "keep_node")
+    nodes = ids.groupBy("node").agg(F.min("doc_id").alias("low")).join(sketches.select("node", "id"), "node")
+    grouped = nodes.join(roots.withColumnRenamed("node", "id"), "id", "left").select("node", "low", F.coalesce("root", "id").alias("root"))
+    first = F.min_by("node", F.struct(F.col("low").isNull().alias("no_id"), "low", "node"))
+    kept = grouped.groupBy("root").agg(F.min("node").alias("group_id"), F.min("low").alias("keep_id"), first.alias("keep_node"))
+    by_node = grouped.join(kept, "root").select("node", "group_id", "keep_id", "keep_node")
     return ids.join(by_node, "node").select("doc_id", F.col("node").alias("text_md5"), "group_id", "keep_id", "keep_node")
 
 
