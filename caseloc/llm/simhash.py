@@ -15,10 +15,9 @@ Two users of this idea:
   within two bits of everything else there, so a star around the smallest
   member loses no component and the rows stay linear.
 * ``near_duplicates``: documents with a similarity of 0.8 or more on five-word
-  shingles. That is about 15 % of differing bits, far beyond an exact key, so a
-  long ring (512 bits of two-word features) offers chains of three equal 8-bit
-  segments at all 64 places, and the full check is the Hamming distance of
-  4096-bit fingerprints of the five-word shingles.
+  shingles. That is about 15 % of differing bits, far beyond an exact key, so
+  no fingerprint is used there: an exact prefix join on the rarest shingles
+  finds the pairs and their whole sets decide.
 """
 
 from __future__ import annotations
@@ -225,141 +224,180 @@ def fingerprint_components(docs: DataFrame, words: int = 3, distance: int = 2) -
 
 # --- near-duplicates at a shingle similarity ---------------------------------
 
-RING_WORDS, FULL_WORDS = 8, 64
+#: Texts (about) whose shingle counts set the order of shingles, and shingles that get a count.
+SAMPLE, COMMON = 20_000, 100_000
+#: Classes of shingles that a set has counts of; slots by which rows are looked up in a broadcast.
+CLASSES, SLOTS, FULL = 64, 1 << 18, (1 << 16) - 1
+#: A text without words: the set of this one value, so that all such texts are alike.
+_NO_WORDS = np.zeros(1, dtype=np.uint64)
 
 
-def _chain_keys(ring: np.ndarray, chain: int) -> np.ndarray:
-    """For each byte of the ring its place and the ``chain`` bytes from there on."""
-    around = ring.astype(">u8").view(np.uint8).astype(np.int64)
-    keys = np.arange(len(around), dtype=np.int64)
-    for i in range(chain):
-        keys = keys << 8 | np.roll(around, -i)
-    return keys
+def _shingle_sets(texts: list[str | None], words: int):
+    """For each text its distinct shingles, sorted."""
+    for found in word_hashes(texts):
+        yield np.unique(shingles(found, words)) if len(found) else _NO_WORDS
 
 
-def _sketch_rows(shingle_words: int, feature_words: int, chain: int):
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)))
+
+
+def _set_rows(words: int):
+    """(key, text) -> (key, its shingles)."""
+
+    def run(batches):
+        for batch in batches:
+            sets = list(_shingle_sets(batch.column(1).to_pylist(), words))
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(sets)], names=[batch.schema.names[0], "shingles"])
+
+    return run
+
+
+def prefix_size(n: int, similarity: float) -> int:
+    """Two sets of this similarity have a member in common among the first so
+    many of each, in any order that both follow."""
+    return n - math.ceil(similarity * n - 1e-9) + 1
+
+
+def _prefix_rows(words: int, similarity: float, common: np.ndarray, counts: np.ndarray):
+    """(node, text) -> (node, n, classes, keys): the size of the set of shingles,
+    its counts by class and its prefix, rare shingles first. common: sorted,
+    with their counts."""
+
     def run(batches):
         for batch in batches:
-            keys, full = [], []
-            for found in word_hashes(batch.column(1).to_pylist()):
-                wide = majority_bits(np.unique(shingles(found, shingle_words)), FULL_WORDS)
-                fine = majority_bits(np.unique(shingles(found, feature_words)), RING_WORDS)
-                keys.append(_chain_keys(fine, chain))
-                full.append(wide.tobytes())
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)), 8 * RING_WORDS)
+            sizes, classes, keys = [], [], []
+            for found in _shingle_sets(batch.column(1).to_pylist(), words):
+                size = prefix_size(len(found), similarity)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, found), len(common) - 1)
+                    found = found[np.argsort(np.where(common[at] == found, counts[at], 0), kind="stable")]
+                sizes.append(len(found))
+                by_class = np.bincount((found % np.uint64(CLASSES)).astype(np.int64), minlength=CLASSES)
+                classes.append(np.minimum(by_class, FULL).astype(np.uint16).tobytes())
+                keys.append(found[:size])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), lists.cast(pa.list_(pa.int64())), pa.array(full, type=pa.binary())], names=["node", "keys", "full"]
+                [batch.column(0), pa.array(sizes, type=pa.int32()), pa.array(classes, type=pa.binary()), _lists(keys)],
+                names=["node", "n", "classes", "keys"],
             )
 
     return run
 
 
-def allowed_bits(similarity: float, bits: int, slack: float = 0.0) -> int:
-    """Differing bits expected of two sets with this Jaccard similarity (their
-    cosine is 2s/(1+s)), plus ``slack`` standard deviations."""
-    p = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
-    return math.floor(bits * p + slack * math.sqrt(bits * p * (1 - p)))
+def common_shingles(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles with at least five places in a sample of ``rows`` (node, text),
+    sorted, and how many. They only set an order: a shingle that is missed costs
+    time and loses no pair."""
+    share = min(1.0, SAMPLE / max(1, rows.count()))
+    some = rows.where(F.pmod(F.xxhash64("node"), F.lit(1_000_000)) < F.lit(math.ceil(share * 1_000_000)))
+    each = some.mapInArrow(_set_rows(words), "node string, shingles array<long>").select(F.explode("shingles").alias("s"))
+    found = each.groupBy("s").agg(F.count("*").alias("k")).where("k >= 5").orderBy(F.desc("k"), "s").limit(COMMON).toArrow()
+    common, counts = found.column("s").to_numpy().astype(np.int64).view(np.uint64), found.column("k").to_numpy()
+    order = np.argsort(common)
+    return common[order], counts[order]
 
 
-def _bucket_links(limit: int):
-    """Sorted rows (bucket, id, full) -> a spanning forest of each bucket's links."""
+def _may_be_alike(similarity: float) -> Column:
+    """Sizes, and places of a shared shingle, that leave room for the overlap."""
+    n, m, i, j = F.col("l.n"), F.col("r.n"), F.col("l.pos"), F.col("r.pos")
+    overlap = F.least(i, j) + 1 + F.least(n - i, m - j) - 1
+    return (F.least(n, m) >= F.greatest(n, m) * similarity - 1e-6) & (overlap * (1 + similarity) >= (n + m) * similarity - 1e-6)
 
-    def links(nodes: list, wide: np.ndarray):
-        n = len(nodes)
-        label = np.arange(n)
-        for i in range(n - 1):
-            near = np.flatnonzero(np.bitwise_count(wide[i + 1 :] ^ wide[i]).sum(axis=1) <= limit) + i + 1
-            if len(near):
-                met = np.unique(label[np.append(near, i)])
-                if len(met) > 1:
-                    label[np.isin(label, met)] = met[0]
-        return [(nodes[label[j]], nodes[j]) for j in range(n) if label[j] != j]
+
+def _room(similarity: float):
+    """(a, b, x, y) -> (a, b) whose counts by class leave room for the overlap;
+    a full count is no bound."""
 
     def run(batches):
-        held: list[pa.RecordBatch] = []
         for batch in batches:
-            held.append(batch)
-            whole = pa.Table.from_batches(held)
-            bucket = whole.column("bucket").to_numpy()
-            changes = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
-            if not len(changes):
-                continue
-            yield from out_of(whole, np.concatenate([[0], changes]))
-            held = whole.slice(int(changes[-1])).combine_chunks().to_batches()
-        if held:
-            whole = pa.Table.from_batches(held)
-            bucket = whole.column("bucket").to_numpy()
-            edges = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
-            yield from out_of(whole, np.concatenate([[0], edges, [len(bucket)]]))
-
-    def out_of(whole, edges):
-        stop = int(edges[-1])
-        nodes = whole.column("id").slice(0, stop).to_pylist()
-        wide = np.frombuffer(b"".join(whole.column("full").slice(0, stop).to_pylist()), dtype=np.uint64).reshape(stop, -1)
-        sizes = np.diff(edges)
-        found = []
-        twos = edges[:-1][sizes == 2]
-        if len(twos):
-            close = np.bitwise_count(wide[twos] ^ wide[twos + 1]).sum(axis=1) <= limit
-            found += [(nodes[i], nodes[i + 1]) for i in twos[close].tolist()]
-        for lo, size in zip(edges[:-1][sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-            found += links(nodes[lo : lo + size], wide[lo : lo + size])
-        if found:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in found], type=pa.int64()), pa.array([x[1] for x in found], type=pa.int64())], names=["a", "b"]
-            )
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, CLASSES).astype(np.int64) for k in (2, 3))
+            overlap, total = np.minimum(x, y).sum(1), x.sum(1) + y.sum(1)
+            full = (np.maximum(x, y) == FULL).any(1)
+            yield batch.select([0, 1]).filter(pa.array(full | (overlap * (1 + similarity) >= total * similarity - 1e-6)))
 
     return run
 
 
-def near_duplicates(
-    docs: DataFrame,
-    similarity: float = 0.8,
-    shingle_words: int = 5,
-    feature_words: int = 2,
-    chain: int = 3,
-    bucket_cap: int = 1_024,
-    slack: float = 1.5,
-) -> DataFrame:
+def _alike(pairs: DataFrame, rows: DataFrame, sketches: DataFrame, similarity: float, words: int) -> DataFrame:
+    """The ``pairs`` (a, b) whose sets of shingles have this similarity."""
+    counts = [sketches.select(F.col("id").alias(k), F.col("classes").alias(v)) for k, v in (("a", "x"), ("b", "y"))]
+    close = pairs.join(counts[0], "a").join(counts[1], "b").select("a", "b", "x", "y").mapInArrow(_room(similarity), "a long, b long")
+    close = written(close, "near-close")
+    ids = close.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    nodes = written(sketches.select("id", "node").join(ids, "id", "left_semi"), "near-nodes")
+    # Most rows are in no pair; the slots keep nearly all of those out of the shuffle.
+    slot = F.pmod(F.xxhash64("node"), F.lit(SLOTS)).alias("slot")
+    some = rows.select("node", "text", slot).join(F.broadcast(nodes.select(slot).distinct()), "slot", "left_semi")
+    texts = some.select("node", "text").dropDuplicates(["node"]).join(nodes, "node").select("id", "text")
+    sets = written(texts.mapInArrow(_set_rows(words), "id long, shingles array<long>"), "near-sets")
+    left, right = (sets.select(F.col("id").alias(x), F.col("shingles").alias(f"set_{x}")) for x in ("a", "b"))
+    both = close.join(left, "a").join(right, "b")
+    shared = F.size(F.array_intersect("set_a", "set_b"))
+    return written(both.where(shared / (F.size("set_a") + F.size("set_b") - shared) >= similarity).select("a", "b"), "near-pairs")
+
+
+def near_links(rows: DataFrame, sketches: DataFrame, similarity: float, words: int, bucket_cap: int) -> DataFrame:
+    """Links (a, b) between ids of ``sketches`` that keep every connected
+    component of "similarity or more" (exact Jaccard of distinct shingles).
+
+    Nodes that share a shingle of their prefixes meet. First each is compared
+    with the smallest of each meeting; then those that are not linked to the
+    same node are compared with each other, so a large group of copies needs a
+    star and not all its pairs.
+    """
+    keys = sketches.select("id", "n", F.posexplode("keys").alias("pos", "key")).repartition("key")
+    hubs = keys.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("id", "n", "pos")).alias("hub")).where("size > 1")
+    members = written(keys.join(hubs, "key"), "near-members")
+    spokes = members.select(F.col("hub").alias("l"), F.struct("id", "n", "pos").alias("r")).where(F.col("l.id") != F.col("r.id"))
+    stars = spokes.where(_may_be_alike(similarity)).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
+    starred = _alike(stars, rows, sketches, similarity, words)
+
+    labels = starred.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("label"))
+    labelled = members.where("size > 2 and id <> hub.id").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    blocks = F.ceil(F.col("size") / bucket_cap).cast("int")
+    dealt = (
+        labelled.join(mixed, "key")
+        .withColumn("blocks", blocks)
+        .withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "id", "n", "pos", "label")
+    )
+    left, right = dealt.alias("l"), dealt.alias("r")
+    together = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("key", "x", "y")]
+    apart = (F.col("l.id") < F.col("r.id")) & (F.col("l.label") != F.col("r.label"))
+    pairs = (
+        left.join(right, together[0] & together[1] & together[2] & apart & _may_be_alike(similarity))
+        .select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
+        .distinct()
+    )
+    return starred.unionByName(_alike(pairs, rows, sketches, similarity, words))
+
+
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, bucket_cap: int = 1_024) -> DataFrame:
     """(doc_id, text_md5, group_id, keep_id): one row for each distinct pair of
     doc_id and text.
 
-    Exact copies share a node (the MD5 of their text). Nodes that share a chain
-    of ``chain`` equal segments at one of the 64 places of the ring are compared
-    by the full Hamming check. A bucket of more than ``bucket_cap`` nodes is cut
-    into blocks and every pair of blocks is compared, each in its own task, so
-    no link is lost and none holds more than two blocks. group_id is the
-    smallest MD5 of a group, keep_id its smallest doc_id. All texts without
-    words (null, empty, blank) form one group.
+    Exact copies share a node (the MD5 of their text). Nodes are linked if the
+    Jaccard similarity of their sets of ``shingle_words``-word shingles (64-bit
+    hashes; a shorter text is one shingle) is ``similarity`` or more: an exact
+    prefix join finds the pairs, their whole sets decide. A meeting of more than
+    ``bucket_cap`` nodes is cut into blocks and every pair of blocks is compared
+    apart. group_id is the smallest MD5 of a group, keep_id its smallest doc_id.
+    All texts without words (null, empty, blank) form one group.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_key("text").alias("node"))
+    common, counts = common_shingles(rows.select("node", "text"), shingle_words)
     # Ids are fixed by the writing, and shorter than keys of texts in the shuffles below.
     sketches = written(
         rows.select("node", "text")
-        .mapInArrow(_sketch_rows(shingle_words, feature_words, chain), "node string, keys array<long>, full binary")
+        .mapInArrow(_prefix_rows(shingle_words, similarity, common, counts), "node string, n int, classes binary, keys array<long>")
         .dropDuplicates(["node"])
         .withColumn("id", F.monotonically_increasing_id()),
         "near-sketches",
     )
-    keys = sketches.select("id", F.explode("keys").alias("key"))
-    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    blocks = F.ceil(F.col("n") / bucket_cap).cast("int")
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    members = (
-        keys.join(sizes, "key")
-        .select("key", "id", blocks.alias("blocks"))
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "id")
-    )
-    ready = (
-        members.join(sketches.select("id", "full"), "id")
-        .select("bucket", "id", "full")
-        .repartition("bucket")
-        .sortWithinPartitions("bucket", "id")
-    )
-    limit = allowed_bits(similarity, 64 * FULL_WORDS, slack)
-    roots = connected_components(ready.mapInArrow(_bucket_links(limit), "a long, b long"))
+    roots = connected_components(near_links(rows, sketches, similarity, shingle_words, bucket_cap))
     ids = written(rows.select("doc_id", "node").distinct(), "near-ids")
     nodes = ids.groupBy("node").agg(F.min("doc_id").alias("low")).join(sketches.select("node", "id"), "node")
     grouped = nodes.join(roots.withColumnRenamed("node", "id"), "id", "left").select("node", "low", F.coalesce("root", "id").alias("root"))

@@ -158,6 +158,48 @@ def test_near_duplicates_find_edited_copies(spark, odd, nothing):
     assert simhash.drop_near_duplicates(nothing).count() == 0
 
 
+def _groups_by_brute_force(rows, limit=0.8, width=5):
+    def cut(text):
+        w = text.lower().split()
+        return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))}
+
+    sets = {d: cut(t) for d, t in rows}
+    root = {d: d for d in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and root[a] != root[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= limit:
+                low, high = sorted((root[a], root[b]))
+                root = {d: low if r == high else r for d, r in root.items()}
+    return root
+
+
+@pytest.mark.parametrize("cap", [1_024, 3])
+def test_near_duplicates_equal_brute_force(spark, cap):
+    rng = random.Random(11)
+    rows, line = [], prose(rng, 12)
+    add = lambda text: rows.append((len(rows), text))
+    for base in range(30):  # a passage appended, replaced or cut: similarity 0.74 to 0.86
+        text = prose(rng, 200).split()
+        add(" ".join(text))
+        for n in (35, 40, 46, 48, 50, 60):
+            add(" ".join(text) + " " + prose(rng, n))
+        add(" ".join(text[:90]) + " " + prose(rng, 18) + " " + " ".join(text[108:]))
+        add(" ".join(text[40:]))
+        add(line + " " + " ".join(text[:60]) + " " + line)
+    for n in (3, 5, 8, 9, 10):  # short texts and one word more
+        text = prose(rng, n)
+        add(text)
+        add(text + " more")
+    centre = prose(rng, 300).split()  # a large group, not all within reach of its first
+    for i in range(40):
+        copy = list(centre)
+        for p in rng.sample(range(300), rng.randrange(14)):
+            copy[p] = f"z{rng.randrange(9_999)}"
+        add(" ".join(copy))
+    found = {r.doc_id: r.keep_id for r in simhash.near_duplicates(spark.createDataFrame(rows, SCHEMA), bucket_cap=cap).collect()}
+    assert found == _groups_by_brute_force(rows)
+
+
 # --- sketches ------------------------------------------------------------------
 
 
