@@ -55,13 +55,17 @@ def _shown_bytes() -> dict[int, int]:
 
 
 class WordEncoder:
-    def __init__(self, path: str, keep: int = 700_000):
+    def __init__(self, path: str, keep: int = 700_000, special: bool = False):
         """path: a ``tokenizers`` JSON file with a byte-level pre-tokenizer that
-        adds no leading space. keep: pieces kept in memory, for each kind."""
+        adds no leading space. keep: pieces kept in memory, for each kind.
+        special: a special token's text has that token's id, as by default in
+        the library; else it is text like any other."""
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
+        added = self.tokenizer.get_added_tokens_decoder().values() if special else ()
+        self.special = [t.content for t in added]
         self.keep = keep
         self.shown = _shown_bytes()
         self.first, self.rest = _Pieces(self, ""), _Pieces(self, " ")
@@ -81,6 +85,8 @@ class WordEncoder:
         """Ids of the whole text, as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
+        if any(s in text for s in self.special):
+            return self.plain(text)
         first, rest = self.first, self.rest
         try:
             lines = []
@@ -105,9 +111,9 @@ class WordEncoder:
 
 
 @functools.cache
-def word_encoder(path: str) -> WordEncoder:
+def word_encoder(path: str, special: bool = False) -> WordEncoder:
     """One encoder for each Python worker."""
-    return WordEncoder(path)
+    return WordEncoder(path, special=special)
 
 
 def default_tokenizer_path() -> str:

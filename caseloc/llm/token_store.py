@@ -30,7 +30,7 @@ def _encode_rows(path: str, end_id: int):
         from pyspark import TaskContext
 
         part, start = TaskContext.get().partitionId(), 0
-        encoder = word_encoder(path)
+        encoder = word_encoder(path, special=True)
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             ids = batch.column(0)

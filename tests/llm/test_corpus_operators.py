@@ -56,6 +56,19 @@ def test_encoder_equals_the_library():
         assert np.frombuffer(fast.encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
+def test_token_store_keeps_special_tokens(spark):
+    texts = ["<|endoftext|>", "a<|endoftext|>b", "a <|endoftext|> b", "<|endoftext|><|endoftext|>\n x", "<|endoftext| >", "plain  words"]
+    path, name = new_path(spark, "tokens"), encoding.default_tokenizer_path()
+    token_store.write_tokens(spark.createDataFrame(list(enumerate(texts)), SCHEMA), path, name, partitions=2)
+    rows = sorted(map(tuple, token_store.checksums(spark, path).collect()))
+    plain, at = Tokenizer.from_file(name), 0
+    for (doc_id, text), row in zip(enumerate(texts), rows, strict=True):
+        ids = plain.encode(text, add_special_tokens=False).ids + [0]
+        assert row == (doc_id, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+    assert plain.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
+
+
 def test_token_store_reads_back(spark, odd, nothing):
     path = new_path(spark, "tokens")
     token_store.write_tokens(odd, path, encoding.default_tokenizer_path(), partitions=3)
