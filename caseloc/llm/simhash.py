@@ -224,10 +224,12 @@ def fingerprint_components(docs: DataFrame, words: int = 3, distance: int = 2) -
 
 # --- near-duplicates at a shingle similarity ---------------------------------
 
-#: Texts (about) whose shingle counts set the order of shingles, and shingles that get a count.
-SAMPLE, COMMON = 20_000, 100_000
-#: Classes of shingles that a set has counts of; slots by which rows are looked up in a broadcast.
-CLASSES, SLOTS, FULL = 64, 1 << 18, (1 << 16) - 1
+#: Texts whose shingle counts set the order of shingles (about, at least, and at least one in SHARE), and shingles that get a count.
+SAMPLE, SHARE, COMMON = 20_000, 50, 1_000_000
+#: Slots by which rows are looked up in a broadcast; counts of shingles end here.
+SLOTS, FULL = 1 << 18, 127
+#: A meeting of more nodes is first cut down by stars, in at most so many rounds.
+HOT, ROUNDS = 16, 8
 #: A text without words: the set of this one value, so that all such texts are alike.
 _NO_WORDS = np.zeros(1, dtype=np.uint64)
 
@@ -260,42 +262,46 @@ def prefix_size(n: int, similarity: float) -> int:
     return n - math.ceil(similarity * n - 1e-9) + 1
 
 
-def _prefix_rows(words: int, similarity: float, common: np.ndarray, counts: np.ndarray):
-    """(node, text) -> (node, n, classes, keys): the size of the set of shingles,
-    its counts by class and its prefix, rare shingles first. common: sorted,
-    with their counts."""
+def _prefix_rows(words: int, similarity: float, shared):
+    """(node, text) -> (node, n, last, keys): the size of the set of shingles,
+    its prefix, rare shingles first, and the place of the prefix's last one in
+    the order. shared: a broadcast of common shingles, sorted, and their counts."""
 
     def run(batches):
+        common, counts = shared.value
         for batch in batches:
-            sizes, classes, keys = [], [], []
+            sizes, lasts, keys = [], [], []
             for found in _shingle_sets(batch.column(1).to_pylist(), words):
                 size = prefix_size(len(found), similarity)
+                sizes.append(len(found))
+                order = np.zeros(len(found), dtype=np.uint64)
                 if len(common):
                     at = np.minimum(np.searchsorted(common, found), len(common) - 1)
-                    found = found[np.argsort(np.where(common[at] == found, counts[at], 0), kind="stable")]
-                sizes.append(len(found))
-                by_class = np.bincount((found % np.uint64(CLASSES)).astype(np.int64), minlength=CLASSES)
-                classes.append(np.minimum(by_class, FULL).astype(np.uint16).tobytes())
+                    order = np.where(common[at] == found, counts[at], 0).astype(np.uint64)
+                    first = np.argsort(order, kind="stable")[:size]
+                    found, order = found[first], order[first]
+                lasts.append(int(order[size - 1] << np.uint64(56) | found[size - 1] >> np.uint64(8)))
                 keys.append(found[:size])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, type=pa.int32()), pa.array(classes, type=pa.binary()), _lists(keys)],
-                names=["node", "n", "classes", "keys"],
+                [batch.column(0), pa.array(sizes, type=pa.int32()), pa.array(lasts, type=pa.int64()), _lists(keys)],
+                names=["node", "n", "last", "keys"],
             )
 
     return run
 
 
 def common_shingles(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles with at least five places in a sample of ``rows`` (node, text),
+    """Shingles with at least two places in a sample of ``rows`` (node, text),
     sorted, and how many. They only set an order: a shingle that is missed costs
     time and loses no pair."""
-    share = min(1.0, SAMPLE / max(1, rows.count()))
+    total = max(1, rows.count())
+    share = min(1.0, max(SAMPLE, total / SHARE) / total)
     some = rows.where(F.pmod(F.xxhash64("node"), F.lit(1_000_000)) < F.lit(math.ceil(share * 1_000_000)))
     each = some.mapInArrow(_set_rows(words), "node string, shingles array<long>").select(F.explode("shingles").alias("s"))
-    found = each.groupBy("s").agg(F.count("*").alias("k")).where("k >= 5").orderBy(F.desc("k"), "s").limit(COMMON).toArrow()
+    found = each.groupBy("s").agg(F.count("*").alias("k")).where("k >= 2").orderBy(F.desc("k"), "s").limit(COMMON).toArrow()
     common, counts = found.column("s").to_numpy().astype(np.int64).view(np.uint64), found.column("k").to_numpy()
     order = np.argsort(common)
-    return common[order], counts[order]
+    return common[order], np.minimum(counts[order], FULL).astype(np.uint8)
 
 
 def _may_be_alike(similarity: float) -> Column:
@@ -305,26 +311,22 @@ def _may_be_alike(similarity: float) -> Column:
     return (F.least(n, m) >= F.greatest(n, m) * similarity - 1e-6) & (overlap * (1 + similarity) >= (n + m) * similarity - 1e-6)
 
 
-def _room(similarity: float):
-    """(a, b, x, y) -> (a, b) whose counts by class leave room for the overlap;
-    a full count is no bound."""
+def _have_room(similarity: float) -> Column:
+    """Pairs whose k shared prefix shingles leave room for the overlap: of the
+    set whose prefix ends first, all other shared shingles are behind it."""
 
-    def run(batches):
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, CLASSES).astype(np.int64) for k in (2, 3))
-            overlap, total = np.minimum(x, y).sum(1), x.sum(1) + y.sum(1)
-            full = (np.maximum(x, y) == FULL).any(1)
-            yield batch.select([0, 1]).filter(pa.array(full | (overlap * (1 + similarity) >= total * similarity - 1e-6)))
+    def behind(n: Column) -> Column:
+        return F.ceil(similarity * n - 1e-9) - 1
 
-    return run
+    n, m = behind(F.col("n")), behind(F.col("m"))
+    rest = F.when(F.col("l_last") < F.col("r_last"), n).when(F.col("l_last") > F.col("r_last"), m).otherwise(F.greatest(n, m))
+    return (F.col("k") + rest) * (1 + similarity) >= (F.col("n") + F.col("m")) * similarity - 1e-6
 
 
 def _alike(pairs: DataFrame, rows: DataFrame, sketches: DataFrame, similarity: float, words: int) -> DataFrame:
-    """The ``pairs`` (a, b) whose sets of shingles have this similarity."""
-    counts = [sketches.select(F.col("id").alias(k), F.col("classes").alias(v)) for k, v in (("a", "x"), ("b", "y"))]
-    close = pairs.join(counts[0], "a").join(counts[1], "b").select("a", "b", "x", "y").mapInArrow(_room(similarity), "a long, b long")
-    close = written(close, "near-close")
-    ids = close.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    """The written ``pairs`` (a, b) whose whole sets of shingles have this
+    similarity."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     nodes = written(sketches.select("id", "node").join(ids, "id", "left_semi"), "near-nodes")
     # Most rows are in no pair; the slots keep nearly all of those out of the shuffle.
     slot = F.pmod(F.xxhash64("node"), F.lit(SLOTS)).alias("slot")
@@ -332,47 +334,86 @@ def _alike(pairs: DataFrame, rows: DataFrame, sketches: DataFrame, similarity: f
     texts = some.select("node", "text").dropDuplicates(["node"]).join(nodes, "node").select("id", "text")
     sets = written(texts.mapInArrow(_set_rows(words), "id long, shingles array<long>"), "near-sets")
     left, right = (sets.select(F.col("id").alias(x), F.col("shingles").alias(f"set_{x}")) for x in ("a", "b"))
-    both = close.join(left, "a").join(right, "b")
+    both = pairs.join(left, "a").join(right, "b")
     shared = F.size(F.array_intersect("set_a", "set_b"))
     return written(both.where(shared / (F.size("set_a") + F.size("set_b") - shared) >= similarity).select("a", "b"), "near-pairs")
 
 
+def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return members.withColumn("label", F.col("id"))
+    return members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+
+
 def near_links(rows: DataFrame, sketches: DataFrame, similarity: float, words: int, bucket_cap: int) -> DataFrame:
     """Links (a, b) between ids of ``sketches`` that keep every connected
     component of "similarity or more" (exact Jaccard of distinct shingles).
 
-    Nodes that share a shingle of their prefixes meet. First each is compared
-    with the smallest of each meeting; then those that are not linked to the
-    same node are compared with each other, so a large group of copies needs a
-    star and not all its pairs.
+    Nodes that share a shingle of their prefixes meet. In a large meeting one
+    node is a hub: first that with the most large meetings, which has the fewest
+    shingles of its own, later another in each round. Every node is compared
+    with the hub it meets most, if they are not connected, so a group of copies
+    needs some stars and not all its pairs. Rounds end when they connect few. Then all
+    nodes that meet and are not connected yet are paired; how many shingles of
+    their prefixes are the same, and where the prefixes end, rules nearly all
+    pairs out that are not alike, without a loss; whole sets decide.
     """
-    keys = sketches.select("id", "n", F.posexplode("keys").alias("pos", "key")).repartition("key")
-    hubs = keys.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("id", "n", "pos")).alias("hub")).where("size > 1")
-    members = written(keys.join(hubs, "key"), "near-members")
-    spokes = members.select(F.col("hub").alias("l"), F.struct("id", "n", "pos").alias("r")).where(F.col("l.id") != F.col("r.id"))
-    stars = spokes.where(_may_be_alike(similarity)).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
-    starred = _alike(stars, rows, sketches, similarity, words)
-
-    labels = starred.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("label"))
-    labelled = members.where("size > 2 and id <> hub.id").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    keys = sketches.select("id", "n", "last", F.posexplode("keys").alias("pos", "key")).repartition("key")
+    sizes = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    members = written(keys.join(sizes, "key"), "near-members")
+    links = labels = None
+    hot = members.where(F.col("size") > HOT)
+    hot = written(hot.join(hot.groupBy("id").agg(F.count("*").alias("degree")), "id"), "near-hot")
+    for turn in range(ROUNDS):
+        own = _labelled(hot, labels)
+        first = F.struct(-F.col("degree"), "id") if turn == 0 else F.struct(F.xxhash64("id", F.lit(turn)), "id")
+        hubs = own.groupBy("key").agg(
+            F.min_by(F.struct("id", "n", "pos", "label"), first).alias("l"), F.min("label").alias("low"), F.max("label").alias("high")
+        )
+        spokes = own.select("key", F.struct("id", "n", "pos", "label").alias("r")).join(hubs.where("low <> high").select("key", "l"), "key")
+        met = spokes.where((F.col("l.label") != F.col("r.label")) & _may_be_alike(similarity))
+        often = met.groupBy(F.col("r.id").alias("b"), F.col("l.id").alias("a")).agg(F.count("*").alias("k"))
+        stars = written(often.groupBy("b").agg(F.max_by("a", F.struct("k", "a")).alias("a")).select("a", "b"), "near-stars")
+        tried = stars.count()
+        if not tried:
+            break
+        found = _alike(stars, rows, sketches, similarity, words)
+        links = found if links is None else links.unionByName(found)
+        if found.count() * 20 < tried:
+            labels = None if links.isEmpty() else _components(links)
+            break
+        labels = _components(links)
+
+    labelled = _labelled(members, labels)
+    if labels is not None:
+        mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+        labelled = labelled.join(mixed, "key", "left_semi")
     blocks = F.ceil(F.col("size") / bucket_cap).cast("int")
     dealt = (
-        labelled.join(mixed, "key")
-        .withColumn("blocks", blocks)
+        labelled.withColumn("blocks", blocks)
         .withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "id", "n", "pos", "label")
+        .select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "n", "last", "pos", "label")
     )
     left, right = dealt.alias("l"), dealt.alias("r")
-    together = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("key", "x", "y")]
+    together = (F.col("l.key") == F.col("r.key")) & (F.col("l.x") == F.col("r.x")) & (F.col("l.y") == F.col("r.y"))
+    once = (F.least("l.own", "r.own") == F.col("l.x")) & (F.greatest("l.own", "r.own") == F.col("l.y"))
     apart = (F.col("l.id") < F.col("r.id")) & (F.col("l.label") != F.col("r.label"))
+    facts = [F.col("l.n").alias("n"), F.col("r.n").alias("m"), F.col("l.last").alias("l_last"), F.col("r.last").alias("r_last")]
     pairs = (
-        left.join(right, together[0] & together[1] & together[2] & apart & _may_be_alike(similarity))
-        .select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
-        .distinct()
+        left.join(right, together & once & apart & _may_be_alike(similarity))
+        .select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), *facts)
+        .groupBy("a", "b", "n", "m", "l_last", "r_last")
+        .agg(F.count("*").alias("k"))
+        .where(_have_room(similarity))
+        .select("a", "b")
     )
-    return starred.unionByName(_alike(pairs, rows, sketches, similarity, words))
+    found = _alike(written(pairs, "near-close"), rows, sketches, similarity, words)
+    return found if links is None else links.unionByName(found)
+
+
+def _components(links: DataFrame) -> DataFrame:
+    return written(connected_components(links).select(F.col("node").alias("id"), F.col("root").alias("label")), "near-labels")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, bucket_cap: int = 1_024) -> DataFrame:
@@ -388,11 +429,12 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle_words: int
     All texts without words (null, empty, blank) form one group.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_key("text").alias("node"))
-    common, counts = common_shingles(rows.select("node", "text"), shingle_words)
+    common = common_shingles(rows.select("node", "text"), shingle_words)
+    shared = docs.sparkSession.sparkContext.broadcast(common)  # at most COMMON shingles
     # Ids are fixed by the writing, and shorter than keys of texts in the shuffles below.
     sketches = written(
         rows.select("node", "text")
-        .mapInArrow(_prefix_rows(shingle_words, similarity, common, counts), "node string, n int, classes binary, keys array<long>")
+        .mapInArrow(_prefix_rows(shingle_words, similarity, shared), "node string, n int, last long, keys array<long>")
         .dropDuplicates(["node"])
         .withColumn("id", F.monotonically_increasing_id()),
         "near-sketches",
