@@ -2,17 +2,23 @@
 
 Each entity has a key "type|canonical form", so spellings of one entity (case of
 an address, layout of a telephone number, a name with or without a given name)
-share a surrogate: coreference survives. A surrogate is drawn from a keyed hash
-of the entity and has its type, script, gender and format. Draws are then
-checked over the whole corpus: a surrogate that another entity holds, or that is
-itself an entity of the corpus, is drawn anew, until all are distinct.
-
-Only mentions are exploded and shuffled; texts without any are passed through,
-and texts with some are joined once with their own few surrogates.
+share a surrogate over the whole corpus: coreference survives. A surrogate is
+drawn from a keyed hash of the entity and has its type, script, gender and
+format. Draws are checked over the whole corpus: a surrogate that another entity
+holds, or that is itself an entity of the corpus, is drawn anew until all are
+distinct. Where the corpus uses more than an eighth of the values of a format
+(192.168.0.0/16 has 65,536), its entities go through a keyed permutation of that
+format instead: distinct by construction and never the entity itself, but it may
+be some other entity's value, which such a format can't avoid.
+
+A text is cut once by the patterns and written with its parts; only mentions are
+exploded and shuffled, and a text with some is joined once with its surrogates.
 """
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,9 +26,12 @@ from .common import table, written
 
 #: Production callers pass their own secret key.
 DEFAULT_KEY = "caseloc-surrogates"
-ATTEMPTS = 24
-#: From this attempt on, a short local part or name is lengthened.
-WIDEN_AT = 4
+#: From this attempt on, a local part or name gets longer with each attempt.
+WIDEN_AT, LONGER = 4, 8
+#: A format is permuted if the corpus uses more than this share of its values.
+DENSE = 1 / 8
+#: Stands at the cuts of a text; a text that has it is cut by a slower way.
+MARK = "\ufdd0"
 
 # Titles by gender, and given names by script and gender.
 MALE_TITLES = "Mr|Herr|Monsieur|Señor|Sr|Господин|господин|Г-н|г-н|Κύριος|κύριος"
@@ -57,7 +66,10 @@ PHONE = (
 )
 NAME_WORD = r"\p{Lu}\p{L}[\p{L}'’\-]*"
 NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{MALE_TITLES}|{FEMALE_TITLES}|{NEUTRAL_TITLES})\.? {NAME_WORD}(?: {NAME_WORD}){{0,2}}"
-PATTERN = "|".join((EMAIL, IBAN, IP, NUMBER, SSN, PHONE, NAME))
+PATTERN = "|".join((EMAIL, IBAN, IP, SSN, NUMBER, PHONE, NAME))
+_UNTITLED = rf"(?!(?:{MALE_TITLES}|{FEMALE_TITLES}|{NEUTRAL_TITLES})\.? ){NAME_WORD}"
+#: Capitalised words, which may be a name that the text has with a title elsewhere.
+CAPITALS = rf"(?<![\p{{L}}\p{{N}}]){_UNTITLED}(?: {_UNTITLED})*(?![\p{{L}}\p{{N}}@]|[._%+\-]+[\p{{L}}\p{{N}}._%+\-]*@)"
 
 
 def _whole(m: Column, pattern: str) -> Column:
@@ -80,6 +92,7 @@ def kind_of(m: Column) -> Column:
         .when(m.startswith("+") | m.startswith("(") | _whole(m, r"\d{3}[\-.]\d{3}[\-.]\d{4}"), "phone")
         .when(_whole(m, NUMBER), "number")
         .when(_whole(m, NAME), "name")
+        .when(m.rlike(r"^\p{Lu}"), "capitals")
     )
 
 
@@ -91,27 +104,40 @@ def _gender(title: Column) -> Column:
     return F.when(title.rlike(rf"^(?:{MALE_TITLES})\.?$"), "m").when(title.rlike(rf"^(?:{FEMALE_TITLES})\.?$"), "f").otherwise("n")
 
 
-def entity_keys(m: Column) -> Column:
-    """Keys of the entities in a match: one, or one for each word of a name
-    (the last is the family name)."""
+def _plain(w: Column) -> Column:
+    """A word of a name in lower case, without a genitive ending."""
+    return F.lower(F.regexp_replace(w, "['’]s$", ""))
+
+
+def entities(m: Column) -> Column:
+    """The entities of a match, in order: structs of raw (the plain word of a
+    name), next (the word after it), gender (of a title) and key. One for most types,
+    one for each word of a name (the last is the family name; before gender is
+    settled, key lacks it), and for capitalised words one each without key."""
     kind = kind_of(m)
     words = F.split(m, " ")
-    names = F.transform(
-        F.slice(words, 2, F.size(words) - 1),
-        lambda w, i: F.concat(
-            F.when(i == F.size(words) - 2, F.lit("family")).otherwise(F.concat(F.lit("given_"), _gender(F.get(words, F.lit(0))))),
-            F.lit("|"),
-            F.lower(w),
-        ),
-    )
+    gender = _gender(F.get(words, F.lit(0)))
+
+    def word(own: Column, gender: Column, named: bool):
+        def one(w: Column, i: Column) -> Column:
+            last = i == F.size(own) - 1
+            key = F.concat(F.when(last, "family|").otherwise("given|"), _plain(w)) if named else F.lit(None).cast("string")
+            return F.struct(_plain(w).alias("raw"), _plain(F.get(own, i + 1)).alias("next"), gender.alias("gender"), key.alias("key"))
+
+        return F.transform(own, one)
+
     canonical = (
         F.when(kind == "phone", F.substring(_digits(m), -10, 10))
         .when(kind.isin("number", "ssn"), _digits(m))
         .when(kind == "iban", F.replace(m, F.lit(" "), F.lit("")))
         .otherwise(F.lower(m))
     )
-    return F.when(kind.isNull(), F.array().cast("array<string>")).when(kind == "name", names).otherwise(
-        F.array(F.concat(kind, F.lit("|"), canonical))
+    none = F.lit(None).cast("string")
+    single = F.struct(m.alias("raw"), none.alias("next"), none.alias("gender"), F.concat(kind, F.lit("|"), canonical).alias("key"))
+    return (
+        F.when(kind == "name", word(F.slice(words, 2, F.size(words) - 1), gender, True))
+        .when(kind == "capitals", word(words, none, False))
+        .otherwise(F.array(single))
     )
 
 
@@ -186,12 +212,14 @@ def draw(key: Column, attempt: Column, secret: str) -> Column:
     kind, canon = F.substring_index(key, "|", 1), F.regexp_replace(key, r"^[^|]*\|", "")
     digest = F.sha2(F.concat_ws("\u0001", F.lit(secret), key, attempt.cast("string")), 256)
     wide = attempt >= WIDEN_AT
+    more = lambda pick: F.concat(*[F.when(attempt >= WIDEN_AT + i, pick(i)).otherwise("") for i in range(LONGER)])
     stream, n = _stream(digest), F.length(canon)
     at = lambda k: F.substring(stream, k, 1)
     phone = F.concat(_not_small(at(1)), at(2), at(3), _not_small(at(4)), F.substring(stream, F.lit(5), F.greatest(n - 4, F.lit(0))))
     body = F.concat(F.substring(canon, 1, 1), F.substring(stream, F.lit(1), n - 2))
     check = ((F.lit(10) - luhn(F.concat(body, F.lit("0")))) % 10).cast("string")
-    number = F.when(luhn(canon) == 0, F.concat(body, check)).otherwise(F.concat(body, at(40)))
+    other = ((check.cast("int") + 1 + at(40).cast("int") % 9) % 10).cast("string")
+    number = F.concat(body, F.when(luhn(canon) == 0, check).otherwise(other))
     octet = lambda i: (_number_at(digest, F.lit(i)) % 256).cast("string")
     first = _number_at(digest, F.lit(4)) % 99 + F.lit(11)
     private = F.regexp_extract(canon, r"^(10|127|192\.168)\.", 1)
@@ -207,7 +235,7 @@ def draw(key: Column, attempt: Column, secret: str) -> Column:
     # The host's surrogate does not depend on the person: a shared host stays shared.
     email = F.concat(
         _same_format(local, digest),
-        F.when(wide, F.concat(*[_pick(digest, F.lit(50 + i), ALPHABETS["latin"]) for i in range(4)])).otherwise(""),
+        more(lambda i: _pick(digest, F.lit(50 + i), ALPHABETS["latin"])),
         F.lit("@"),
         _same_format(host, F.sha2(F.concat_ws("\u0001", F.lit(secret), F.lit("host"), host), 256)),
         top,
@@ -216,8 +244,7 @@ def draw(key: Column, attempt: Column, secret: str) -> Column:
     for script in ("cyrillic", "greek", "latin"):
         is_script = _script(canon) == script
         syllables = SYLLABLES[script]
-        longer = F.concat(*[_name_pick(digest, 20 + i, syllables) for i in range(2)])
-        made = F.initcap(F.concat(*[_name_pick(digest, i, syllables) for i in range(3)], F.when(wide, longer).otherwise("")))
+        made = F.initcap(F.concat(*[_name_pick(digest, i, syllables) for i in range(3)], more(lambda i: _name_pick(digest, 20 + i, syllables))))
         for gender in "mfn":
             value = _name_pick(digest, 9, GIVEN[script, gender])
             value = F.when(wide, F.concat(value, F.lit("-"), made)).otherwise(value)
@@ -236,19 +263,112 @@ def draw(key: Column, attempt: Column, secret: str) -> Column:
     )
 
 
+# --- formats with few values --------------------------------------------------
+
+
+def _classes(s: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(s, r"\d", "0"), r"[A-Za-z]", "A")
+
+
+def value_space(key: Column) -> Column:
+    """(name, size) of the format that surrogates of ``key`` are drawn from;
+    null where they can be lengthened."""
+    kind, canon = F.substring_index(key, "|", 1), F.regexp_replace(key, r"^[^|]*\|", "")
+    n, ten = F.length(canon), F.lit(10.0)
+    private = F.regexp_extract(canon, r"^(10|127|192\.168)\.", 1)
+    account = _classes(F.substring(canon, F.lit(5), n))
+    letters = F.length(F.replace(account, F.lit("0"), F.lit("")))
+    valid = luhn(canon) == 0
+    space = lambda size, *name: F.struct(F.concat_ws("|", kind, *name).alias("name"), size.cast("double").alias("size"))
+    return (
+        F.when(kind == "phone", space(64 * F.pow(ten, n - 2), n.cast("string")))
+        .when(kind == "ssn", space(F.lit(8e8)))
+        .when(kind == "number", space(F.when(valid, 1).otherwise(9) * F.pow(ten, n - 2), F.substring(canon, 1, 1), n.cast("string"), valid.cast("string")))
+        .when(kind == "ip", space(F.when(private == "192.168", 65536.0).when(private != "", 2.0**24).otherwise(99 * 2.0**24), private))
+        .when(kind == "iban", space(F.pow(ten, F.length(account) - letters) * F.pow(F.lit(26.0), letters), F.substring(canon, 1, 2), account))
+    )
+
+
+def permuted(key: Column, secret: str, rounds: int = 6) -> Column:
+    """The value that a keyed permutation of the format of ``key`` gives it.
+
+    The free digits, letters or octets are symbols. In each round those of one
+    half are turned by a hash of the other half; then the first symbol goes up
+    by one and the rounds are taken back. So different values stay different,
+    none stays what it is, and the format is kept.
+    """
+    kind, canon = F.substring_index(key, "|", 1), F.regexp_replace(key, r"^[^|]*\|", "")
+    n = F.length(canon)
+    octets = F.split(canon, r"\.")
+    fixed = F.when(canon.startswith("192.168."), 2).otherwise(1)
+    body = F.when(kind == "number", F.substring(canon, F.lit(2), n - 2)).when(kind == "iban", F.substring(canon, F.lit(5), n)).otherwise(canon)
+    is_digit = lambda c: c.rlike(r"\d")
+    chars = _chars(body)
+    values = F.when(kind == "ip", F.transform(F.slice(octets, fixed + 1, 4), lambda x: x.cast("long"))).otherwise(
+        F.transform(chars, lambda c: F.when(is_digit(c), c.cast("long")).otherwise(F.ascii(F.upper(c)).cast("long") - 65))
+    )
+    radix = lambda i: F.when(kind == "ip", 256).otherwise(F.when(is_digit(F.get(chars, i)), 10).otherwise(26))
+
+    def step(v: Column, t: Column) -> Column:
+        back = t > rounds
+        turn = F.when(back, 2 * rounds - t).otherwise(t)
+        first = lambda i: (i < F.floor(F.size(v) / 2)) == (turn % 2 == 0)
+        other = F.array_join(F.transform(F.filter(v, lambda x, i: ~first(i)), lambda x: x.cast("string")), ",")
+
+        def one(x: Column, i: Column) -> Column:
+            digest = F.sha2(F.concat_ws("\u0001", F.lit(secret), kind, turn.cast("string"), i.cast("string"), other), 256)
+            by = F.conv(F.substring(digest, 1, 12), 16, 10).cast("long")
+            return (
+                F.when(t == rounds, F.when(i == 0, F.pmod(x + 1, radix(i))).otherwise(x))
+                .when(first(i), F.pmod(x + F.when(back, -by).otherwise(by), radix(i)))
+                .otherwise(x)
+            )
+
+        return F.transform(v, one)
+
+    steps = F.array(*[F.lit(t) for t in range(2 * rounds + 1)])
+    moved = F.aggregate(steps, values, step)
+    shown = F.array_join(
+        F.transform(moved, lambda x, i: F.when((kind == "ip") | is_digit(F.get(chars, i)), x.cast("string")).otherwise(F.char(x + 65))), ""
+    )
+    # Check digits keep their distance from the valid ones, so valid stays valid.
+    check = lambda s: (10 - luhn(F.concat(s, F.lit("0")))) % 10
+    last = F.substring(canon, -1, 1).cast("int") - check(F.substring(canon, F.lit(1), n - 1))
+    number = F.concat(F.substring(canon, 1, 1), shown)
+    country = F.substring(canon, 1, 2)
+    pair = lambda account: F.lit(98) - _mod97(F.concat(country, F.lit("00"), account))
+    off = F.substring(canon, 3, 2).cast("int") - pair(body)
+    return (
+        F.when(kind == "ip", F.concat_ws(".", F.slice(octets, F.lit(1), fixed), F.transform(moved, lambda x: x.cast("string"))))
+        .when(kind == "number", F.concat(number, F.pmod(check(number) + last, F.lit(10)).cast("string")))
+        .when(kind == "iban", F.concat(country, F.lpad(F.pmod(pair(shown) + off, F.lit(100)).cast("string"), 2, "0"), shown))
+        .otherwise(shown)
+    )
+
+
 def surrogates(entities: DataFrame, secret: str = DEFAULT_KEY) -> DataFrame:
-    """(key, surrogate) for each distinct entity key, all surrogates of a type
-    distinct and none an entity of the corpus.
+    """(key, surrogate) for each distinct entity key (key), all surrogates of a
+    type distinct and none that of its own entity. Outside dense formats none is
+    an entity of the corpus.
 
     Each round draws for the entities still without a surrogate, on their table
     only; the smallest key wins a contested surrogate, the others draw again. A
-    round that leaves nobody over ends it, most often the first or second.
+    round that leaves nobody over ends it, most often the first or second; in
+    the fullest format a draw is free with a chance of 3/4 or more.
     """
     group = lambda key: F.regexp_replace(F.substring_index(key, "|", 1), "^given_.*", "given")
-    entities = written(entities.select("key").distinct(), "pii-entities")
+    entities = written(entities.select("key").distinct().withColumn("space", value_space(F.col("key"))), "pii-entities")
     taken = entities.select(group(F.col("key")).alias("kind"), F.lower(F.regexp_replace("key", r"^[^|]*\|", "")).alias("form"))
-    pending, done = entities, None
-    for attempt in range(ATTEMPTS):
+    # A dense format holds at least 8,000 entities, so there are few.
+    full = entities.where("space is not null").groupBy("space").agg(F.count("*").alias("n")).where(F.col("n") > F.col("space.size") * DENSE)
+    dense = [r["name"] for r in full.select("space.name").collect()]
+    done, pending = None, entities.select("key")
+    if dense:
+        in_dense = F.coalesce(F.col("space.name").isin(dense), F.lit(False))
+        done = written(entities.where(in_dense).select("key", permuted(F.col("key"), secret).alias("surrogate")), "pii-permuted")
+        taken = taken.unionByName(done.select(group(F.col("key")).alias("kind"), F.lower("surrogate").alias("form")))
+        pending = entities.where(~in_dense).select("key")
+    for attempt in itertools.count():
         drawn = pending.select("key", draw(F.col("key"), F.lit(attempt), secret).alias("surrogate")).select(
             "*", group(F.col("key")).alias("kind"), F.lower("surrogate").alias("form")
         )
@@ -260,13 +380,16 @@ def surrogates(entities: DataFrame, secret: str = DEFAULT_KEY) -> DataFrame:
         pending = drawn.select("key").join(won.select("key"), "key", "left_anti")
         if pending.isEmpty():
             return done
-    raise RuntimeError("surrogates are not distinct after all attempts")
+
+
+# --- texts ---------------------------------------------------------------------
 
 
 def _render(m: Column, found: Column) -> Column:
-    """The match with its entities replaced, in its own layout."""
-    kind, keys = kind_of(m), entity_keys(m)
-    own = F.element_at(found, F.get(keys, F.lit(0)))
+    """The match with its entities replaced, in its own layout. found: their
+    surrogates, in order; null where a word is no entity."""
+    kind = kind_of(m)
+    own = F.get(found, F.lit(0))
     size = F.length(own)
     # Digits are aligned at the right; a country code before them stays.
     in_layout = F.array_join(
@@ -296,23 +419,66 @@ def _render(m: Column, found: Column) -> Column:
     )
     words = F.split(m, " ")
     in_case = lambda raw, new: F.when((raw == F.upper(raw)) & (F.length(raw) > 1), F.upper(new)).otherwise(new)
-    name = F.concat_ws(
-        " ",
-        F.get(words, F.lit(0)),
-        F.array_join(F.transform(keys, lambda k, i: in_case(F.get(words, i + 1), F.element_at(found, k))), " "),
-    )
+
+    def replaced(ahead: int) -> Column:
+        def one(new: Column, i: Column) -> Column:
+            word = F.get(words, i + ahead)
+            return F.coalesce(F.concat(in_case(word, new), F.regexp_extract(word, "['’]s$", 0)), word)
+
+        return F.transform(found, one)
+
     return (
-        F.when(kind.isNull(), m)
-        .when(kind.isin("phone", "number", "ssn"), in_layout)
+        F.when(kind.isin("phone", "number", "ssn"), in_layout)
         .when(kind == "iban", spaced)
-        .when(kind == "name", name)
+        .when(kind == "name", F.concat_ws(" ", F.get(words, F.lit(0)), replaced(1)))
+        .when(kind == "capitals", F.concat_ws(" ", replaced(0)))
         .when(kind == "email", in_case(m, own))
-        .otherwise(own)
+        .when(kind.isNotNull(), own)
     )
 
 
-def _matches(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
+def _parts(text: Column, pattern: str) -> Column:
+    """The text cut at the matches: gap, match, gap, ..., gap."""
+    quick = F.split(F.regexp_replace(text, f"({pattern})", f"{MARK}$1{MARK}"), MARK, -1)
+    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    slow = F.flatten(F.zip_with(gaps, found, lambda g, m: F.when(m.isNull(), F.array(g)).otherwise(F.array(g, m))))
+    return F.when(text.contains(MARK), slow).otherwise(quick)
+
+
+def _matches(parts: Column) -> Column:
+    return F.filter(parts, lambda p, i: i % 2 == 1)
+
+
+def _keyed(cut: DataFrame) -> DataFrame:
+    """(_id, n, w, key): each word or entity of each match of ``cut``; key null
+    if it is none.
+
+    A given name's key has the gender of its title. With a neutral title it has
+    that of the same full name elsewhere in the corpus, if only one is found. A
+    name without title counts in a text that has it with one: the family name
+    alone, and words before it as they stand there.
+    """
+    found = cut.where(F.size("_parts") > 1).select("_id", F.posexplode(_matches(F.col("_parts"))).alias("n", "m"))
+    named = found.select("_id", "n", _plain(F.regexp_replace("m", r"^\S+ ", "")).alias("whole"), F.posexplode(entities(F.col("m"))).alias("w", "x"))
+    words = written(named.select("_id", "n", "w", "x.*", "whole"), "pii-words")
+    given = words.where("key like 'given|%'")
+    known = given.where("gender <> 'n'").groupBy("whole").agg(F.min("gender").alias("low"), F.max("gender").alias("high")).where("low = high")
+    neutral = given.where("gender = 'n'").join(known.select("whole", F.col("low").alias("other")), "whole", "left")
+    settled = given.where("gender <> 'n'").withColumn("other", F.col("gender")).unionByName(neutral)
+    settled = settled.withColumn(
+        "key", F.concat(F.lit("given_"), F.coalesce("other", "gender"), F.lit("|"), F.regexp_replace("key", r"^given\|", ""))
+    ).select("_id", "n", "w", "raw", "next", "key")
+    families = words.where("key like 'family|%'").groupBy("_id", "raw").agg(F.min("key").alias("family"))
+    before = settled.groupBy("_id", "raw", "next").agg(F.min("key").alias("given"))
+    untitled = (
+        words.where("key is null")
+        .select("_id", "n", "w", "raw", "next")
+        .join(families, ["_id", "raw"], "left")
+        .join(before, ["_id", "raw", "next"], "left")
+        .select("_id", "n", "w", F.coalesce("given", "family").alias("key"))
+    )
+    others = words.where("key not like 'given|%'").select("_id", "n", "w", "key")
+    return others.unionByName(settled.select("_id", "n", "w", "key")).unionByName(untitled)
 
 
 def pseudonymize(docs: DataFrame, secret: str = DEFAULT_KEY, count: str | None = None) -> DataFrame:
@@ -320,29 +486,33 @@ def pseudonymize(docs: DataFrame, secret: str = DEFAULT_KEY, count: str | None =
     ``count`` is given a column of that name with the number of mentions.
 
     Null and empty texts stay as they are. Equal texts stay equal; repeated rows
-    stay. n_chars and other columns are not touched.
+    stay; a very long text costs in proportion to its length and mentions.
+    n_chars and other columns are not touched. Names are found by a title; the
+    same name without title is replaced in the same text (in any case, with or
+    without a genitive ending), a given name alone is not. Any number of entities has surrogates; see ``surrogates``.
     """
-    packed = docs.select(F.struct("*").alias("_row"), F.col("text").cast("string").alias("_text"))
-    matched = packed.withColumn("_found", _matches(F.col("_text")))
-    has = F.coalesce(F.size("_found") > 0, F.lit(False))
-    hit = matched.where(has).withColumn("_key", F.sha2(F.col("_text").cast("binary"), 256))
-    mentions = written(
-        hit.select("_key", F.explode(F.array_distinct(F.flatten(F.transform("_found", entity_keys)))).alias("key")).distinct(),
-        "pii-mentions",
-    )
-    drawn = mentions.join(surrogates(mentions.select("key"), secret), "key")
-    # One row for each text: as many entries as the text has entities.
-    own = drawn.groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("key", "surrogate"))).alias("_new"))
-    none = F.create_map().cast("map<string,string>")
-    joined = hit.join(own, "_key", "left").withColumn("_new", F.coalesce("_new", none))
-    gaps = F.split("_text", PATTERN, -1)
-    shown = F.transform("_found", lambda m: F.coalesce(_render(m, F.col("_new")), m))
-    replaced = joined.select("_row", F.size("_found").alias("_count"), gaps.alias("_gaps"), shown.alias("_shown")).select(
-        "_row",
-        "_count",
-        F.array_join(F.flatten(F.zip_with("_gaps", "_shown", lambda g, s: F.array(g, F.coalesce(s, F.lit(""))))), "").alias("_text"),
+    rest = [c for c in docs.columns if c != "text"]
+    text = F.col("_text")
+    packed = docs.select(F.struct(*(rest or [F.lit(0)])).alias("_row"), F.col("text").cast("string").alias("_text"))
+    first = packed.withColumn("_parts", _parts(text, PATTERN))
+    with_name = F.exists(_matches(F.col("_parts")), lambda m: _whole(m, NAME))
+    again = F.when(with_name, _parts(text, f"{PATTERN}|{CAPITALS}")).otherwise(F.col("_parts"))
+    cut = written(first.select(F.monotonically_increasing_id().alias("_id"), "_row", again.alias("_parts")), "pii-cut")
+
+    keyed = written(_keyed(cut), "pii-keyed")
+    drawn = keyed.where("key is not null").join(surrogates(keyed.where("key is not null").select("key"), secret), "key")
+    every = drawn.select("_id", "n", "w", "surrogate").unionByName(
+        keyed.where("key is null").select("_id", "n", "w", F.lit(None).cast("string").alias("surrogate"))
     )
-    clean = matched.where(~has).select("_row", F.lit(0).alias("_count"), "_text")
+    # As many entries as the text has words of entities, in the order of its matches.
+    by_match = every.groupBy("_id", "n").agg(F.sort_array(F.collect_list(F.struct("w", "surrogate"))).alias("x"))
+    own = by_match.groupBy("_id").agg(F.sort_array(F.collect_list(F.struct("n", F.col("x.surrogate").alias("new")))).alias("_new"))
+    new = lambda i: F.get(F.col("_new"), F.floor(i / 2).cast("int"))["new"]
+    shown = F.transform("_parts", lambda p, i: F.when(i % 2 == 1, F.coalesce(_render(p, new(i)), p)).otherwise(p))
+    mentions = F.size(F.filter("_new", lambda x: F.exists(x["new"], lambda s: s.isNotNull())))
+    has = F.coalesce(F.size("_parts") > 1, F.lit(False))
+    replaced = cut.where(has).join(own, "_id").select("_row", mentions.alias("_count"), F.array_join(shown, "").alias("_text"))
+    clean = cut.where(~has).select("_row", F.lit(0).alias("_count"), F.get("_parts", F.lit(0)).alias("_text"))
     out = replaced.unionByName(clean)
     columns = [F.col("_text").alias(c) if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns]
     if count:
