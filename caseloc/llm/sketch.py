@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import table
+from .common import table, written
 
 K, WORDS = 128, 5
 
@@ -81,44 +81,64 @@ def as_text(sketch: Column) -> Column:
 # --- a document and the one after it -----------------------------------------
 
 
-def with_next(docs: DataFrame, columns: list[str], rows_per_bucket: int = 2_048) -> DataFrame:
-    """``docs`` with next_<column>: the values of the row that follows in
-    ascending doc_id (after the last: the first; equal doc_ids by text).
+#: Cuts by quantiles at most, whatever the number of rows; slots by which heads are looked up in a broadcast.
+CUTS, SLOTS = 1_024, 1 << 18
 
-    Rows are dealt to ranges of doc_id and each range looks ahead on its own; the
-    first rows of a range go also to the range before it. The driver sees one
-    doc_id for each range, from a column-pruned scan.
-    """
-    facts = docs.agg(F.count("*").alias("n"), F.count("doc_id").alias("ids")).first()
-    ranges = max(1, math.ceil(facts["n"] / rows_per_bucket))
+
+def _ranges(docs: DataFrame, rows_per_range: int) -> Column:
+    """Number of a range of doc_id with about ``rows_per_range`` rows, rising
+    with doc_id; null ids are in range 0. Quantiles, of which there are at most
+    ``CUTS``, are the coarse bounds; between two of them ids are cut evenly."""
+    facts = docs.agg(F.count("*").alias("n"), F.count("doc_id").alias("ids"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
+    if not facts["ids"]:
+        return F.lit(0).cast("long")
+    wanted = max(1, math.ceil(facts["n"] / rows_per_range))
+    cuts = min(CUTS, wanted)
     bounds: list[int] = []
-    if ranges > 1 and facts["ids"]:
-        cuts = [i / ranges for i in range(1, ranges)]
-        bounds = sorted(set(docs.agg(F.percentile_approx("doc_id", cuts, max(10_000, 20 * ranges))).first()[0]))
-    # The number of bounds below doc_id, in two steps of about sqrt(ranges).
+    if cuts > 1:
+        bounds = sorted(set(docs.agg(F.percentile_approx("doc_id", [i / cuts for i in range(1, cuts)], 20 * CUTS)).first()[0]))
+    fine = math.ceil(wanted / (len(bounds) + 1))
+    # The number of bounds below doc_id, in two steps of about the root of their number.
     step = max(1, math.isqrt(len(bounds)))
     groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    coarse = F.array(*[F.lit(g[-1]).cast("long") for g in groups]).cast("array<bigint>")
-    fine = F.array(*[F.array(*[F.lit(x).cast("long") for x in g]) for g in groups], F.array().cast("array<bigint>"))
-    whole = F.size(F.filter(coarse, lambda x: x < F.col("doc_id")))
-    rest = F.size(F.filter(F.get(fine, F.col("_whole")), lambda x: x < F.col("doc_id")))
-    placed = docs.withColumn("_whole", whole).withColumn(
-        "_range", F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.col("_whole") * step + rest)
-    )
-    firsts = {
-        r["_range"]: (r["low"], r["nulls"])
-        for r in placed.groupBy("_range").agg(F.min("doc_id").alias("low"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).collect()
-    }
-    used = sorted(firsts)
-    before = {r: used[i - 1] for i, r in enumerate(used)}
-    size = (used[-1] if used else 0) + 1
-    # The doc_id that begins each range (none: it begins with null ids), and the range before it.
-    low = F.array(*[F.lit(None if r not in firsts or firsts[r][1] else firsts[r][0]).cast("long") for r in range(size)])
-    prior = F.array(*[F.lit(before.get(r, 0)) for r in range(size)])
-    is_first = F.col("doc_id").eqNullSafe(F.get(low, F.col("_range")))
-    here = F.struct(F.col("_range").alias("at"), F.lit(False).alias("extra"))
-    there = F.struct(F.get(prior, F.col("_range")).alias("at"), F.lit(True).alias("extra"))
-    dealt = placed.select("*", F.inline(F.when(is_first, F.array(here, there)).otherwise(F.array(here)))).drop("_whole", "_range")
+    longs = lambda values: F.array(*[F.lit(x).cast("long") for x in values]).cast("array<bigint>")
+    whole = F.size(F.filter(longs(g[-1] for g in groups), lambda x: x < F.col("doc_id")))
+    rest = F.size(F.filter(F.get(F.array(*map(longs, groups), longs([])), whole), lambda x: x < F.col("doc_id")))
+    place = whole * step + rest
+    if fine > 1:
+        edges = [facts["low"] - 1, *bounds, facts["high"]]
+        low, high = F.get(longs(edges), place), F.get(longs(edges), place + 1)
+        share = (F.col("doc_id") - low - 1).cast("double") / F.greatest(high - low, F.lit(1)).cast("double")
+        place = place * fine + F.least(F.floor(share * fine), F.lit(fine - 1))
+    return F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(place).cast("long")
+
+
+def with_next(docs: DataFrame, columns: list[str], rows_per_range: int = 2_048, prepare=lambda df: df) -> DataFrame:
+    """prepare(docs) with next_<column>: the values of the row that follows in
+    ascending doc_id (null ids first; after the last: the first; equal doc_ids
+    by text). ``docs`` has doc_id and text; ``prepare`` may add columns.
+
+    Rows are dealt to ranges of doc_id and each range looks ahead on its own; the
+    first row of a range, its head, goes also to the range before it. Heads are
+    found on ids alone and fetched by a filter that lets few other rows through.
+    """
+    at = _ranges(docs, rows_per_range)
+    ids = docs.select("doc_id", at.alias("at"))
+    low = F.when(F.count_if(F.col("doc_id").isNull()) == 0, F.min("doc_id"))
+    # Ranges in order: within blocks of them, then over the blocks, of which there are few.
+    heads = ids.groupBy("at").agg(low.alias("low")).withColumn("block", F.expr("at div 4096"))
+    heads = written(heads, "heads")
+    inside = Window.partitionBy("block").orderBy("at")
+    ends = heads.groupBy("block").agg(F.max("at").alias("end"))
+    over = Window.orderBy("block")
+    before = ends.select("block", F.coalesce(F.lag("end").over(over), F.max("end").over(Window.partitionBy())).alias("prior_end"))
+    prior = heads.withColumn("prior", F.lag("at").over(inside)).join(before, "block").select("low", F.coalesce("prior", "prior_end").alias("at"))
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
+    wanted = prior.select(slot("low").alias("slot")).distinct()
+    some = docs.select("doc_id", "text", slot("doc_id").alias("slot")).join(F.broadcast(wanted), "slot", "left_semi")
+    found = some.select("doc_id", "text").join(prior, F.col("doc_id").eqNullSafe(F.col("low")))
+    extra = found.groupBy("at").agg(F.min(F.struct("doc_id", "text")).alias("x")).select("x.*", "at", F.lit(True).alias("extra"))
+    dealt = prepare(docs.select("doc_id", "text", at.alias("at"), F.lit(False).alias("extra"))).unionByName(prepare(extra))
     ahead = Window.partitionBy("at").orderBy("extra", F.col("doc_id").asc_nulls_first(), "text")
     looked = dealt.select("*", *[F.lead(c).over(ahead).alias(f"next_{c}") for c in columns])
     return looked.where(~F.col("extra")).drop("at", "extra")
@@ -129,7 +149,7 @@ def fingerprint_edits(docs: DataFrame, k: int = K) -> DataFrame:
     code points (rounded down) is replaced by the first as many of the next
     document. A null text counts as empty; repeated rows follow one another."""
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    looked = with_next(with_sketch(rows, "text", "sketch", k), ["text", "sketch"])
+    looked = with_next(rows, ["text", "sketch"], prepare=lambda df: with_sketch(df, "text", "sketch", k))
     n = F.char_length("text")
     cut = F.floor(n / 4).cast("int")
     edited = looked.select(

@@ -243,7 +243,7 @@ def test_next_document_over_many_ranges(spark):
     rng = random.Random(1)
     ids = rng.sample(range(10**6), 300)
     docs = spark.createDataFrame([(i, f"t{i}") for i in ids], SCHEMA)
-    got = {r.doc_id: r.next_text for r in sketch.with_next(docs, ["text"], rows_per_bucket=7).collect()}
+    got = {r.doc_id: r.next_text for r in sketch.with_next(docs, ["text"], rows_per_range=7).collect()}
     order = sorted(ids)
     assert got == {a: f"t{b}" for a, b in zip(order, order[1:] + order[:1])}
 
