@@ -50,23 +50,33 @@ class Sentences:
 
 def sentences(texts: list[str | None]) -> Sentences:
     """A word is a run of letters; a sentence ends at . ! ? or a line break.
-    Sentences without words are left out. In a text of several blocks a sentence
-    ends with its block."""
+    Sentences without words are left out. A long text comes in blocks; a sentence
+    that is open at the end of one goes on in the next."""
     parts, count = [], 0
     offset: dict[int, int] = {}  # bytes of a text in earlier blocks
+    open_doc = -1  # the text whose last sentence is still open
     for block in blocks(texts, LOWER, _LETTERS):
         edges = np.maximum(block.edges, 0)
+        breaks = np.cumsum(_BREAKS[block.data])
         if len(block.starts):
-            number = np.cumsum(_BREAKS[block.data])[block.starts]
+            number = breaks[block.starts]
             new = np.concatenate([[True], (np.diff(number) > 0) | (np.diff(block.docs) > 0)])
             first = np.flatnonzero(new)
             last = np.append(first[1:], len(new)) - 1
             docs = block.docs[first]
             begin = np.array([offset.get(block.first + k, 0) for k in range(len(edges))])[docs - block.first] - edges[docs - block.first]
-            own = (np.cumsum(new) - 1 + count).astype(np.int32)
+            starts, ends = block.starts[first] + begin, block.ends[last] + begin
+            goes_on = docs[0] == open_doc and number[0] == 0
+            if goes_on:
+                parts[-1][4][-1] = ends[0]
+                docs, starts, ends = docs[1:], starts[1:], ends[1:]
+            own = (np.cumsum(new) - 1 - int(goes_on) + count).astype(np.int32)
             buckets, owner = _features(block, own)
-            parts.append((buckets, owner, docs, block.starts[first] + begin, block.ends[last] + begin))
-            count += len(first)
+            parts.append((buckets, owner, docs, starts, ends) if len(docs) else (buckets, owner, *_merged(parts)))
+            count += len(docs)
+            open_doc = int(block.docs[-1]) if breaks[-1] == number[-1] else -1
+        elif len(breaks) and breaks[-1]:
+            open_doc = -1
         tail = block.first + len(edges) - 1
         offset[tail] = offset.get(tail, 0) + len(block.data) - int(edges[-1])
     if not parts:
@@ -74,6 +84,13 @@ def sentences(texts: list[str | None]) -> Sentences:
     return Sentences(*[np.concatenate(x) for x in zip(*parts)])
 
 
+def _merged(parts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The last part's sentences, moved to the part that follows."""
+    buckets, owner, *own = parts[-1]
+    parts[-1] = (buckets, owner, *[x[:0] for x in own])
+    return tuple(own)
+
+
 def _features(block: Block, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the words and of their stems, and the sentence of each."""
     length = block.ends - block.starts
@@ -169,7 +186,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     """(weights, bias) from labels (doc_id, toxic) of rows that are not held out.
 
     About ``sample`` labelled documents are used, chosen by the hash of doc_id;
-    if a document has several labels, the highest counts.
+    if a document has several labels, the highest counts, and if a doc_id has
+    several texts, the smallest.
     """
     usable = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where(
         "doc_id is not null and toxic is not null"
@@ -180,7 +198,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
         usable = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * sample / total))
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     # At most about ``sample`` ids: small by its parameter.
-    rows = texts.join(F.broadcast(usable), "doc_id").dropDuplicates(["doc_id"]).select("text", "toxic").limit(2 * sample).toPandas()
+    own = texts.join(F.broadcast(usable), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    rows = own.select("text", "toxic").limit(2 * sample).toPandas()
     return fit(rows["text"].tolist(), rows["toxic"].to_numpy())
 
 
