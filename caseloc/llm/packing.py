@@ -32,7 +32,7 @@ def bin_cost(capacity: int) -> float:
     return capacity + capacity**2 / 65_536 + 16.0
 
 
-SHARD_TOKENS = 4_000_000
+SHARD_TOKENS = 1_000_000
 
 
 def token_lengths(docs: DataFrame, tokenizer_path: str) -> DataFrame:
