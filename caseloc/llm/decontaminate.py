@@ -200,7 +200,8 @@ def contaminated(
     to a share of at least ``containment``.
 
     An item of fewer than ``words`` words is searched as its whole word
-    sequence; null and blank items and texts match nothing. Repeated rows of
+    sequence; null and blank items and texts match nothing; a very long text
+    is read in windows like others. Repeated rows of
     documents or items give repeated result rows only for documents; a null
     doc_id stays null. Other columns are ignored. If the items' texts have more
     than ``broadcast_bytes`` bytes in all, windows and items meet in a shuffle.

@@ -28,6 +28,8 @@ MOST_EVIDENCE = 60.0
 SMOOTHING = 5.0
 #: A soft label is not trusted further than this.
 LEAST_DOUBT = 0.01
+#: Languages at most.
+LANGUAGES = 256
 
 _LETTERS = np.zeros(256, dtype=bool)
 _LETTERS[97:123] = True
@@ -58,7 +60,8 @@ def _buckets_by_text(texts: list[str | None]) -> list[np.ndarray]:
 def trigram_model(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages in order and log P(bucket | language), from all rows of
     ``docs`` (text, lang) with a language. Each task adds up its own counts; the
-    driver gets languages times buckets numbers."""
+    driver gets languages times buckets numbers. Labels beyond the ``LANGUAGES``
+    most frequent ones are dirt and not languages."""
 
     def run(batches):
         total: dict[str, np.ndarray] = {}
@@ -73,6 +76,8 @@ def trigram_model(docs: DataFrame) -> tuple[list[str], np.ndarray]:
             )
 
     rows = docs.select(F.col("text").cast("string"), F.lower("lang").alias("lang")).where("lang is not null and text is not null")
+    common = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    rows = rows.where(F.col("lang").isin(common))
     counted = rows.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(counted["lang"].unique())
     counts = np.full((len(langs), BUCKETS), 0.5)
@@ -151,7 +156,8 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
 
     Null and empty pages are judged by their address and host alone; with no
     evidence at all the most frequent language comes out. Ties go to the first
-    language in order. Repeated rows stay and vote as often as they occur. An
+    language in order. Repeated rows stay and vote as often as they occur; of a
+    very long page all text counts, as evidence only up to ``MOST_EVIDENCE``. An
     empty ``docs`` gives null languages. Other columns are ignored.
     """
     langs, model = trigram_model(docs)

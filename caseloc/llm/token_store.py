@@ -73,7 +73,8 @@ def write_tokens(
 
     Rows are dealt by ranges of doc_id, so files are in ascending order and
     each holds a sorted run. A null text is encoded as an empty one (the end id
-    only). Repeated doc_ids all stay, in the order of their texts; a null doc_id
+    only); a very long one is a row like others and an Arrow batch of its own.
+    Repeated doc_ids all stay, in the order of their texts; a null doc_id
     comes first. Other columns are ignored.
     """
     spark = docs.sparkSession
