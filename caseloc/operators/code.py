@@ -78,26 +78,35 @@ def depths(rows: DataFrame) -> DataFrame:
     return with_net.withColumn("after", F.sum("net").over(run)).withColumn("before", F.col("after") - F.col("net"))
 
 
+def _next_at(begin: DataFrame, marks: DataFrame, keys: list[str]) -> DataFrame:
+    """begin (keys, start_line, from_line, ...) with next_line: the first line of
+    ``marks`` (keys, line_no) at or after from_line, by one sorted pass."""
+    none = F.lit(None).cast("int")
+    columns = [c for c in begin.columns if c not in keys]
+    both = begin.select(*keys, F.col("from_line").alias("_at"), F.lit(0).alias("_side"), F.struct(*columns).alias("_row"), none.alias("_mark")).unionByName(
+        marks.select(*keys, F.col("line_no").alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(begin.select(F.struct(*columns)).schema[0].dataType).alias("_row"), F.col("line_no").cast("int").alias("_mark"))
+    )
+    ahead = Window.partitionBy(*keys).orderBy("_at", "_side").rowsBetween(0, Window.unboundedFollowing)
+    return both.withColumn("next_line", F.first("_mark", True).over(ahead)).where("_side = 0").select(*keys, "_row.*", "next_line")
+
+
 def brace_entities(starts: DataFrame, rows: DataFrame, fallback: int = 80) -> DataFrame:
     """starts with end_line: the first line at or after the start where a brace
     has been opened and the depth is back at that before the start; without one
     the start plus ``fallback``.
 
-    Lines meet starts of the same file; a file's blocks are visited in order of
-    their closing lines, so the join keeps only lines that close something.
+    A line closes the levels between its deepest point and the depth after it, so
+    the end of a start is the next line that closes its level: a sorted pass over
+    both, in proportion to the braces of a file.
     """
     deep = depths(rows)
-    begin = starts.join(deep.select("path", F.col("line_no").alias("start_line"), F.col("before").alias("base"), F.col("opened").alias("own")), ["path", "start_line"])
-    closing = deep.where(F.col("line").contains("}")).select("path", F.col("line_no").alias("close_line"), F.col("after").alias("left"))
-    ends = (
-        begin.join(closing, "path")
-        .where((F.col("close_line") >= F.col("start_line")) & (F.col("left") <= F.col("base")) & ((F.col("close_line") > F.col("start_line")) | (F.col("own") > 0)))
-        .groupBy("path", "kind", "name", "start_line")
-        .agg(F.min("close_line").alias("end_line"))
-    )
-    out = starts.join(ends, ["path", "kind", "name", "start_line"], "left")
-    end = F.when(F.col("end_line") > F.col("start_line"), F.col("end_line")).otherwise(F.col("start_line") + fallback)
-    return out.withColumn("end_line", end.cast("int"))
+    begin = starts.join(deep.select("path", F.col("line_no").alias("start_line"), F.col("before").alias("level"), F.col("opened").alias("own")), ["path", "start_line"])
+    begin = begin.withColumn("from_line", F.col("start_line") + F.when(F.col("own") > 0, 0).otherwise(1))
+    peak = F.col("before") + F.col("opened")
+    marks = deep.where(F.col("line").contains("}") & (peak > F.col("after"))).select("path", "line_no", F.explode(F.sequence(F.col("after"), peak - 1)).alias("level"))
+    ends = _next_at(begin, marks, ["path", "level"])
+    end = F.when(F.col("next_line") > F.col("start_line"), F.col("next_line")).otherwise(F.col("start_line") + fallback)
+    return ends.select(*starts.columns, end.cast("int").alias("end_line"))
 
 
 def indent_entities(starts: DataFrame, rows: DataFrame, fallback: int = 80) -> DataFrame:
@@ -189,10 +198,11 @@ def source_tree_summary(files: DataFrame, top: int = 12) -> DataFrame:
     return sums.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)  # one row for each extension
 
 
-def statements(rows: DataFrame, terms: DataFrame, cap: int = 80) -> DataFrame:
-    """(path, term, line_no, kind, defined, code): lines that hold a term
-    (term, few), at most ``cap`` of each file and term."""
-    hit = rows.join(F.broadcast(terms), F.lower("line").contains(F.col("term")))
+def statements(rows: DataFrame, terms: tuple[str, ...], cap: int = 80) -> DataFrame:
+    """(path, term, line_no, kind, defined, code): lines that hold one of
+    ``terms`` (in lower case, a parameter), at most ``cap`` of each file and term."""
+    low = F.lower("line")
+    hit = rows.select("*", F.explode(F.filter(F.array(*map(F.lit, terms)), lambda t: low.contains(t))).alias("term"))
     order = Window.partitionBy("path", "term").orderBy("line_no")
     few = hit.withColumn("n", F.row_number().over(order)).where(F.col("n") <= cap)
     code = F.trim("line")
@@ -211,13 +221,32 @@ def statements(rows: DataFrame, terms: DataFrame, cap: int = 80) -> DataFrame:
 
 def def_use(rows: DataFrame, per_def: int = 12) -> DataFrame:
     """(symbol, path, def_line, use_path, use_line, relation) from statements
-    (path, line_no, defined, code): the first uses of each definition; in one
-    file a use comes at or after its definition."""
+    (path, line_no, defined, code): the first uses of each definition by path and
+    line; in one file a use comes after its definition.
+
+    Whatever the definition, its uses in other files are among the first
+    ``per_def`` of the first ``per_def`` + 1 files that have some, and those in
+    its own file are the next ones by position. So a definition meets a bounded
+    number of uses even of a symbol that all files hold.
+    """
     defs = rows.where("defined <> ''").select(F.col("defined").alias("symbol"), F.col("path").alias("def_path"), F.col("line_no").alias("def_line")).distinct()
     words = F.array_distinct(F.regexp_extract_all("code", F.lit(r"[A-Za-z_$][A-Za-z0-9_$]*"), F.lit(0)))
     uses = rows.select(F.explode(words).alias("symbol"), F.col("path").alias("use_path"), F.col("line_no").alias("use_line")).distinct()
-    same = F.col("def_path") == F.col("use_path")
-    pairs = defs.join(uses, "symbol").where(~same | (F.col("def_line") < F.col("use_line")))
+    uses = uses.join(defs.select("symbol").distinct(), "symbol", "left_semi")
+    in_file = uses.withColumn("k", F.row_number().over(Window.partitionBy("symbol", "use_path").orderBy("use_line")))
+    by_path = Window.partitionBy("symbol").orderBy("use_path")
+    few_files = uses.select("symbol", "use_path").distinct().withColumn("f", F.row_number().over(by_path)).where(F.col("f") <= per_def + 1).drop("f")
+    shared = in_file.where(F.col("k") <= per_def).join(few_files, ["symbol", "use_path"], "left_semi").drop("k")
+    others = defs.join(shared, "symbol").where("def_path <> use_path")
+    # How many uses of its file are at or before a definition, by a running count.
+    both = uses.select("symbol", F.col("use_path").alias("path"), F.col("use_line").alias("at"), F.lit(0).alias("side")).unionByName(
+        defs.select("symbol", F.col("def_path").alias("path"), F.col("def_line").alias("at"), F.lit(1).alias("side"))
+    )
+    run = Window.partitionBy("symbol", "path").orderBy("at", "side")
+    before = both.withColumn("seen", F.sum(1 - F.col("side")).over(run)).where("side = 1")
+    after = before.select("symbol", F.col("path").alias("def_path"), F.col("at").alias("def_line"), F.explode(F.sequence(F.col("seen") + 1, F.col("seen") + per_def)).alias("k"))
+    local = after.join(in_file.withColumnRenamed("use_path", "def_path"), ["symbol", "def_path", "k"]).withColumn("use_path", F.col("def_path")).drop("k")
     order = Window.partitionBy("symbol", "def_path", "def_line").orderBy("use_path", "use_line")
-    few = pairs.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_def)
+    few = others.unionByName(local).withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_def)
+    same = F.col("def_path") == F.col("use_path")
     return few.select("symbol", "def_path", "def_line", "use_path", "use_line", F.when(same, "local_def_use").otherwise("cross_file_def_use").alias("relation"))

@@ -77,30 +77,37 @@ def bounded_targets(calls: DataFrame, symbols: DataFrame, most: int = 2, distant
 
     Generic verbs give nothing. One target is taken; of several, up to ``most``
     in the caller's directory, else up to ``most`` that share a word of the
-    path, else none. The counts are taken for each (source, name).
+    path, else none. Declarations are counted by name, by name and directory,
+    and by name and word first; only callers whose counts allow it are joined
+    with declarations, so a common name makes no pairs.
     """
+    place = lambda path: (folder(path).alias("dir"), stem_tokens(path).alias("words"))
     wanted = calls.where(~F.lower("callee").isin(*GENERIC_CALLS))
-    place = lambda name: F.struct(folder(F.col(name)).alias("dir"), stem_tokens(F.col(name)).alias("words"))
-    callers = wanted.select(F.col("path").alias("source"), F.col("callee").alias("name")).distinct().withColumn("from", place("source"))
-    declared = symbols.withColumnRenamed("path", "target").withColumn("to", place("target"))
-    found = callers.join(declared, "name").where("source <> target")
-    near = F.col("from.dir") == F.col("to.dir")
-    related = F.arrays_overlap("from.words", "to.words")
-    by = Window.partitionBy("source", "name")
-    counted = (
-        found.withColumn("near", near)
-        .withColumn("related", related)
-        .withColumn("n", F.count("*").over(by))
-        .withColumn("n_near", F.sum(F.col("near").cast("int")).over(by))
-        .withColumn("n_related", F.sum(F.col("related").cast("int")).over(by))
-    )
-    unique = F.lit("unique_symbol") if distant else F.when(F.col("near") | F.col("related"), "path_resolved_unique_symbol")
-    how = (
-        F.when(F.col("n") == 1, unique)
-        .when(F.col("n_near").between(1, most), F.when(F.col("near"), "same_directory_symbol"))
-        .when(F.col("n_related").between(1, most), F.when(F.col("related"), "path_related_symbol"))
-    )
-    return counted.withColumn("how", how).where("how is not null").select("source", "name", "target", "how")
+    declared = symbols.select("name", F.col("path").alias("target"), *place(F.col("path")))
+    by_name = declared.groupBy("name").agg(F.count("*").alias("n"))
+    by_dir = declared.groupBy("name", "dir").agg(F.count("*").alias("n_near"))
+    worded = declared.select("name", "target", F.explode("words").alias("word"))
+    by_word = worded.groupBy("name", "word").agg(F.count("*").alias("n_word"))
+    own = symbols.select("name", F.col("path").alias("source"), F.lit(1).alias("own"))
+    callers = (
+        wanted.select(F.col("path").alias("source"), F.col("callee").alias("name")).distinct().select("*", *place(F.col("source")))
+        .join(by_name, "name").join(by_dir, ["name", "dir"], "left").join(own, ["name", "source"], "left").na.fill(0, ["n_near", "own"])
+        .withColumn("n", F.col("n") - F.col("own")).withColumn("n_near", F.col("n_near") - F.col("own")).where("n > 0")
+    )
+    pair = lambda one, keys: one.join(declared.select(*keys, "target", F.col("dir").alias("to_dir"), F.col("words").alias("to_words")), keys).where("source <> target")
+    close = (F.col("dir") == F.col("to_dir")) | F.arrays_overlap("words", "to_words")
+    unique = pair(callers.where("n = 1"), ["name"])
+    unique = unique.withColumn("how", F.lit("unique_symbol")) if distant else unique.where(close).withColumn("how", F.lit("path_resolved_unique_symbol"))
+    several = callers.where("n > 1")
+    near = several.where(F.col("n_near").between(1, most)).select("source", "name", "dir").join(declared.select("name", "dir", "target"), ["name", "dir"]).where("source <> target")
+    far = several.where(~F.col("n_near").between(1, most)).select("source", "name", "own", F.explode("words").alias("word")).join(by_word, ["name", "word"])
+    few = far.groupBy("source", "name").agg(F.max(F.col("n_word") - F.col("own")).alias("top")).where(F.col("top").between(1, most)).select("source", "name")
+    related = far.join(few, ["source", "name"], "left_semi").select("source", "name", "word").join(worded, ["name", "word"]).where("source <> target")
+    related = related.select("source", "name", "target").distinct()
+    counted = related.groupBy("source", "name").agg(F.count("*").alias("k")).where(F.col("k").between(1, most)).select("source", "name")
+    related = related.join(counted, ["source", "name"], "left_semi")
+    shown = lambda df, how: df.select("source", "name", "target", how.alias("how"))
+    return shown(unique, F.col("how")).unionByName(shown(near, F.lit("same_directory_symbol"))).unionByName(shown(related, F.lit("path_related_symbol")))
 
 
 def edge_summary(edges: DataFrame, paths: DataFrame | None = None) -> DataFrame:
@@ -117,7 +124,7 @@ def edge_summary(edges: DataFrame, paths: DataFrame | None = None) -> DataFrame:
 def mode_edges(edges: DataFrame, modes: DataFrame, mode: str) -> DataFrame:
     """Edges of the types of a mode (mode, edge_type); all, if it has none."""
     types = modes.where(F.col("mode") == mode).select("edge_type").distinct()
-    return edges if types.isEmpty() else edges.join(F.broadcast(types), "edge_type", "left_semi")
+    return edges if types.isEmpty() else edges.join(types, "edge_type", "left_semi")
 
 
 def node_tokens(files: DataFrame) -> DataFrame:

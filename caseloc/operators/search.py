@@ -18,6 +18,8 @@ from ..functions.text import occurrences, tokens
 
 RUN = r"[a-z0-9_.$-]+"
 GRAM = 4
+#: Beginnings of tokens that are looked up before substrings become rows, at most.
+HEADS = 20_000
 
 
 def postings(files: DataFrame, text: str = "text") -> DataFrame:
@@ -44,6 +46,10 @@ def token_runs(wanted: DataFrame, runs: DataFrame) -> DataFrame:
     heads = wanted.withColumn("gram", F.substring(F.col("token"), F.lit(1), size))
     starts = F.sequence(F.lit(1), F.greatest(F.length("run") - 1, F.lit(1)))
     grams = F.flatten(F.transform(starts, lambda i: F.array(*[F.substring(F.col("run"), i, F.lit(g)) for g in range(2, GRAM + 1)])))
+    # If they are few, only substrings that begin a token are made into rows.
+    known = [r.gram for r in heads.select("gram").distinct().limit(HEADS + 1).collect()]
+    if len(known) <= HEADS:
+        grams = F.filter(grams, lambda g: g.isin(known))
     indexed = runs.select("run", F.explode(F.array_distinct(grams)).alias("gram"))
     return (
         heads.join(indexed, "gram")
@@ -252,11 +258,11 @@ def candidate_pool(groups: dict[str, DataFrame], cap: int = 160) -> DataFrame:
     return first.withColumn("pos", F.row_number().over(order) - 1).where(F.col("pos") < cap).select("instance_id", "pos", "item")
 
 
-def read_context(lines: DataFrame, terms: DataFrame, snippets: int = 3, before: int = 3, after: int = 5) -> DataFrame:
+def read_context(lines: DataFrame, terms: tuple[str, ...], snippets: int = 3, before: int = 3, after: int = 5) -> DataFrame:
     """(path, line_no, first, last): the first matching lines of each file and
-    the lines around them. terms: (term), few and in lower case."""
+    the lines around them. terms: in lower case, a parameter of the search."""
     low = F.lower("line")
-    hit = lines.join(F.broadcast(terms), low.contains(F.col("term")), "left_semi")
+    hit = lines.where(F.exists(F.array(*map(F.lit, terms)), lambda t: low.contains(t)))
     order = Window.partitionBy("path").orderBy("line_no")
     few = hit.withColumn("n", F.row_number().over(order)).where(F.col("n") <= snippets)
     return few.select("path", "line_no", F.greatest(F.lit(1), F.col("line_no") - before).alias("first"), (F.col("line_no") + after).alias("last"))

@@ -128,7 +128,7 @@ SELECT *, row_number() OVER (ORDER BY bytes DESC, extension) AS rank FROM (SELEC
 
 def e8_statements(spark, sf_dir):
     rows = C.lines(code_files(spark, sf_dir))
-    return C.statements(rows, spark.createDataFrame([("y1",), ("p2",)], "term string"), 5)
+    return C.statements(rows, ("y1", "p2"), 5)
 
 
 E8_SQL = rf"""WITH {CODE_SQL}, t AS (SELECT unnest(['y1', 'p2']) AS term),
@@ -141,7 +141,7 @@ SELECT path, term, line_no, CASE WHEN starts_with(code, 'import') THEN 'import'
 
 def j12_def_use(spark, sf_dir):
     rows = C.lines(code_files(spark, sf_dir))
-    return C.def_use(C.statements(rows, spark.createDataFrame([("y",)], "term string"), 80))
+    return C.def_use(C.statements(rows, ("y",), 80))
 
 
 J12_SQL = rf"""WITH {CODE_SQL},
@@ -169,11 +169,11 @@ SYMBOLS_SQL = r"symbols AS (SELECT DISTINCT name, path FROM (SELECT name, path F
 
 def j3_symbol_targets(spark, sf_dir):
     rows, symbols = _symbols(spark, sf_dir)
-    return G.symbol_targets(C.calls(rows).where(F.col("callee").rlike("^p[0-9]+$") & (F.col("line_no") <= 12)), symbols)
+    return G.symbol_targets(C.calls(rows), symbols)
 
 
 J3_SQL = rf"""WITH {CODE_SQL}, {STARTS_SQL}, {SYMBOLS_SQL}, {CALLS_SQL}
-SELECT DISTINCT c.path AS source, callee AS name, s.path AS target FROM calls c JOIN symbols s ON s.name = callee AND s.path <> c.path WHERE regexp_matches(callee, '^p[0-9]+$') AND line_no <= 12"""
+SELECT DISTINCT c.path AS source, callee AS name, s.path AS target FROM calls c JOIN symbols s ON s.name = callee AND s.path <> c.path"""
 
 
 def j4_bounded_symbol(spark, sf_dir):
@@ -241,14 +241,14 @@ def g7_add_edge(spark, sf_dir):
 
 def g9_graph_expand(spark, sf_dir):
     edges = g7_add_edge(spark, sf_dir)
-    customers = load(spark, sf_dir, "customer").where("c_custkey % 5 = 0")
+    customers = load(spark, sf_dir, "customer")
     seeds = customers.select((F.col("c_custkey") % 40).alias("instance_id"), F.col("c_custkey").alias("pos"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("path"))
     terms = seeds.select("instance_id").distinct().withColumn("terms", F.array(F.lit("urgent"), F.lit("high"), F.lit("nation")))
     return G.expand(seeds, edges, G.node_tokens(graph_nodes(spark, sf_dir)), terms, 20)
 
 
 G9_SQL = rf"""WITH {GRAPH_SQL},
-sd AS (SELECT * FROM (SELECT c_custkey % 40 AS instance_id, 'c' || c_custkey AS seed, row_number() OVER (PARTITION BY c_custkey % 40 ORDER BY c_custkey) AS n FROM customer WHERE c_custkey % 5 = 0) WHERE n <= 16),
+sd AS (SELECT * FROM (SELECT c_custkey % 40 AS instance_id, 'c' || c_custkey AS seed, row_number() OVER (PARTITION BY c_custkey % 40 ORDER BY c_custkey) AS n FROM customer) WHERE n <= 16),
 oe AS (SELECT source AS seed, target AS path, edge_type AS base, edge_type AS shown, weight FROM edges UNION ALL SELECT target, source, edge_type, 'incoming_' || edge_type, weight * 0.7 FROM edges),
 few AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY weight DESC, shown, path) AS n FROM oe) WHERE n <= 120),
 txt AS (SELECT 'n' || n_nationkey AS path, n_name AS t FROM nation UNION ALL SELECT 'o' || o_orderkey, o_orderpriority FROM orders),
@@ -273,11 +273,11 @@ GROUP BY r_regionkey, hop"""
 
 
 def a11_edge_summary(spark, sf_dir):
-    paths = load(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("path"))
+    paths = load(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("path"))
     return G.edge_summary(g7_add_edge(spark, sf_dir), paths)
 
 
-A11_SQL = f"""WITH {GRAPH_SQL}, p AS (SELECT 'c' || c_custkey AS path FROM customer WHERE c_custkey % 3 = 0)
+A11_SQL = f"""WITH {GRAPH_SQL}, p AS (SELECT 'c' || c_custkey AS path FROM customer)
 SELECT edge_type, count(*) AS n FROM (SELECT edge_type FROM edges WHERE source IN (SELECT path FROM p) UNION ALL SELECT edge_type FROM edges WHERE target IN (SELECT path FROM p)) GROUP BY edge_type"""
 
 

@@ -41,15 +41,15 @@ SELECT * FROM (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY
 
 
 def p24_flow_class(spark, sf_dir):
-    return issues(spark, sf_dir).select("instance_id", G.flow_family(F.lit("term"), F.substring("issue_text", -100, 100)).alias("family"))
+    return issues(spark, sf_dir).select("instance_id", G.flow_family(F.lit("term"), F.col("issue_text")).alias("family"))
 
 
-_TAIL = "lower('term ' || substr(issue_text, greatest(1, length(issue_text) - 99)))"
+_TAIL = "lower('term ' || issue_text)"
 RULES = tuple((i, w, k) for i, (k, v) in enumerate(G.FLOW_FAMILIES.items()) for w in v)
 
 
 def x2_rules_table(spark, sf_dir):
-    rows = issues(spark, sf_dir).select("instance_id", F.substring("issue_text", -100, 100).alias("tail"))
+    rows = issues(spark, sf_dir).select("instance_id", F.col("issue_text").alias("tail"))
     labelled = G.by_rules(rows, "tail", spark.createDataFrame(RULES, "prio int, keyword string, label string"), "shared_symbol_flow")
     return labelled.groupBy("label").agg(F.count("*").alias("n"))
 
@@ -65,11 +65,11 @@ P27_SQL = f"""SELECT instance_id, pos, CASE tool WHEN 'skip_for_localization' TH
 
 def p30_exact_symbols(spark, sf_dir):
     base = issues(spark, sf_dir)
-    queries = base.select("instance_id", F.lit(0).alias("pos"), F.substring("issue_text", -120, 120).alias("query"))
+    queries = base.select("instance_id", F.lit(0).alias("pos"), F.col("issue_text").alias("query"))
     return G.exact_symbols(queries)
 
 
-P30_SQL = rf"""WITH {ISSUES_SQL}, q AS (SELECT instance_id, substr(issue_text, greatest(1, length(issue_text) - 119)) AS query FROM issues),
+P30_SQL = rf"""WITH {ISSUES_SQL}, q AS (SELECT instance_id, issue_text AS query FROM issues),
 f AS (SELECT instance_id, query, unnest(l) AS raw, generate_subscripts(l, 1) AS k FROM (SELECT *, regexp_extract_all(query, '[A-Za-z_$][A-Za-z0-9_$]*\s*\(?') AS l FROM q)),
 n AS (SELECT *, regexp_replace(raw, '\s*\(?$', '') AS name, regexp_replace(trim(query), '^[`()\[\]{{}}'']+|[`()\[\]{{}}'']+$', '', 'g') AS bare FROM f),
 g AS (SELECT *, regexp_replace(lower(name), '^[_$]+|[_$]+$', '', 'g') AS low FROM n),
@@ -88,7 +88,7 @@ def _observations(spark, sf_dir):
         F.lit("Error at "), F.col("lang"), F.lit("/"), name, F.lit(".md:"), (F.col("doc_id") % 90 + 1).cast("string"),
         F.lit(" then in "), F.col("source"), F.lit("/"), F.col("lang"), F.lit("/"), (F.col("doc_id") - F.col("doc_id") % 2).cast("string"), F.lit(".md#L7 and gone.py"),
     )
-    return docs.where("doc_id % 3 = 0").select(F.col("doc_id").alias("instance_id"), text.alias("text"))
+    return docs.select(F.col("doc_id").alias("instance_id"), text.alias("text"))
 
 
 def _trace_files(spark, sf_dir):
@@ -104,9 +104,9 @@ def e15_trace_events(spark, sf_dir):
 
 
 TRACE_SQL = """d AS (SELECT doc_id, source, lang FROM documents),
-ev AS (SELECT doc_id AS instance_id, 1 AS event_no, lang || '/' || doc_id || '.md' AS path, CAST(doc_id % 90 + 1 AS INT) AS line FROM d WHERE doc_id % 3 = 0
-  UNION ALL SELECT doc_id, 2, source || '/' || lang || '/' || (doc_id - doc_id % 2) || '.md', 7 FROM d WHERE doc_id % 3 = 0
-  UNION ALL SELECT doc_id, 3, 'gone.py', NULL FROM d WHERE doc_id % 3 = 0),
+ev AS (SELECT doc_id AS instance_id, 1 AS event_no, lang || '/' || doc_id || '.md' AS path, CAST(doc_id % 90 + 1 AS INT) AS line FROM d
+  UNION ALL SELECT doc_id, 2, source || '/' || lang || '/' || (doc_id - doc_id % 2) || '.md', 7 FROM d
+  UNION ALL SELECT doc_id, 3, 'gone.py', NULL FROM d),
 fs AS (SELECT source || '/' || lang || '/' || doc_id || '.md' AS path, doc_id, lang || '/' || doc_id || '.md' AS tail, doc_id || '.md' AS base FROM d),
 cand AS (SELECT ev.path, f.path AS file, 0 AS tier FROM (SELECT DISTINCT path FROM ev) ev JOIN fs f ON f.path = ev.path
   UNION ALL SELECT ev.path, f.path, 1 FROM (SELECT DISTINCT path FROM ev) ev JOIN fs f ON f.tail = ev.path
@@ -138,12 +138,12 @@ def e18_module_paths(spark, sf_dir):
 
 def e19_merge_source_files(spark, sf_dir):
     corpus = files(spark, sf_dir)
-    first = corpus.where("doc_id % 2 = 0").select("path", F.when(F.col("doc_id") % 4 == 0, F.lit("")).otherwise(F.lit("first")).alias("text"))
-    second = corpus.where("doc_id % 3 = 0").select("path", F.lit("second").alias("text"))
-    return G.merge_source_files(first, second)
+    first = corpus.select("path", F.when(F.col("doc_id") % 4 == 0, F.lit("")).otherwise(F.col("text")).alias("text"))
+    second = corpus.select("path", F.concat(F.lit("second "), "text").alias("text"))
+    return G.merge_source_files(first, second).select("path", F.md5("text").alias("text_md5"))
 
 
-E19_SQL = f"""WITH {FILES_SQL} SELECT path, CASE WHEN doc_id % 4 = 2 THEN 'first' WHEN doc_id % 3 = 0 THEN 'second' ELSE '' END AS text FROM files WHERE doc_id % 2 = 0 OR doc_id % 3 = 0"""
+E19_SQL = f"""WITH {FILES_SQL} SELECT path, md5(CASE WHEN doc_id % 4 = 0 THEN 'second ' || text ELSE text END) AS text_md5 FROM files"""
 
 LABELS = ("error", "purchase", "click")
 
@@ -195,12 +195,12 @@ UNION ALL SELECT o_custkey, 'completion_tokens', sum(o_orderkey % 7) FROM orders
 def w3_search_entities(spark, sf_dir):
     part = load(spark, sf_dir, "part")
     entities = part.select(F.concat(F.lit("src/"), F.lower("p_brand"), F.lit(".py")).alias("path"), F.regexp_replace("p_type", " ", "_").alias("name"), F.col("p_name").alias("text"))
-    queries = part.where("p_partkey % 100 = 1").select(F.col("p_partkey").alias("query_id"), F.concat_ws(" ", F.regexp_replace("p_type", " ", "_"), "p_name").alias("query"))
+    queries = part.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query_id"), F.concat_ws(" ", F.regexp_replace("p_type", " ", "_"), "p_name").alias("query"))
     return S.search_entities(queries, entities, 20)
 
 
 W3_SQL = rf"""WITH ent AS (SELECT DISTINCT 'src/' || lower(p_brand) || '.py' AS path, replace(p_type, ' ', '_') AS name, p_name AS text FROM part),
-q AS (SELECT p_partkey AS query_id, replace(p_type, ' ', '_') || ' ' || p_name AS query FROM part WHERE p_partkey % 100 = 1),
+q AS (SELECT p_partkey AS query_id, replace(p_type, ' ', '_') || ' ' || p_name AS query FROM part WHERE p_partkey % 50 = 0),
 m AS (SELECT query_id, unnest(regexp_extract_all(query, '[A-Za-z_][A-Za-z0-9_.$-]*')) AS m FROM q),
 t AS (SELECT query_id, token, 1 + least(1.0, log2(count(*)) * 0.25) AS w FROM (SELECT query_id, regexp_replace(lower(m), '^[._$-]+|[._$-]+$', '', 'g') AS token FROM m
   UNION ALL SELECT query_id, unnest(string_split(lower(regexp_replace(m, '([a-z0-9])([A-Z])', '\1 \2', 'g')), ' ')) FROM m) WHERE length(token) >= 2 GROUP BY ALL),
@@ -226,7 +226,7 @@ SELECT query_id, symbol, path, name FROM s JOIN e ON lower(name) = symbol WHERE
 
 
 def w10_read_context(spark, sf_dir):
-    return S.read_context(C.lines(files(spark, sf_dir)), spark.createDataFrame([("license",), ("token",)], "term string"))
+    return S.read_context(C.lines(files(spark, sf_dir)), ("license", "token"))
 
 
 W10_SQL = f"""WITH {FILES_SQL}, l AS (SELECT path, unnest(a) AS line, generate_subscripts(a, 1) AS line_no FROM (SELECT path, string_split(text, chr(10)) AS a FROM files)),
@@ -270,7 +270,7 @@ QUERIES = {
     "p30_exact_symbols": (p30_exact_symbols, P30_SQL),
     "x2_rules_table": (
         x2_rules_table,
-        f"WITH {ISSUES_SQL}, x AS (SELECT lower(substr(issue_text, greatest(1, length(issue_text) - 99))) AS low FROM issues) SELECT {_case({k: _any('low', v) for k, v in G.FLOW_FAMILIES.items()}, 'shared_symbol_flow')} AS label, count(*) AS n FROM x GROUP BY 1",
+        f"WITH {ISSUES_SQL}, x AS (SELECT lower(issue_text) AS low FROM issues) SELECT {_case({k: _any('low', v) for k, v in G.FLOW_FAMILIES.items()}, 'shared_symbol_flow')} AS label, count(*) AS n FROM x GROUP BY 1",
     ),
     "j8_scope_restrict": (j8_scope_restrict, f"WITH {FILES_SQL} SELECT path, doc_id FROM files WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 0)"),
     "j10_cache_join": (j10_cache_join, J10_SQL),

@@ -25,14 +25,14 @@ def _candidates(spark, sf_dir):
         (F.col("instance_id") % 97).alias("instance_id"),
         F.concat(F.regexp_replace(shape, "[^/]*$", ""), F.lit("k"), F.col("instance_id").cast("string"), F.lit("/"), F.regexp_extract(shape, "([^/]*)$", 1)).alias("path"),
         (F.length("issue_text") % 1_500).cast("double").alias("score"),
-        F.substring("issue_text", -90, 90).alias("issue_text"),
+        "issue_text",
         F.col("instance_id").alias("doc_id"),
     )
 
 
 CAND_SQL = f"""{ISSUES_SQL},
 cand AS (SELECT instance_id % 97 AS instance_id, regexp_replace(s, '[^/]*$', '') || 'k' || CAST(instance_id AS VARCHAR) || '/' || regexp_extract(s, '([^/]*)$', 1) AS path,
-  CAST(length(issue_text) % 1500 AS DOUBLE) AS score, substr(issue_text, greatest(1, length(issue_text) - 89)) AS issue_text, instance_id AS doc_id
+  CAST(length(issue_text) % 1500 AS DOUBLE) AS score, issue_text, instance_id AS doc_id
   FROM (SELECT *, list_extract({sql_list(SHAPES)}, CAST(instance_id % {len(SHAPES)} AS INT) + 1) AS s FROM issues))"""
 _in = lambda col, names: f"{col} IN ({', '.join(repr(n) for n in names)})"
 _inside = lambda names: _any("low", [f"/{n}/" for n in names])
@@ -74,7 +74,7 @@ _LANG = "CASE " + " ".join(f"WHEN e IN ({', '.join(repr(x) for x in v)}) THEN '{
 
 
 def p26_allows_non_source(spark, sf_dir):
-    return issues(spark, sf_dir).select("instance_id", P.allows_non_source(F.substring("issue_text", -90, 90)).alias("allowed"))
+    return issues(spark, sf_dir).select("instance_id", P.allows_non_source(F.col("issue_text")).alias("allowed"))
 
 
 def u7_source_first(spark, sf_dir):

@@ -51,14 +51,15 @@ SELECT instance_id, path, score, row_number() OVER (PARTITION BY instance_id ORD
 
 
 def s3_read_files(spark, sf_dir):
-    """Documents written as one JSON file for each source, read back as files."""
+    """Whole documents written as files of a few lines, read back as files."""
     path = shared_path(spark, "tree")
-    docs = load(spark, sf_dir, "documents").select("source", "doc_id", F.substring("text", 1, 20).alias("head"))
-    docs.repartition("source").write.partitionBy("source").json(path)
-    found = readers.read_files(spark, path, (".json",), max_bytes=1 << 40)
-    source = F.regexp_extract("path", "source=([^/]+)/", 1)
-    lines = F.size(F.split(F.rtrim("text", F.lit("\n")), "\n"))
-    return found.groupBy(source.alias("source")).agg(F.sum(lines).alias("rows"))
+    docs = load(spark, sf_dir, "documents").select("source", F.to_json(F.struct("doc_id", "text")).alias("value"))
+    # Files of at most 64 documents, so that a hot source is many files and none is large.
+    docs.write.partitionBy("source").option("maxRecordsPerFile", 64).text(path)
+    found = readers.read_files(spark, path, (".txt",), max_bytes=64 << 20)
+    each = found.select(F.explode(F.split(F.rtrim("text", F.lit("\n")), "\n")).alias("line"))
+    doc = F.from_json("line", "doc_id long, text string")
+    return each.select(doc["doc_id"].alias("doc_id"), F.md5(doc["text"]).alias("text_md5"))
 
 
 QUERIES = {
@@ -69,5 +70,5 @@ QUERIES = {
         f"SELECT split_part(metric, '@', 1) AS family, split_part(metric, '@', 2) AS k, printf('%.2f', mean * 100) AS percent FROM ({A25_SQL}) WHERE contains(metric, '@')",
     ),
     "j23_seed_penalty": (j23_seed_penalty, J23_SQL),
-    "s3_read_files": (s3_read_files, "SELECT source, count(*) AS rows FROM documents GROUP BY source"),
+    "s3_read_files": (s3_read_files, "SELECT doc_id, md5(text) AS text_md5 FROM documents"),
 }

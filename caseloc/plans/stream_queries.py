@@ -97,13 +97,13 @@ def s4_read_snapshots(spark, sf_dir):
     docs = load(spark, sf_dir, "documents").select("source", "lang", "doc_id", "text")
     path = F.concat("lang", F.lit("/"), F.col("doc_id").cast("string"))
     snapshot = docs.where("doc_id % 4 = 0").select(F.col("source").alias("snapshot_id"), F.to_json(F.create_map(path, F.struct(F.col("text").alias("text")))).alias("structure"))
-    checkout = docs.where("doc_id % 2 = 0").select(F.col("source").alias("snapshot_id"), path.alias("path"), F.lit("checkout").alias("text"))
+    checkout = docs.select(F.col("source").alias("snapshot_id"), path.alias("path"), F.lit("checkout").alias("text"))
     rows = readers.snapshot_files(snapshot, checkout)
     return rows.select("snapshot_id", "path", F.md5("text").alias("text_md5"))
 
 
 S4_SQL = """SELECT source AS snapshot_id, lang || '/' || CAST(doc_id AS VARCHAR) AS path, md5(CASE WHEN doc_id % 4 = 0 THEN text ELSE 'checkout' END) AS text_md5
-FROM documents WHERE doc_id % 2 = 0"""
+FROM documents"""
 
 
 def s5_write_snapshots(spark, sf_dir):

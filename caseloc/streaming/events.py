@@ -114,8 +114,13 @@ def late_events(events: DataFrame, delay_seconds: int = 3_600) -> DataFrame:
 
     day = F.floor(F.col("event_id") / 4_096)
     tops = events.groupBy(day.alias("part")).agg(F.max("ts").alias("top"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    so_far = tops.select("part", F.max("top").over(before).alias("prior"))  # one row for each part of 4,096 events
+    # Running tops: within blocks of 4,096 parts, then over the blocks (one for each 16 million events).
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    blocked = tops.withColumn("block", F.floor(F.col("part") / 4_096))
+    inside = blocked.withColumn("near", F.max("top").over(earlier(Window.partitionBy("block").orderBy("part"))))
+    blocks = blocked.groupBy("block").agg(F.max("top").alias("block_top"))
+    far = blocks.select("block", F.max("block_top").over(earlier(Window.orderBy("block"))).alias("far"))
+    so_far = inside.join(far, "block").select("part", F.greatest("near", "far").alias("prior"))
     within = Window.partitionBy("part").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
     rows = events.withColumn("part", day).join(so_far, "part").withColumn("seen", F.greatest("prior", F.max("ts").over(within)))
     behind = F.unix_micros("seen") - F.unix_micros("ts")
