@@ -311,16 +311,12 @@ def _may_be_alike(similarity: float) -> Column:
     return (F.least(n, m) >= F.greatest(n, m) * similarity - 1e-6) & (overlap * (1 + similarity) >= (n + m) * similarity - 1e-6)
 
 
-def _have_room(similarity: float) -> Column:
-    """Pairs whose k shared prefix shingles leave room for the overlap: of the
-    set whose prefix ends first, all other shared shingles are behind it."""
-
-    def behind(n: Column) -> Column:
-        return F.ceil(similarity * n - 1e-9) - 1
-
-    n, m = behind(F.col("n")), behind(F.col("m"))
-    rest = F.when(F.col("l_last") < F.col("r_last"), n).when(F.col("l_last") > F.col("r_last"), m).otherwise(F.greatest(n, m))
-    return (F.col("k") + rest) * (1 + similarity) >= (F.col("n") + F.col("m")) * similarity - 1e-6
+def _have_room(similarity: float, k: Column, n: Column, m: Column, l_last: Column, r_last: Column) -> Column:
+    """Whether k shared prefix shingles leave room for the overlap: of the set
+    whose prefix ends first, all other shared shingles are behind it."""
+    behind = lambda size: F.ceil(similarity * size - 1e-9) - 1
+    rest = F.when(l_last < r_last, behind(n)).when(l_last > r_last, behind(m)).otherwise(F.greatest(behind(n), behind(m)))
+    return (k + rest) * (1 + similarity) >= (n + m) * similarity - 1e-6
 
 
 def _alike(pairs: DataFrame, rows: DataFrame, sketches: DataFrame, similarity: float, words: int) -> DataFrame:
@@ -384,34 +380,54 @@ def near_links(rows: DataFrame, sketches: DataFrame, similarity: float, words: i
             break
         labels = _components(links)
 
-    labelled = _labelled(members, labels)
-    if labels is not None:
-        mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-        labelled = labelled.join(mixed, "key", "left_semi")
-    blocks = F.ceil(F.col("size") / bucket_cap).cast("int")
+    # Small meetings: pairs with a row for each shingle that they share there; of
+    # large meetings two nodes share at most as many as the one that has fewer.
+    facts = hot.groupBy("id").agg(
+        F.count("*").alias("large"), F.transform(F.sort_array(F.collect_list(F.struct("pos", "key"))), lambda x: x["key"]).alias("hot_keys")
+    )
+    facts = written(facts, "near-facts")
+    small = _mixed(_labelled(members.where(F.col("size") <= HOT), labels)).join(facts.select("id", "large"), "id", "left").na.fill(0, ["large"])
+    left, right = small.alias("l"), small.alias("r")
+    apart = (F.col("l.id") < F.col("r.id")) & (F.col("l.label") != F.col("r.label"))
+    ends = [F.col("l.n").alias("n"), F.col("r.n").alias("m"), F.col("l.last").alias("l_last"), F.col("r.last").alias("r_last")]
+    few = (
+        left.join(right, (F.col("l.key") == F.col("r.key")) & apart & _may_be_alike(similarity))
+        .select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), *ends, F.least("l.large", "r.large").alias("more"))
+        .groupBy("a", "b", "n", "m", "l_last", "r_last", "more")
+        .agg(F.count("*").alias("k"))
+        .where(_have_room(similarity, F.col("k") + F.col("more"), *map(F.col, ("n", "m", "l_last", "r_last"))))
+        .select("a", "b")
+    )
+    # Large ones: a node brings its shingles of large meetings, so that a pair is
+    # judged where it meets first; of small ones they share at most ``small``.
+    own = hot.join(facts.select("id", "hot_keys"), "id")
+    counts = members.where(F.col("size") <= HOT).join(facts.select("id"), "id", "left_semi").groupBy("id").agg(F.count("*").alias("small"))
+    own = _mixed(_labelled(own.join(counts, "id", "left").na.fill(0, ["small"]), labels))
     dealt = (
-        labelled.withColumn("blocks", blocks)
+        own.withColumn("blocks", F.ceil(F.col("size") / bucket_cap).cast("int"))
         .withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "n", "last", "pos", "label")
+        .withColumn("x", F.least("own", "other"))
+        .withColumn("y", F.greatest("own", "other"))
+        .select("key", "x", "y", "own", "id", "n", "last", "pos", "label", "hot_keys", "small")
     )
     left, right = dealt.alias("l"), dealt.alias("r")
     together = (F.col("l.key") == F.col("r.key")) & (F.col("l.x") == F.col("r.x")) & (F.col("l.y") == F.col("r.y"))
     once = (F.least("l.own", "r.own") == F.col("l.x")) & (F.greatest("l.own", "r.own") == F.col("l.y"))
-    apart = (F.col("l.id") < F.col("r.id")) & (F.col("l.label") != F.col("r.label"))
-    facts = [F.col("l.n").alias("n"), F.col("r.n").alias("m"), F.col("l.last").alias("l_last"), F.col("r.last").alias("r_last")]
-    pairs = (
-        left.join(right, together & once & apart & _may_be_alike(similarity))
-        .select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), *facts)
-        .groupBy("a", "b", "n", "m", "l_last", "r_last")
-        .agg(F.count("*").alias("k"))
-        .where(_have_room(similarity))
-        .select("a", "b")
-    )
+    same = F.array_intersect("l.hot_keys", "r.hot_keys")
+    room = _have_room(similarity, F.size(same) + F.least("l.small", "r.small"), *map(F.col, ("l.n", "r.n", "l.last", "r.last")))
+    many = left.join(right, together & once & apart & _may_be_alike(similarity) & (F.get(same, F.lit(0)) == F.col("l.key")) & room)
+    pairs = few.unionByName(many.select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))).distinct()
     found = _alike(written(pairs, "near-close"), rows, sketches, similarity, words)
     return found if links is None else links.unionByName(found)
 
 
+def _mixed(labelled: DataFrame) -> DataFrame:
+    """Members of meetings whose nodes are not all connected yet."""
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    return labelled.join(mixed, "key", "left_semi")
+
+
 def _components(links: DataFrame) -> DataFrame:
     return written(connected_components(links).select(F.col("node").alias("id"), F.col("root").alias("label")), "near-labels")
 
