@@ -27,8 +27,7 @@ IMPORT_SUFFIXES = (
     "/index.js", "/index.jsx", "/index.ts", "/index.tsx", "/__init__.py",
 )
 
-#: (language, kind, pattern of one line with the name as its group). Rows may be
-#: added for further languages.
+# Fixed values: (language, kind, pattern of one line with the name as its group). Rows may be added for further languages.
 ENTITY_RULES = (
     ("javascript/typescript", "class", r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+([A-Za-z_$][A-Za-z0-9_$]*)"),
     ("javascript/typescript", "function", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*([A-Za-z_$][A-Za-z0-9_$]*)\s*\("),
@@ -126,22 +125,26 @@ def indent_entities(starts: DataFrame, rows: DataFrame, fallback: int = 80) -> D
     return out.withColumn("end_line", F.coalesce("end_line", "last_line").cast("int")).drop("last_line")
 
 
+#: Strings on one line, and a block comment that a line opens outside strings and leaves open.
+STRINGS = r"""\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|`(?:[^`\\]|\\.)*`"""
+OPEN_BLOCK = rf"""^((?:{STRINGS}|[^\"'`/]|/[^*\"'`])*)/\*.*$"""
+
+
 def mask_comments(rows: DataFrame) -> DataFrame:
     """lines without // and /* */ comments; strings stay and so do line numbers.
 
     Comments within a line go by a pattern that steps over strings; a block
     comment over several lines is told by the marks that are still open.
     """
-    inline = r"""("(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|`(?:[^`\\]|\\.)*`)|/\*.*?\*/|//.*$"""
-    bare = rows.withColumn("line", F.regexp_replace("line", inline, "$1"))
-    opens, closes = F.col("line").contains("/*"), F.col("line").contains("*/")
+    bare = rows.withColumn("line", F.regexp_replace("line", rf"({STRINGS})|/\*.*?\*/|//.*$", "$1"))
+    opens, closes = F.col("line").rlike(OPEN_BLOCK), F.col("line").contains("*/")
     run = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     state = F.last(F.when(opens, F.lit(1)).when(closes, F.lit(0)), True).over(run)
     held = bare.withColumn("inside", F.coalesce(state, F.lit(0)) == 1)
     line = (
         F.when(F.col("inside") & ~closes, F.lit(""))
         .when(F.col("inside"), F.regexp_replace("line", r"^.*?\*/", ""))
-        .when(opens, F.regexp_replace("line", r"/\*.*$", ""))
+        .when(opens, F.regexp_replace("line", OPEN_BLOCK, "$1"))
         .otherwise(F.col("line"))
     )
     return held.select("path", "line_no", line.alias("line"))

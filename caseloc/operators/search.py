@@ -137,33 +137,55 @@ def exact_names(queries: DataFrame) -> DataFrame:
     return each.where(good).select("query_id", F.lower("m").alias("name")).distinct()
 
 
-def path_probe(queries: DataFrame, files: DataFrame, limit: int = 20) -> DataFrame:
-    """(query_id, rank, path, score, reason) for path-like queries: 96 whole
-    path, 62 part of it, 42 stem; the best reason counts."""
-    probes = queries.select("query_id", F.lower(F.trim("query")).alias("probe")).where(F.col("probe").contains("/") | F.col("probe").rlike(r"^\S+\.\w+$"))
-    low = files.select("path", F.lower("path").alias("low"))
-    # Equality keys: the whole path, each suffix of its parts, and the stem.
-    parts = F.split("low", "/")
-    keys = F.transform(
-        F.sequence(F.lit(1), F.size(parts)),
-        lambda i: F.struct(
-            F.array_join(F.slice(parts, i, F.size(parts)), "/").alias("probe"),
-            F.when(i == 1, F.lit(96.0)).otherwise(F.lit(62.0)).alias("score"),
-            F.when(i == 1, F.lit("exact")).otherwise(F.lit("suffix")).alias("reason"),
-        ),
-    )
-    stem = F.array(
-        F.struct(F.regexp_replace(F.element_at(parts, -1), r"\.[^.]+$", "").alias("probe"), F.lit(42.0).alias("score"), F.lit("stem").alias("reason"))
-    )
-    indexed = low.select("path", F.inline(F.concat(keys, stem)))
-    stems = probes.unionByName(probes.withColumn("probe", F.regexp_replace(F.element_at(F.split("probe", "/"), -1), r"\.[^.]+$", ""))).distinct()
-    best = stems.join(indexed, "probe").groupBy("query_id", "path").agg(F.max(F.struct("score", "reason")).alias("x"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("x.score"), "path")
-    return (
-        best.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= limit)
-        .select("query_id", "rank", "path", F.col("x.score").alias("score"), F.col("x.reason").alias("reason"))
+def path_probe(queries: DataFrame, files: DataFrame, limit: int = 80, head: int = 12) -> DataFrame:
+    """(query_id, rank, path, score, reason) for path-like queries; the best query
+    of each path counts.
+
+    A query is 96 for the whole path, 82 for its beginning, 62 inside it, 42 if it
+    is inside without extensions (8 letters or more), else 12 + 4n (18 + 6n
+    without a slash) if n of its tokens, of three letters or more, are in the
+    path and n is all but one of them, up to four. Paths and queries meet at a
+    piece of at most ``head`` letters that begins the query; tokens as in
+    ``token_runs``.
+    """
+    text = F.lower(F.regexp_replace(F.regexp_replace(F.trim("query"), "^['\"`]+|['\"`]+$", ""), r"^(?:\./)+", ""))
+    words = F.array_distinct(F.filter(tokens("probe"), lambda t: F.length(t) >= 4))
+    like = F.col("probe").contains("/") | F.col("probe").rlike(r"\.[a-z0-9]{1,5}\b") | (F.size(words).between(3, 8) & (F.length("probe") <= 120))
+    probes = queries.select("query_id", text.alias("probe")).where("probe <> ''").where(like).distinct()
+    low = files.select("path", F.lower("path").alias("low")).distinct()
+    bare = lambda c: F.regexp_replace(c, r"\.[a-z0-9]{1,5}$", "")
+
+    def inside(probe: Column, hay: Column, least: int) -> DataFrame:
+        """(probe, path) where the one is in the other."""
+        wanted = probes.select("probe", probe.alias("part")).distinct().where(F.length("part") >= least).withColumn("piece", F.substring("part", 1, head))
+        known = [r.piece for r in wanted.select("piece").distinct().limit(HEADS + 1).collect()]
+        sizes = sorted({len(x) for x in known}) if len(known) <= HEADS else list(range(1, head + 1))
+        starts = F.sequence(F.lit(1), F.greatest(F.length("hay"), F.lit(1)))
+        pieces = F.flatten(F.transform(starts, lambda i: F.array(*[F.substring(F.col("hay"), i, F.lit(k)) for k in sizes]))) if sizes else F.array().cast("array<string>")
+        if len(known) <= HEADS:
+            pieces = F.filter(pieces, lambda x: x.isin(known)) if known else pieces
+        cut = low.select("path", "low", hay.alias("hay"))
+        return cut.select("*", F.explode(F.array_distinct(pieces)).alias("piece")).join(wanted, "piece").where(F.col("hay").contains(F.col("part"))).select("probe", "part", "path", "low")
+
+    probe, path = F.col("probe"), F.col("low")
+    whole = inside(probe, path, 1).select("probe", "path", F.when(path == probe, 0).when(path.startswith(probe), 1).otherwise(2).alias("tier"), F.lit(0).alias("n"))
+    stems = inside(bare(probe), bare(path), 8).select("probe", "path", F.lit(3).alias("tier"), F.lit(0).alias("n"))
+    each = probes.select("probe").distinct().select("probe", F.explode(F.filter(tokens("probe"), lambda t: F.length(t) >= 3)).alias("token")).groupBy("probe", "token").agg(F.count("*").alias("m"))
+    sizes = each.groupBy("probe").agg(F.sum("m").alias("all"), F.count("*").alias("kinds"))
+    held = token_counts(each.select("token").distinct(), postings(low.select("path", F.col("low").alias("text")))).select("token", "path")
+    overlap = each.join(held, "token").groupBy("probe", "path").agg(F.sum("m").alias("n")).join(sizes, "probe")
+    need = F.when(probe.contains("/"), F.least(F.lit(4), F.greatest(F.lit(2), F.col("all") - 1))).otherwise(F.least(F.lit(4), F.greatest(F.lit(3), F.col("kinds") - 1)))
+    shared = overlap.where(F.col("n") >= need).select("probe", "path", F.lit(4).alias("tier"), F.col("n").cast("int").alias("n"))
+    first = whole.unionByName(stems).unionByName(shared).groupBy("probe", "path").agg(F.min(F.struct("tier", "n")).alias("x")).select("probe", "path", "x.*")
+    score = (
+        F.when(F.col("tier") == 4, F.when(probe.contains("/"), 12.0 + 4.0 * F.col("n")).otherwise(18.0 + 6.0 * F.col("n")))
+        .otherwise(F.get(F.array(*map(F.lit, (96.0, 82.0, 62.0, 42.0))), F.col("tier")))
     )
+    label = F.get(F.array(*map(F.lit, ("exact", "prefix", "substring", "stem", "overlap"))), F.col("tier"))
+    rows = probes.join(first, "probe").withColumn("score", score).withColumn("reason", label)
+    best = rows.groupBy("query_id", "path").agg(F.max_by("reason", F.struct("score", -F.col("tier"))).alias("reason"), F.max("score").alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "path")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query_id", "rank", "path", "score", "reason")
 
 
 def same_dir_neighbors(seeds: DataFrame, files: DataFrame, per_dir: int = 6, cap: int = 40) -> DataFrame:

@@ -118,10 +118,13 @@ def a23_component_scores(spark, sf_dir):
 
 def u9_evidence_role_policy(spark, sf_dir):
     cand = _candidates(spark, sf_dir)
-    return P.evidence_roles(cand.select("instance_id", "path", "score"), cand.where("doc_id % 7 = 0").select("instance_id", "path"))
+    backing = cand.where("doc_id % 3 = 0").select("instance_id", "path", F.lit("concern_score").alias("component"), F.lit(1.0).alias("score"))
+    return P.evidence_roles(cand.select("instance_id", "path", "score"), cand.where("doc_id % 7 = 0").select("instance_id", "path"), backing)
 
 
-U9_SQL = f"""WITH {ROLES_SQL} SELECT instance_id, path, round(least(score, CASE WHEN doc_id % 7 = 0 THEN least(score * 0.22, 450.0) WHEN {_CONTEXT} THEN score * 0.30 ELSE score END), 6) AS score FROM roles"""
+U9_SQL = f"""WITH {ROLES_SQL}, wf AS (SELECT instance_id, bool_or({_any('lower(path)', P.WORKFLOW_WORDS)}) AS workflow FROM roles GROUP BY 1)
+SELECT instance_id, path, round(least(score, CASE WHEN doc_id % 7 = 0 THEN least(score * 0.22, 450.0) WHEN {_CONTEXT} THEN score * 0.30
+  WHEN workflow AND role = 'state_selector' AND doc_id % 3 <> 0 THEN score * 0.68 ELSE score END), 6) AS score FROM roles JOIN wf USING (instance_id)"""
 
 
 def w18_memory_bonus(spark, sf_dir):
@@ -138,14 +141,17 @@ def _totals(spark, sf_dir):
 
 
 def w19_rank_confidence(spark, sf_dir):
-    return P.rank_confidence(_totals(spark, sf_dir), _components(spark, sf_dir))
+    totals = _totals(spark, sf_dir)
+    reviewed, read = (totals.where(test).select("instance_id", "path") for test in ("path LIKE '%3.py' OR path LIKE '%8.py'", "path NOT LIKE '%1.py'"))
+    return P.rank_confidence(totals, _components(spark, sf_dir), reviewed, read)
 
 
 W19_SQL = f"""WITH {COMP_SQL}, t AS (SELECT instance_id, path, round(sum(score), 6) AS score FROM comp GROUP BY ALL),
 r AS (SELECT *, row_number() OVER w AS rank, coalesce(lead(score) OVER w, 0) AS second FROM t WINDOW w AS (PARTITION BY instance_id ORDER BY score DESC, path)),
 x AS (SELECT r.instance_id, r.path, score, second, score - second AS gap, CAST(symbol_score > 0 AS INT) + CAST(path_score > 0 OR domain_path_probe > 0 AS INT) + CAST(concern_score > 0 AS INT)
-  + CAST(call_score > 0 AS INT) + CAST(flow_score > 0 AS INT) + 1 AS axes FROM r JOIN wide USING (instance_id, path) WHERE rank = 1)
-SELECT instance_id, path, round(gap, 3) AS gap, axes, round(least(0.98, 0.12 + least(0.28, greatest(gap, 0) / greatest(abs(score), abs(second), 1.0) * 0.70) + axes * 0.055 + 0.08), 3) AS confidence FROM x"""
+  + CAST(call_score > 0 AS INT) + CAST(flow_score > 0 AS INT) + 1 + CAST(rv AS INT) + CAST(rd AS INT) AS axes, symbol_score > 0 AS sym, rv, rd
+  FROM (SELECT *, path LIKE '%3.py' OR path LIKE '%8.py' AS rv, path NOT LIKE '%1.py' AS rd FROM r) r JOIN wide USING (instance_id, path) WHERE rank = 1)
+SELECT instance_id, path, round(gap, 3) AS gap, axes, round(least(0.98, 0.12 + least(0.28, greatest(gap, 0) / greatest(abs(score), abs(second), 1.0) * 0.70) + axes * 0.055 + 0.08 + CASE WHEN sym AND rd THEN 0.08 ELSE 0 END + CASE WHEN rv AND rd THEN 0.10 ELSE 0 END), 3) AS confidence FROM x"""
 
 
 def _rounds(spark, sf_dir):

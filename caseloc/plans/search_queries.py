@@ -295,18 +295,29 @@ def w5_path_probe(spark, sf_dir):
 
 
 def _probes(corpus):
-    name = F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))
-    whole = corpus.where("doc_id % 7 = 0").select(F.col("doc_id").alias("query_id"), F.col("path").alias("query"))
-    return whole.unionByName(corpus.where("doc_id % 11 = 0").select(F.col("doc_id").alias("query_id"), name.alias("query")))
-
-
-W5_SQL = f"""WITH {FILES_SQL}, q AS (SELECT doc_id AS query_id, path AS probe FROM files WHERE doc_id % 7 = 0 UNION ALL SELECT doc_id, CAST(doc_id AS VARCHAR) || '.txt' FROM files WHERE doc_id % 11 = 0),
-p AS (SELECT query_id, probe FROM q UNION SELECT query_id, regexp_replace(regexp_extract(probe, '([^/]*)$', 1), '\\.[^.]+$', '') FROM q),
-idx AS (SELECT path, path AS probe, 96.0 AS score, 'exact' AS reason FROM files UNION ALL SELECT path, split_part(path, '/', 2) || '/' || split_part(path, '/', 3), 62.0, 'suffix' FROM files
-  UNION ALL SELECT path, split_part(path, '/', 3), 62.0, 'suffix' FROM files UNION ALL SELECT path, CAST(doc_id AS VARCHAR), 42.0, 'stem' FROM files),
-b AS (SELECT query_id, path, max(score) AS score FROM p JOIN idx USING (probe) GROUP BY ALL)
-SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) AS rank, path, score,
-  CASE score WHEN 96 THEN 'exact' WHEN 62 THEN 'suffix' ELSE 'stem' END AS reason FROM b"""
+    """Whole paths, beginnings, ends, stems and loose words of every file whose id is divisible by 50."""
+    asked = corpus.where("doc_id % 50 = 0").withColumn("parts", F.split("path", "/"))
+    part = lambda i: F.get("parts", F.lit(i))
+    forms = F.array(
+        F.col("path"), F.concat(part(0), F.lit("/"), part(1)), F.concat(part(1), F.lit("/"), part(2)), part(2), F.regexp_replace("path", "txt$", "md"),
+        F.concat(part(0), F.lit("/txt/"), part(1), F.lit(".none")), F.concat_ws(" ", part(0), F.lit("some text file")),
+    )
+    return asked.select(F.col("doc_id").alias("query_id"), F.explode(forms).alias("query"))
+
+
+_TOKENS = r"""list_filter(flatten(list_transform(regexp_extract_all(probe, '[A-Za-z_][A-Za-z0-9_.$-]*'), lambda m: [regexp_replace(lower(m), '^[._$-]+|[._$-]+$', '', 'g')] || string_split(lower(regexp_replace(m, '([a-z0-9])([A-Z])', '\1 \2', 'g')), ' '))), lambda t: length(t) >= 3)"""
+_EXT = r"\.[a-z0-9]{1,5}$"
+W5_SQL = rf"""WITH {FILES_SQL}, a AS (SELECT doc_id AS query_id, path, split_part(path, '/', 1) AS p0, split_part(path, '/', 2) AS p1, split_part(path, '/', 3) AS p2 FROM files WHERE doc_id % 50 = 0),
+q AS (SELECT query_id, lower(unnest([path, p0 || '/' || p1, p1 || '/' || p2, p2, regexp_replace(path, 'txt$', 'md'), p0 || '/txt/' || p1 || '.none', p0 || ' some text file'])) AS probe FROM a),
+w AS (SELECT DISTINCT query_id, probe, {_TOKENS} AS t FROM q),
+p AS (SELECT * FROM w WHERE contains(probe, '/') OR regexp_matches(probe, '\.[a-z0-9]{{1,5}}\b') OR (len(list_distinct(list_filter(t, lambda x: length(x) >= 4))) BETWEEN 3 AND 8 AND length(probe) <= 120)),
+x AS (SELECT query_id, path, probe, t, lower(path) AS low, len(list_filter(t, lambda k: contains(lower(path), k))) AS n FROM p, files),
+c AS (SELECT query_id, path, n, contains(probe, '/') AS slash, CASE WHEN low = probe THEN 0 WHEN starts_with(low, probe) THEN 1 WHEN contains(low, probe) THEN 2
+  WHEN length(regexp_replace(probe, '{_EXT}', '')) >= 8 AND contains(regexp_replace(low, '{_EXT}', ''), regexp_replace(probe, '{_EXT}', '')) THEN 3
+  WHEN len(t) > 0 AND n >= CASE WHEN contains(probe, '/') THEN least(4, greatest(2, len(t) - 1)) ELSE least(4, greatest(3, len(list_distinct(t)) - 1)) END THEN 4 END AS tier FROM x),
+s AS (SELECT query_id, path, tier, CASE tier WHEN 0 THEN 96.0 WHEN 1 THEN 82.0 WHEN 2 THEN 62.0 WHEN 3 THEN 42.0 ELSE CASE WHEN slash THEN 12.0 + 4 * n ELSE 18.0 + 6 * n END END AS score FROM c WHERE tier IS NOT NULL),
+b AS (SELECT query_id, path, max(score) AS score, arg_max(CASE tier WHEN 0 THEN 'exact' WHEN 1 THEN 'prefix' WHEN 2 THEN 'substring' WHEN 3 THEN 'stem' ELSE 'overlap' END, score * 10 - tier) AS reason FROM s GROUP BY ALL)
+SELECT query_id, rank, path, score, reason FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) AS rank FROM b) WHERE rank <= 20"""
 
 QUERIES = {
     "flagship": (flagship, FLAGSHIP_SQL),
