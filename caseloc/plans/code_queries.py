@@ -18,7 +18,7 @@ def code_files(spark, sf_dir):
             F.col("l_returnflag") == "A",
             F.concat(F.lit("class P"), part, F.lit(" {\n  // holds p"), supp, F.lit("\n  run"), supp, F.lit("(x) {\n    this.k"), supp, F.lit(" = p"), supp, F.lit("(x);\n    return this.k"), supp, F.lit("; /* run { */\n  }\n}")),
         )
-        .when(F.col("l_returnflag") == "N", F.concat(F.lit("export function p"), part, F.lit("(a) {\n  const y"), part, F.lit(" = p"), supp, F.lit("(a); const u = \"http://x/*\"; /* see\n  { y"), part, F.lit(" { block */\n  return y"), part, F.lit(";\n}")))
+        .when(F.col("l_returnflag") == "N", F.concat(F.lit("export function p"), part, F.lit("(a) {\n  const y"), part, F.lit(" = p"), supp, F.lit("(a); const u = \"http://x/*\"; /* see\n  { y"), part, F.lit(" { block */\n  return p"), part, F.lit(".run(y"), part, F.lit(");\n}")))
         .otherwise(F.concat(F.lit("import { p"), supp, F.lit(" } from './o"), (F.col("l_orderkey") - F.col("l_orderkey") % 4).cast("string"), F.lit("';")))
     )
     key = F.struct(F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey"), chunk.alias("chunk"))
@@ -30,7 +30,7 @@ def code_files(spark, sf_dir):
 CODE_SQL = r"""code AS (SELECT 'src/c' || CAST(o_custkey % 400 AS VARCHAR) || '/o' || CAST(o_orderkey AS VARCHAR) || '.js' AS path, text FROM orders JOIN (
   SELECT l_orderkey, string_agg(CASE l_returnflag
     WHEN 'A' THEN 'class P' || l_partkey || ' {' || chr(10) || '  // holds p' || l_suppkey || chr(10) || '  run' || l_suppkey || '(x) {' || chr(10) || '    this.k' || l_suppkey || ' = p' || l_suppkey || '(x);' || chr(10) || '    return this.k' || l_suppkey || '; /* run { */' || chr(10) || '  }' || chr(10) || '}'
-    WHEN 'N' THEN 'export function p' || l_partkey || '(a) {' || chr(10) || '  const y' || l_partkey || ' = p' || l_suppkey || '(a); const u = "http://x/*"; /* see' || chr(10) || '  { y' || l_partkey || ' { block */' || chr(10) || '  return y' || l_partkey || ';' || chr(10) || '}'
+    WHEN 'N' THEN 'export function p' || l_partkey || '(a) {' || chr(10) || '  const y' || l_partkey || ' = p' || l_suppkey || '(a); const u = "http://x/*"; /* see' || chr(10) || '  { y' || l_partkey || ' { block */' || chr(10) || '  return p' || l_partkey || '.run(y' || l_partkey || ');' || chr(10) || '}'
     ELSE 'import { p' || l_suppkey || ' } from ''./o' || CAST(l_orderkey - l_orderkey % 4 AS VARCHAR) || ''';' END, chr(10)
     ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag) AS text FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey),
 lines AS (SELECT path, unnest(l) AS line, generate_subscripts(l, 1) AS line_no FROM (SELECT path, string_split(text, chr(10)) AS l FROM code))"""
