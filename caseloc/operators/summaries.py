@@ -155,3 +155,37 @@ def custom_fusion(hits: DataFrame, weights: dict[str, str]) -> DataFrame:
         test = F.col("channel") == channel
         part = F.when(test, F.expr(expression)) if part is None else part.when(test, F.expr(expression))
     return hits.withColumn("part", part.otherwise(0.0)).groupBy("instance_id", "item").agg(F.round(F.sum("part"), 6).alias("score"))
+
+
+def reevaluated(metrics: DataFrame) -> DataFrame:
+    """metrics with status: ``scored``, or ``skipped`` for a result without gold,
+    whose metrics say nothing and are null."""
+    scored = F.col("gold_count") > 0
+    names = [c for c in metrics.columns if c not in ("instance_id", "gold_count", "pred_count")]
+    return metrics.select("instance_id", F.when(scored, "scored").otherwise("skipped").alias("status"), *[F.when(scored, F.col(f"`{c}`")).alias(c) for c in names])
+
+
+def flow_coverage(wanted: DataFrame, words: DataFrame) -> DataFrame:
+    """(term, covered, missing, share): states (term, state) that a flow speaks
+    of: one of their words, of three letters or more, is among the flow's
+    (words: term, word)."""
+    parts = wanted.select("term", "state", F.explode(F.filter(F.split(F.lower("state"), r"[^a-z0-9_]+"), lambda t: F.length(t) >= 3)).alias("word")).distinct()
+    hit = parts.join(words.select("term", "word").distinct(), ["term", "word"], "left_semi").select("term", "state").distinct().withColumn("hit", F.lit(True))
+    rows = wanted.select("term", "state").distinct().join(hit, ["term", "state"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    named = lambda test: F.array_join(F.array_sort(F.collect_list(F.when(test, F.col("state")))), ",")
+    return rows.groupBy("term").agg(named(F.col("hit")).alias("covered"), named(~F.col("hit")).alias("missing"), F.round(F.avg(F.col("hit").cast("double")), 3).alias("share"))
+
+
+def obligation_check(candidates: DataFrame, files: DataFrame, most: int = 30) -> DataFrame:
+    """(term, path, score, matched) of the first ``most`` candidates (term, pos,
+    path, words): 5 for each word, of three letters or more, in the path, 0.8 for
+    each of its first six occurrences in path and text; those without any score
+    are left out."""
+    order = Window.partitionBy("term").orderBy("pos", "path")
+    few = candidates.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).join(files.select("path", "text"), "path")
+    low, hay = F.lower("path"), F.lower(F.concat_ws("\n", "path", "text"))
+    words = F.filter(F.transform("words", lambda w: F.lower(w)), lambda w: F.length(w) >= 3)
+    times = lambda w: (F.length(hay) - F.length(F.replace(hay, w, F.lit("")))) / F.length(w)
+    score = F.aggregate(words, F.lit(0.0), lambda a, w: a + F.when(low.contains(w), 5.0).otherwise(0.0) + 0.8 * F.least(times(w), F.lit(6.0)))
+    matched = F.array_join(F.filter(words, lambda w: hay.contains(w)), ",")
+    return few.select("term", "path", F.round(score, 3).alias("score"), matched.alias("matched")).where("score > 0")

@@ -7,13 +7,14 @@ from pyspark.sql.window import Window
 
 from ..functions.session import shared_path
 from ..operators import evidence as E
+from ..operators import flows as L
 from ..operators import search as S
 from ..operators import summaries as Y
 from ..sources import readers, writers
 from .evidence_queries import P6_SQL, URLS_SQL
 from .flow_queries import CHAIN_SQL, TERMS_SQL, _chain, _parsed
 from .policy_queries import COMP_SQL, _components
-from .search_queries import ATTEMPTS_SQL, HITS_SQL, RG_SQL, _attempts, _gold, _hits, _ranked
+from .search_queries import ATTEMPTS_SQL, HITS_SQL, RG_SQL, _attempts, _gold, _hits, _metrics_sql, _ranked, w14_rank_metrics
 from .stream_queries import V, _stream
 from .views import ISSUES_SQL, issues, load
 
@@ -182,6 +183,40 @@ def x3_custom_fusion(spark, sf_dir):
 X3_SQL = f"""WITH {HITS_SQL} SELECT instance_id, item, round(sum(CASE channel WHEN 'price' THEN least(score, 150) * 0.2 WHEN 'size' THEN 10.0 / (rank + 1) ELSE 0 END), 6) AS score FROM lanes GROUP BY ALL"""
 
 
+def r4_reevaluate(spark, sf_dir):
+    rows = Y.reevaluated(w14_rank_metrics(spark, sf_dir))
+    return rows.select("instance_id", "status", "acc@1", "mrr@15", "set_f1@10")
+
+
+def a15_flow_coverage(spark, sf_dir):
+    rows, _ = _chain(spark, sf_dir)
+    number = F.regexp_extract("term", r"(\d+)$", 1)
+    states = F.array(F.concat(F.lit("run"), number), F.concat(F.lit("call of "), F.col("term")), F.concat(F.lit("y"), number, F.lit(" value")), F.lit("deleted variable"))
+    wanted = rows.select("term").distinct().select("term", F.explode(states).alias("state"))
+    words = rows.select("term", F.explode(F.concat("defs", "uses")).alias("word"))
+    return Y.flow_coverage(wanted, words)
+
+
+A15_SQL = rf"""WITH {CHAIN_SQL}, t AS (SELECT DISTINCT term, regexp_extract(term, '(\d+)$', 1) AS k FROM st), w AS (SELECT term, unnest(['run' || k, 'call of ' || term, 'y' || k || ' value', 'deleted variable']) AS state FROM t),
+words AS (SELECT DISTINCT term, unnest(uses || CASE WHEN def <> '' THEN [def] ELSE [] END) AS word FROM st),
+p AS (SELECT term, state, unnest(list_filter(regexp_split_to_array(lower(state), '[^a-z0-9_]+'), lambda x: length(x) >= 3)) AS word FROM w),
+h AS (SELECT term, state, bool_or(words.word IS NOT NULL) AS hit FROM p LEFT JOIN words USING (term, word) GROUP BY ALL),
+a AS (SELECT w.term, w.state, coalesce(hit, FALSE) AS hit FROM w LEFT JOIN h USING (term, state))
+SELECT term, coalesce(string_agg(state, ',' ORDER BY state) FILTER (WHERE hit), '') AS covered, coalesce(string_agg(state, ',' ORDER BY state) FILTER (WHERE NOT hit), '') AS missing, round(avg(CAST(hit AS DOUBLE)), 3) AS share FROM a GROUP BY term"""
+
+
+def w24_obligation_check(spark, sf_dir):
+    terms, files, *_ = _parsed(spark, sf_dir)
+    found = L.term_files(terms, files, 40).withColumn("words", F.array(F.col("term"), F.lit("return"), F.lit("src"), F.lit("no"), F.lit("import")))
+    return Y.obligation_check(found.withColumnRenamed("file_rank", "pos"), files)
+
+
+_TIMES = "(length(hay) - length(replace(hay, w, ''))) // length(w)"
+W24_SQL = f"""WITH {TERMS_SQL}, f AS (SELECT * FROM (SELECT term, path, row_number() OVER (PARTITION BY term ORDER BY path) AS k FROM hits) WHERE k <= 30),
+x AS (SELECT term, path, lower(path) AS low, lower(path || chr(10) || text) AS hay, list_filter([term, 'return', 'src', 'no', 'import'], lambda w: length(w) >= 3) AS ws FROM f JOIN code USING (path))
+SELECT term, path, round(CAST(list_sum(list_transform(ws, lambda w: CASE WHEN contains(low, w) THEN 5.0 ELSE 0.0 END + 0.8 * least(({_TIMES}), 6))) AS DOUBLE), 3) AS score, array_to_string(list_filter(ws, lambda w: contains(hay, w)), ',') AS matched FROM x"""
+
+
 def s6_write_jsonl(spark, sf_dir):
     """Rows written as JSON lines, read back; the count comes from the write."""
     path = shared_path(spark, "jsonl")
@@ -216,6 +251,10 @@ QUERIES = {
     "j22_seed_paths": (j22_seed_paths, J22_SQL),
     "j21_resolve_code_url": (j21_resolve_code_url, J21_SQL),
     "x3_custom_fusion": (x3_custom_fusion, X3_SQL),
+    "r4_reevaluate": (r4_reevaluate, f"""WITH {_metrics_sql()} SELECT instance_id, CASE WHEN gold_count > 0 THEN 'scored' ELSE 'skipped' END AS status, CASE WHEN gold_count > 0 THEN "acc@1" END AS "acc@1",
+  CASE WHEN gold_count > 0 THEN "mrr@15" END AS "mrr@15", CASE WHEN gold_count > 0 THEN "set_f1@10" END AS "set_f1@10" FROM m"""),
+    "a15_flow_coverage": (a15_flow_coverage, A15_SQL),
+    "w24_obligation_check": (w24_obligation_check, W24_SQL),
     "s6_write_jsonl": (s6_write_jsonl, "SELECT item_id, md5(text) AS text_md5, count(*) OVER () AS written FROM benchmark"),
     "t1_event_source": (t1_event_source, "SELECT event_id, user_id, event_type FROM events"),
 }
