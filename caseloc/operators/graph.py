@@ -72,6 +72,21 @@ def symbol_targets(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     return wanted.join(symbols.withColumnRenamed("path", "target"), "name").where("source <> target")
 
 
+def symbol_target_counts(calls: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(source, name, targets, first): for each caller and callee how many other
+    files declare it, and the first of them by path. Declarations are counted by
+    name, with the two first paths, so no pairs are made."""
+    wanted = calls.select(F.col("path").alias("source"), F.col("callee").alias("name")).distinct()
+    counts = symbols.groupBy("name").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("name").orderBy("path")
+    two = symbols.withColumn("k", F.row_number().over(order)).where(F.col("k") <= 2)
+    firsts = two.groupBy("name").agg(F.min("path").alias("one"), F.max(F.when(F.col("k") == 2, F.col("path"))).alias("two"))
+    own = symbols.select("name", F.col("path").alias("source"), F.lit(1).alias("own"))
+    rows = wanted.join(counts, "name").join(firsts, "name").join(own, ["name", "source"], "left").na.fill(0, ["own"])
+    first = F.when(F.col("one") == F.col("source"), F.col("two")).otherwise(F.col("one"))
+    return rows.where("n > own").select("source", "name", (F.col("n") - F.col("own")).alias("targets"), first.alias("first"))
+
+
 def bounded_targets(calls: DataFrame, symbols: DataFrame, most: int = 2, distant: bool = True) -> DataFrame:
     """(source, name, target, how): calls resolved without all-to-all edges.
 

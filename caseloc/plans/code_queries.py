@@ -174,11 +174,11 @@ SYMBOLS_SQL = r"symbols AS (SELECT DISTINCT name, path FROM (SELECT name, path F
 
 def j3_symbol_targets(spark, sf_dir):
     rows, symbols = _symbols(spark, sf_dir)
-    return G.symbol_targets(C.calls(rows), symbols)
+    return G.symbol_target_counts(C.calls(rows), symbols)
 
 
 J3_SQL = rf"""WITH {CODE_SQL}, {STARTS_SQL}, {SYMBOLS_SQL}, {CALLS_SQL}
-SELECT DISTINCT c.path AS source, callee AS name, s.path AS target FROM calls c JOIN symbols s ON s.name = callee AND s.path <> c.path"""
+SELECT c.path AS source, callee AS name, count(*) AS targets, min(s.path) AS first FROM (SELECT DISTINCT path, callee FROM calls) c JOIN symbols s ON s.name = callee AND s.path <> c.path GROUP BY ALL"""
 
 
 def j4_bounded_symbol(spark, sf_dir):
