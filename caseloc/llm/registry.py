@@ -1,5 +1,5 @@
-"""Queries of the corpus operators. None has SQL: tokenizers, hashes of shingles,
-trained models and packing are outside it; tests compare with brute force."""
+"""Queries of the corpus operators. Tokenizers, hashes of shingles, trained models
+and packing are outside SQL; there, tests compare with brute force."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from .langid import op10_langid
 from .packing import op4_packing
 from .pii import op2_pii
 from .quality import op9_quality
+from .runs import OP11_SQL, op11_runs
 from .secret_scan import op8_secret_scan
 from .simhash import op3_simhash
 from .sketch import op7_sketch
@@ -29,9 +30,10 @@ def queries() -> dict:
             op8_secret_scan,
             op9_quality,
             op10_langid,
+            op11_runs,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_runs": OP11_SQL}
