@@ -14,6 +14,7 @@ from .simhash import op3_simhash
 from .sketch import op7_sketch
 from .token_store import op1_token_store
 from .toxicity import op5_toxicity
+from .trie import OP13_SQL, op13_trie
 
 
 def queries() -> dict:
@@ -31,9 +32,10 @@ def queries() -> dict:
             op9_quality,
             op10_langid,
             op11_runs,
+            op13_trie,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_runs": OP11_SQL}
+    return {"op11_runs": OP11_SQL, "op13_trie": OP13_SQL}
