@@ -62,6 +62,21 @@ def discard(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+class Scratch:
+    """Tables of one run, deleted together once their result is written."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root = spark, new_path(spark, name)
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.root}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def discard(self) -> None:
+        discard(self.spark, self.root)
+
+
 def rotate_left(col: Column, n: int) -> Column:
     if n % 64 == 0:
         return col

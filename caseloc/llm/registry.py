@@ -4,6 +4,7 @@ and packing are outside SQL; there, tests compare with brute force."""
 from __future__ import annotations
 
 from .decontaminate import op6_decontaminate
+from .jaccard_join import OP12_SQL, op12_jaccard_join
 from .langid import op10_langid
 from .packing import op4_packing
 from .pii import op2_pii
@@ -32,10 +33,11 @@ def queries() -> dict:
             op9_quality,
             op10_langid,
             op11_runs,
+            op12_jaccard_join,
             op13_trie,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_runs": OP11_SQL, "op13_trie": OP13_SQL}
+    return {"op11_runs": OP11_SQL, "op12_jaccard_join": OP12_SQL, "op13_trie": OP13_SQL}

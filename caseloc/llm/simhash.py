@@ -16,8 +16,7 @@ Two users of this idea:
   member loses no component and the rows stay linear.
 * ``near_duplicates``: documents with a similarity of 0.8 or more on five-word
   shingles. That is about 15 % of differing bits, far beyond an exact key, so
-  no fingerprint is used there: an exact prefix join on the rarest shingles
-  finds the pairs and their whole sets decide.
+  no fingerprint is used there: ``jaccard_join`` finds the groups exactly.
 """
 
 from __future__ import annotations
@@ -30,8 +29,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, discard, new_path, rotate_left, table, written
-from .words import shingles, word_hashes
+from .common import connected_components, rotate_left, table, written
+from .jaccard_join import similar_groups, text_key
 
 SEED = 42
 _MIX = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1)) & (2**64 - 1) for k in range(64)], dtype=np.uint64)
@@ -224,492 +223,20 @@ def fingerprint_components(docs: DataFrame, words: int = 3, distance: int = 2) -
 
 # --- near-duplicates at a shingle similarity ---------------------------------
 
-#: Texts whose shingle counts set the order of shingles (about, at least, and at least one in SHARE), and shingles that get a count.
-SAMPLE, SHARE, COMMON = 20_000, 50, 1_000_000
-#: Slots by which rows are looked up in a broadcast; counts of shingles end here.
-SLOTS, FULL = 1 << 18, 127
-#: A meeting of more nodes is first cut down by stars, in at most so many rounds.
-HOT, ROUNDS = 16, 8
-#: A text without words: the set of this one value, so that all such texts are alike.
-_NO_WORDS = np.zeros(1, dtype=np.uint64)
-
-
-def _shingle_sets(texts: list[str | None], words: int):
-    """For each text its distinct shingles, sorted."""
-    for found in word_hashes(texts):
-        yield np.unique(shingles(found, words)) if len(found) else _NO_WORDS
-
-
-def _lists(parts: list[np.ndarray]) -> pa.ListArray:
-    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)))
-
-
-def _set_rows(words: int):
-    """(key, text) -> (key, its shingles)."""
-
-    def run(batches):
-        for batch in batches:
-            sets = list(_shingle_sets(batch.column(1).to_pylist(), words))
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(sets)], names=[batch.schema.names[0], "shingles"])
-
-    return run
-
-
-def prefix_size(n: int, similarity: float) -> int:
-    """Two sets of this similarity have a member in common among the first so
-    many of each, in any order that both follow."""
-    return n - math.ceil(similarity * n - 1e-9) + 1
-
-
-def _prefix_rows(words: int, similarity: float, shared):
-    """(node, text) -> (node, n, last, keys): the size of the set of shingles,
-    its prefix, rare shingles first, and the place of the prefix's last one in
-    the order. shared: a broadcast of common shingles, sorted, and their counts."""
-
-    def run(batches):
-        common, counts = shared.value
-        for batch in batches:
-            sizes, lasts, keys = [], [], []
-            for found in _shingle_sets(batch.column(1).to_pylist(), words):
-                size = prefix_size(len(found), similarity)
-                sizes.append(len(found))
-                order = np.zeros(len(found), dtype=np.uint64)
-                if len(common):
-                    at = np.minimum(np.searchsorted(common, found), len(common) - 1)
-                    order = np.where(common[at] == found, counts[at], 0).astype(np.uint64)
-                    first = np.argsort(order, kind="stable")[:size]
-                    found, order = found[first], order[first]
-                lasts.append(int(order[size - 1] << np.uint64(56) | found[size - 1] >> np.uint64(8)))
-                keys.append(found[:size])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, type=pa.int32()), pa.array(lasts, type=pa.int64()), _lists(keys)],
-                names=["node", "n", "last", "keys"],
-            )
-
-    return run
-
-
-def common_shingles(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles with at least two places in a sample of ``rows`` (node, text),
-    sorted, and how many. They only set an order: a shingle that is missed costs
-    time and loses no pair."""
-    total = max(1, rows.count())
-    share = min(1.0, max(SAMPLE, total / SHARE) / total)
-    some = rows.where(F.pmod(F.xxhash64("node"), F.lit(1_000_000)) < F.lit(math.ceil(share * 1_000_000)))
-    each = some.mapInArrow(_set_rows(words), "node string, shingles array<long>").select(F.explode("shingles").alias("s"))
-    found = each.groupBy("s").agg(F.count("*").alias("k")).where("k >= 2").orderBy(F.desc("k"), "s").limit(COMMON).toArrow()
-    common, counts = found.column("s").to_numpy().astype(np.int64).view(np.uint64), found.column("k").to_numpy()
-    order = np.argsort(common)
-    return common[order], np.minimum(counts[order], FULL).astype(np.uint8)
-
-
-def _may_be_alike(similarity: float) -> Column:
-    """Sizes, and places of a shared shingle, that leave room for the overlap."""
-    n, m, i, j = F.col("l.n"), F.col("r.n"), F.col("l.pos"), F.col("r.pos")
-    overlap = F.least(i, j) + 1 + F.least(n - i, m - j) - 1
-    return (F.least(n, m) >= F.greatest(n, m) * similarity - 1e-6) & (overlap * (1 + similarity) >= (n + m) * similarity - 1e-6)
-
-
-def _have_room(similarity: float, k: Column, n: Column, m: Column, l_last: Column, r_last: Column) -> Column:
-    """Whether k shared prefix shingles leave room for the overlap: of the set
-    whose prefix ends first, all other shared shingles are behind it."""
-    behind = lambda size: F.ceil(similarity * size - 1e-9) - 1
-    rest = F.when(l_last < r_last, behind(n)).when(l_last > r_last, behind(m)).otherwise(F.greatest(behind(n), behind(m)))
-    return (k + rest) * (1 + similarity) >= (n + m) * similarity - 1e-6
-
-
-def _alike(pairs: DataFrame, rows: DataFrame, sketches: DataFrame, similarity: float, words: int) -> DataFrame:
-    """The written ``pairs`` (a, b) whose whole sets of shingles have this
-    similarity."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    nodes = written(sketches.select("id", "node").join(ids, "id", "left_semi"), "near-nodes")
-    # Most rows are in no pair; the slots keep nearly all of those out of the shuffle.
-    slot = F.pmod(F.xxhash64("node"), F.lit(SLOTS)).alias("slot")
-    some = rows.select("node", "text", slot).join(F.broadcast(nodes.select(slot).distinct()), "slot", "left_semi")
-    texts = some.select("node", "text").dropDuplicates(["node"]).join(nodes, "node").select("id", "text")
-    spark, path = rows.sparkSession, new_path(rows.sparkSession, "near-sets")
-    texts.mapInArrow(_set_rows(words), "id long, shingles array<long>").write.parquet(path)
-    sets = spark.read.schema("id long, shingles array<long>").parquet(path)
-    left, right = (sets.select(F.col("id").alias(x), F.col("shingles").alias(f"set_{x}")) for x in ("a", "b"))
-    both = pairs.join(left, "a").join(right, "b")
-    shared = F.size(F.array_intersect("set_a", "set_b"))
-    found = written(both.where(shared / (F.size("set_a") + F.size("set_b") - shared) >= similarity).select("a", "b"), "near-pairs")
-    discard(spark, path)
-    return found
-
-
-def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return members.withColumn("label", F.col("id"))
-    return members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-
-
-def near_links(rows: DataFrame, sketches: DataFrame, similarity: float, words: int, bucket_cap: int) -> DataFrame:
-    """Links (a, b) between ids of ``sketches`` that keep every connected
-    component of "similarity or more" (exact Jaccard of distinct shingles).
-
-    Nodes that share a shingle of their prefixes meet. In a large meeting one
-    node is a hub: first that with the most large meetings, which has the fewest
-    shingles of its own, later another in each round. Every node is compared
-    with the hub it meets most, if they are not connected, so a group of copies
-    needs some stars and not all its pairs. Rounds end when they connect few. Then all
-    nodes that meet and are not connected yet are paired; how many shingles of
-    their prefixes are the same, and where the prefixes end, rules nearly all
-    pairs out that are not alike, without a loss; whole sets decide.
-    """
-    keys = sketches.select("id", "n", "last", F.posexplode("keys").alias("pos", "key")).repartition("key")
-    sizes = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    members = written(keys.join(sizes, "key"), "near-members")
-    links = labels = None
-    hot = members.where(F.col("size") > HOT)
-    hot = written(hot.join(hot.groupBy("id").agg(F.count("*").alias("degree")), "id"), "near-hot")
-    for turn in range(ROUNDS):
-        own = _labelled(hot, labels)
-        first = F.struct(-F.col("degree"), "id") if turn == 0 else F.struct(F.xxhash64("id", F.lit(turn)), "id")
-        hubs = own.groupBy("key").agg(
-            F.min_by(F.struct("id", "n", "pos", "label"), first).alias("l"), F.min("label").alias("low"), F.max("label").alias("high")
-        )
-        spokes = own.select("key", F.struct("id", "n", "pos", "label").alias("r")).join(hubs.where("low <> high").select("key", "l"), "key")
-        met = spokes.where((F.col("l.label") != F.col("r.label")) & _may_be_alike(similarity))
-        often = met.groupBy(F.col("r.id").alias("b"), F.col("l.id").alias("a")).agg(F.count("*").alias("k"))
-        stars = written(often.groupBy("b").agg(F.max_by("a", F.struct("k", "a")).alias("a")).select("a", "b"), "near-stars")
-        tried = stars.count()
-        if not tried:
-            break
-        found = _alike(stars, rows, sketches, similarity, words)
-        links = found if links is None else links.unionByName(found)
-        if found.count() * 20 < tried:
-            labels = None if links.isEmpty() else _components(links)
-            break
-        labels = _components(links)
-
-    # Small meetings: pairs with a row for each shingle that they share there; of
-    # large meetings two nodes share at most as many as the one that has fewer.
-    # Meetings whose nodes are all connected are no matter for a pair that is not.
-    own = written(_mixed(_labelled(hot, labels)), "near-own")
-    facts = own.groupBy("id").agg(
-        F.count("*").alias("large"), F.transform(F.sort_array(F.collect_list(F.struct("pos", "key"))), lambda x: x["key"]).alias("hot_keys")
-    )
-    facts = written(facts, "near-facts")
-    small = _mixed(_labelled(members.where(F.col("size") <= HOT), labels)).join(facts.select("id", "large"), "id", "left").na.fill(0, ["large"])
-    left, right = small.alias("l"), small.alias("r")
-    x = F.col("l.turned").bitwiseXOR(F.col("r.turned"))
-    pairs = left.join(
-        right,
-        (F.col("l.chain") == F.col("r.chain"))
-        & (F.col("l.key") == F.col("r.key"))
-        & (F.col("l.turned") < F.col("r.turned"))
-        & _within_budgets(x, distance, segments),
-    ).select(
-        upright(F.col("l.turned"), F.col("l.chain")).alias("a"),
-        upright(F.col("r.turned"), F.col("l.chain")).alias("b"),
-    )
-
-    # Large buckets: each member goes to the fingerprints within one bit of it
-    # (bits of the equal part need no turn).
-    equal = (segments - 1) // distance
-    least = min(sum(cuts[(s + i) % segments + 1] - cuts[(s + i) % segments] for i in range(equal)) for s in range(segments))
-    flips = F.array(F.lit(0).cast("long"), *[F.lit(_bit(i)) for i in range(64 - least)])
-    met = (
-        members.where(F.col("n") > bucket_cap)
-        .select("chain", "key", "turned", F.explode(flips).alias("flip"))
-        .withColumn("at", F.col("turned").bitwiseXOR(F.col("flip")))
-        .drop("flip")
-    )
-    # A meeting point has at most as many members as a fingerprint has near bits.
-    first = met.groupBy("chain", "at").agg(F.min("turned").alias("low"), F.count("*").alias("k")).where("k > 1")
-    if distance == 1:
-        first = first.where("false")
-    stars = (
-        met.join(first, ["chain", "at"])
-        .where("turned <> low")
-        .select(upright(F.col("turned"), F.col("chain")).alias("a"), upright(F.col("low"), F.col("chain")).alias("b"))
-    )
-    if distance == 1:
-        both = members.where(F.col("n") > bucket_cap)
-        near = met.where(F.col("at") != F.col("turned")).withColumnRenamed("turned", "other")
-        stars = (
-            near.join(both.select("chain", F.col("turned").alias("at")), ["chain", "at"])
-            .select(upright(F.col("other"), F.col("chain")).alias("a"), upright(F.col("at"), F.col("chain")).alias("b"))
-        )
-    ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return ordered(pairs).unionByName(ordered(stars)).distinct()
-
-
-def _bit(i: int) -> int:
-    return (1 << i) - (1 << 64) if i == 63 else 1 << i
-
-
-def fingerprint_components(docs: DataFrame, words: int = 3, distance: int = 2) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for each row of ``docs``.
-
-    component_id is the smallest doc_id that links lead to. Empty and null texts
-    have the zero fingerprint and are linked like others. Repeated rows stay; a
-    null doc_id stays and gets the component of its fingerprint, null if no row
-    of that has a doc_id. Columns other than doc_id and text are ignored.
-    """
-    fps = written(fingerprints(docs, words), "simhash")
-    lowest = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    roots = connected_components(hamming_links(fps, distance)).withColumnRenamed("node", "fp")
-    grouped = lowest.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    components = grouped.groupBy("root").agg(F.min("low").alias("component_id"))
-    by_fp = grouped.join(components, "root").select("fp", "component_id")
-    return fps.join(by_fp, "fp").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
-    )
-
-
-# --- near-duplicates at a shingle similarity ---------------------------------
-
-#: Texts whose shingle counts set the order of shingles (about, at least, and at least one in SHARE), and shingles that get a count.
-SAMPLE, SHARE, COMMON = 20_000, 50, 1_000_000
-#: Slots by which rows are looked up in a broadcast; counts of shingles end here.
-SLOTS, FULL = 1 << 18, 127
-#: A meeting of more nodes is first cut down by stars, in at most so many rounds.
-HOT, ROUNDS = 16, 8
-#: A text without words: the set of this one value, so that all such texts are alike.
-_NO_WORDS = np.zeros(1, dtype=np.uint64)
-
-
-def _shingle_sets(texts: list[str | None], words: int):
-    """For each text its distinct shingles, sorted."""
-    for found in word_hashes(texts):
-        yield np.unique(shingles(found, words)) if len(found) else _NO_WORDS
-
-
-def _lists(parts: list[np.ndarray]) -> pa.ListArray:
-    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)))
-
-
-def _set_rows(words: int):
-    """(key, text) -> (key, its shingles)."""
-
-    def run(batches):
-        for batch in batches:
-            sets = list(_shingle_sets(batch.column(1).to_pylist(), words))
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(sets)], names=[batch.schema.names[0], "shingles"])
-
-    return run
-
-
-def prefix_size(n: int, similarity: float) -> int:
-    """Two sets of this similarity have a member in common among the first so
-    many of each, in any order that both follow."""
-    return n - math.ceil(similarity * n - 1e-9) + 1
-
-
-def _prefix_rows(words: int, similarity: float, shared):
-    """(node, text) -> (node, n, last, keys): the size of the set of shingles,
-    its prefix, rare shingles first, and the place of the prefix's last one in
-    the order. shared: a broadcast of common shingles, sorted, and their counts."""
-
-    def run(batches):
-        common, counts = shared.value
-        for batch in batches:
-            sizes, lasts, keys = [], [], []
-            for found in _shingle_sets(batch.column(1).to_pylist(), words):
-                size = prefix_size(len(found), similarity)
-                sizes.append(len(found))
-                order = np.zeros(len(found), dtype=np.uint64)
-                if len(common):
-                    at = np.minimum(np.searchsorted(common, found), len(common) - 1)
-                    order = np.where(common[at] == found, counts[at], 0).astype(np.uint64)
-                    first = np.argsort(order, kind="stable")[:size]
-                    found, order = found[first], order[first]
-                lasts.append(int(order[size - 1] << np.uint64(56) | found[size - 1] >> np.uint64(8)))
-                keys.append(found[:size])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, type=pa.int32()), pa.array(lasts, type=pa.int64()), _lists(keys)],
-                names=["node", "n", "last", "keys"],
-            )
-
-    return run
-
-
-def common_shingles(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles with at least two places in a sample of ``rows`` (node, text),
-    sorted, and how many. They only set an order: a shingle that is missed costs
-    time and loses no pair."""
-    total = max(1, rows.count())
-    share = min(1.0, max(SAMPLE, total / SHARE) / total)
-    some = rows.where(F.pmod(F.xxhash64("node"), F.lit(1_000_000)) < F.lit(math.ceil(share * 1_000_000)))
-    each = some.mapInArrow(_set_rows(words), "node string, shingles array<long>").select(F.explode("shingles").alias("s"))
-    found = each.groupBy("s").agg(F.count("*").alias("k")).where("k >= 2").orderBy(F.desc("k"), "s").limit(COMMON).toArrow()
-    common, counts = found.column("s").to_numpy().astype(np.int64).view(np.uint64), found.column("k").to_numpy()
-    order = np.argsort(common)
-    return common[order], np.minimum(counts[order], FULL).astype(np.uint8)
-
-
-def _may_be_alike(similarity: float) -> Column:
-    """Sizes, and places of a shared shingle, that leave room for the overlap."""
-    n, m, i, j = F.col("l.n"), F.col("r.n"), F.col("l.pos"), F.col("r.pos")
-    overlap = F.least(i, j) + 1 + F.least(n - i, m - j) - 1
-    return (F.least(n, m) >= F.greatest(n, m) * similarity - 1e-6) & (overlap * (1 + similarity) >= (n + m) * similarity - 1e-6)
-
-
-def _have_room(similarity: float, k: Column, n: Column, m: Column, l_last: Column, r_last: Column) -> Column:
-    """Whether k shared prefix shingles leave room for the overlap: of the set
-    whose prefix ends first, all other shared shingles are behind it."""
-    behind = lambda size: F.ceil(similarity * size - 1e-9) - 1
-    rest = F.when(l_last < r_last, behind(n)).when(l_last > r_last, behind(m)).otherwise(F.greatest(behind(n), behind(m)))
-    return (k + rest) * (1 + similarity) >= (n + m) * similarity - 1e-6
-
-
-def _alike(pairs: DataFrame, rows: DataFrame, sketches: DataFrame, similarity: float, words: int) -> DataFrame:
-    """The written ``pairs`` (a, b) whose whole sets of shingles have this
-    similarity."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    nodes = written(sketches.select("id", "node").join(ids, "id", "left_semi"), "near-nodes")
-    # Most rows are in no pair; the slots keep nearly all of those out of the shuffle.
-    slot = F.pmod(F.xxhash64("node"), F.lit(SLOTS)).alias("slot")
-    some = rows.select("node", "text", slot).join(F.broadcast(nodes.select(slot).distinct()), "slot", "left_semi")
-    texts = some.select("node", "text").dropDuplicates(["node"]).join(nodes, "node").select("id", "text")
-    spark, path = rows.sparkSession, new_path(rows.sparkSession, "near-sets")
-    texts.mapInArrow(_set_rows(words), "id long, shingles array<long>").write.parquet(path)
-    sets = spark.read.schema("id long, shingles array<long>").parquet(path)
-    left, right = (sets.select(F.col("id").alias(x), F.col("shingles").alias(f"set_{x}")) for x in ("a", "b"))
-    both = pairs.join(left, "a").join(right, "b")
-    shared = F.size(F.array_intersect("set_a", "set_b"))
-    found = written(both.where(shared / (F.size("set_a") + F.size("set_b") - shared) >= similarity).select("a", "b"), "near-pairs")
-    discard(spark, path)
-    return found
-
-
-def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return members.withColumn("label", F.col("id"))
-    return members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-
-
-def near_links(rows: DataFrame, sketches: DataFrame, similarity: float, words: int, bucket_cap: int) -> DataFrame:
-    """Links (a, b) between ids of ``sketches`` that keep every connected
-    component of "similarity or more" (exact Jaccard of distinct shingles).
-
-    Nodes that share a shingle of their prefixes meet. In a large meeting one
-    node is a hub: first that with the most large meetings, which has the fewest
-    shingles of its own, later another in each round. Every node is compared
-    with the hub it meets most, if they are not connected, so a group of copies
-    needs some stars and not all its pairs. Rounds end when they connect few. Then all
-    nodes that meet and are not connected yet are paired; how many shingles of
-    their prefixes are the same, and where the prefixes end, rules nearly all
-    pairs out that are not alike, without a loss; whole sets decide.
-    """
-    keys = sketches.select("id", "n", "last", F.posexplode("keys").alias("pos", "key")).repartition("key")
-    sizes = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    members = written(keys.join(sizes, "key"), "near-members")
-    links = labels = None
-    hot = members.where(F.col("size") > HOT)
-    hot = written(hot.join(hot.groupBy("id").agg(F.count("*").alias("degree")), "id"), "near-hot")
-    for turn in range(ROUNDS):
-        own = _labelled(hot, labels)
-        first = F.struct(-F.col("degree"), "id") if turn == 0 else F.struct(F.xxhash64("id", F.lit(turn)), "id")
-        hubs = own.groupBy("key").agg(
-            F.min_by(F.struct("id", "n", "pos", "label"), first).alias("l"), F.min("label").alias("low"), F.max("label").alias("high")
-        )
-        spokes = own.select("key", F.struct("id", "n", "pos", "label").alias("r")).join(hubs.where("low <> high").select("key", "l"), "key")
-        met = spokes.where((F.col("l.label") != F.col("r.label")) & _may_be_alike(similarity))
-        often = met.groupBy(F.col("r.id").alias("b"), F.col("l.id").alias("a")).agg(F.count("*").alias("k"))
-        stars = written(often.groupBy("b").agg(F.max_by("a", F.struct("k", "a")).alias("a")).select("a", "b"), "near-stars")
-        tried = stars.count()
-        if not tried:
-            break
-        found = _alike(stars, rows, sketches, similarity, words)
-        links = found if links is None else links.unionByName(found)
-        if found.count() * 20 < tried:
-            labels = None if links.isEmpty() else _components(links)
-            break
-        labels = _components(links)
-
-    # Small meetings: pairs with a row for each shingle that they share there; of
-    # large meetings two nodes share at most as many as the one that has fewer.
-    facts = hot.groupBy("id").agg(
-        F.count("*").alias("large"), F.transform(F.sort_array(F.collect_list(F.struct("pos", "key"))), lambda x: x["key"]).alias("hot_keys")
-    )
-    facts = written(facts, "near-facts")
-    small = _mixed(_labelled(members.where(F.col("size") <= HOT), labels)).join(facts.select("id", "large"), "id", "left").na.fill(0, ["large"])
-    left, right = small.alias("l"), small.alias("r")
-    apart = (F.col("l.id") < F.col("r.id")) & (F.col("l.label") != F.col("r.label"))
-    ends = [F.col("l.n").alias("n"), F.col("r.n").alias("m"), F.col("l.last").alias("l_last"), F.col("r.last").alias("r_last")]
-    few = (
-        left.join(right, (F.col("l.key") == F.col("r.key")) & apart & _may_be_alike(similarity))
-        .select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), *ends, F.least("l.large", "r.large").alias("more"))
-        .groupBy("a", "b", "n", "m", "l_last", "r_last", "more")
-        .agg(F.count("*").alias("k"))
-        .where(_have_room(similarity, F.col("k") + F.col("more"), *map(F.col, ("n", "m", "l_last", "r_last"))))
-        .select("a", "b")
-    )
-    # Large ones: a node brings its shingles of large meetings, so that a pair is
-    # judged where it meets first; of small ones they share at most ``small``.
-    counts = members.where(F.col("size") <= HOT).join(facts.select("id"), "id", "left_semi").groupBy("id").agg(F.count("*").alias("small"))
-    brought = facts.select("id", "hot_keys").join(counts, "id", "left").na.fill(0, ["small"])
-    dealt = (
-        own.withColumn("blocks", F.ceil(F.col("size") / bucket_cap).cast("int"))
-        .withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumn("x", F.least("own", "other"))
-        .withColumn("y", F.greatest("own", "other"))
-        .select("key", "x", "y", "own", "id", "n", "last", "pos", "label")
-        .join(brought, "id")
-    )
-    left, right = dealt.alias("l"), dealt.alias("r")
-    together = (F.col("l.key") == F.col("r.key")) & (F.col("l.x") == F.col("r.x")) & (F.col("l.y") == F.col("r.y"))
-    once = (F.least("l.own", "r.own") == F.col("l.x")) & (F.greatest("l.own", "r.own") == F.col("l.y"))
-    same = F.array_intersect("l.hot_keys", "r.hot_keys")
-    room = _have_room(similarity, F.size(same) + F.least("l.small", "r.small"), *map(F.col, ("l.n", "r.n", "l.last", "r.last")))
-    many = left.join(right, together & once & apart & _may_be_alike(similarity) & (F.get(same, F.lit(0)) == F.col("l.key")) & room)
-    pairs = few.unionByName(many.select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))).distinct()
-    found = _alike(written(pairs, "near-close"), rows, sketches, similarity, words)
-    return found if links is None else links.unionByName(found)
-
-
-def _mixed(labelled: DataFrame) -> DataFrame:
-    """Members of meetings whose nodes are not all connected yet."""
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    return labelled.join(mixed, "key", "left_semi")
-
-
-def _components(links: DataFrame) -> DataFrame:
-    return written(connected_components(links).select(F.col("node").alias("id"), F.col("root").alias("label")), "near-labels")
-
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, bucket_cap: int = 1_024) -> DataFrame:
-    """(doc_id, text_md5, group_id, keep_id): one row for each distinct pair of
-    doc_id and text.
-
-    Exact copies share a node (the MD5 of their text). Nodes are linked if the
-    Jaccard similarity of their sets of ``shingle_words``-word shingles (64-bit
-    hashes; a shorter text is one shingle) is ``similarity`` or more: an exact
-    prefix join finds the pairs, their whole sets decide. A meeting of more than
-    ``bucket_cap`` nodes is cut into blocks and every pair of blocks is compared
-    apart. group_id is the smallest MD5 of a group, keep_id its smallest doc_id.
-    All texts without words (null, empty, blank) form one group.
+    """(doc_id, text_md5, group_id, keep_id, keep_node): one row for each distinct
+    pair of doc_id and text.
+
+    Texts are linked if the Jaccard similarity of their sets of shingles is
+    ``similarity`` or more (``jaccard_join.similar_groups``). group_id is the
+    smallest MD5 of a group, keep_id its smallest doc_id, keep_node the MD5 that
+    goes with it. All texts without words (null, empty, blank) form one group.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_key("text").alias("node"))
-    common = common_shingles(rows.select("node", "text"), shingle_words)
-    shared = docs.sparkSession.sparkContext.broadcast(common)  # at most COMMON shingles
-    # Ids are fixed by the writing, and shorter than keys of texts in the shuffles below.
-    sketches = written(
-        rows.select("node", "text")
-        .mapInArrow(_prefix_rows(shingle_words, similarity, shared), "node string, n int, last long, keys array<long>")
-        .dropDuplicates(["node"])
-        .withColumn("id", F.monotonically_increasing_id()),
-        "near-sketches",
-    )
-    roots = connected_components(near_links(rows, sketches, similarity, shingle_words, bucket_cap))
-    ids = written(rows.select("doc_id", "node").distinct(), "near-ids")
-    nodes = ids.groupBy("node").agg(F.min("doc_id").alias("low")).join(sketches.select("node", "id"), "node")
-    grouped = nodes.join(roots.withColumnRenamed("node", "id"), "id", "left").select("node", "low", F.coalesce("root", "id").alias("root"))
-    first = F.min_by("node", F.struct(F.col("low").isNull().alias("no_id"), "low", "node"))
-    kept = grouped.groupBy("root").agg(F.min("node").alias("group_id"), F.min("low").alias("keep_id"), first.alias("keep_node"))
-    by_node = grouped.join(kept, "root").select("node", "group_id", "keep_id", "keep_node")
-    return ids.join(by_node, "node").select("doc_id", F.col("node").alias("text_md5"), "group_id", "keep_id", "keep_node")
-
-
-def text_key(name: str) -> Column:
-    """MD5 of a text; a null text has a key of its own."""
-    return F.coalesce(F.md5(F.col(name).cast("binary")), F.lit("null"))
+    groups = similar_groups(docs, similarity, shingle_words, bucket_cap).groupBy("node", "root", "doc_id").agg(F.count("*").alias("rows"))
+    first = F.min_by("node", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node"))
+    kept = groups.groupBy("root").agg(F.min("node").alias("group_id"), F.min("doc_id").alias("keep_id"), first.alias("keep_node"))
+    return groups.join(kept, "root").select("doc_id", F.col("node").alias("text_md5"), "group_id", "keep_id", "keep_node")
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:

@@ -1,6 +1,8 @@
 """Long texts over blocks, dirty labels, odd rows through the pipeline's stages."""
 
+import ast
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -73,3 +75,9 @@ def test_stages_on_empty_and_odd_tables(spark, tmp_path, rows):
         assert out.columns == docs.columns and out.count() <= now.count(), name
     packed = corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path)).collect()
     assert len({r.doc_id for r in packed}) == len({r[0] for r in rows})
+
+
+def test_no_name_is_defined_twice():
+    for path in Path(packing.__file__).parents[1].rglob("*.py"):
+        names = [n.name for n in ast.parse(path.read_text()).body if isinstance(n, (ast.FunctionDef, ast.ClassDef))]
+        assert len(names) == len(set(names)), path
