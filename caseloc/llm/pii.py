@@ -64,12 +64,23 @@ PHONE = (
     r"(?<![\p{L}\p{N}.+])(?:\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?\d{2,4}){1,3}"
     r"|\(\d{3}\) ?\d{3}[ .\-]?\d{4}|\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4})(?![\p{L}\p{N}])"
 )
-NAME_WORD = r"\p{Lu}\p{L}[\p{L}'’\-]*"
-NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{MALE_TITLES}|{FEMALE_TITLES}|{NEUTRAL_TITLES})\.? {NAME_WORD}(?: {NAME_WORD}){{0,2}}"
-PATTERN = "|".join((EMAIL, IBAN, IP, SSN, NUMBER, PHONE, NAME))
-_UNTITLED = rf"(?!(?:{MALE_TITLES}|{FEMALE_TITLES}|{NEUTRAL_TITLES})\.? ){NAME_WORD}"
-#: Capitalised words, which may be a name that the text has with a title elsewhere.
-CAPITALS = rf"(?<![\p{{L}}\p{{N}}]){_UNTITLED}(?: {_UNTITLED})*(?![\p{{L}}\p{{N}}@]|[._%+\-]+[\p{{L}}\p{{N}}._%+\-]*@)"
+#: Eight groups of hexadecimal digits, or fewer and one gap; three groups at least.
+IP6 = (
+    r"(?<![\p{L}\p{N}:.])(?=[0-9A-Fa-f:]{0,40}::|(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f])"
+    r"(?:[0-9A-Fa-f]{0,4}:){2,8}[0-9A-Fa-f]{0,4}(?![\p{L}\p{N}:])"
+)
+_TITLES = f"(?:{MALE_TITLES}|{FEMALE_TITLES}|{NEUTRAL_TITLES})"
+#: No group repeats without a bound: Java calls itself for each turn of one.
+NAME_WORD = r"\p{Lu}(?:\p{L}++|(?=['’\-]\p{L}))(?:['’\-]\p{L}++){0,4}+"
+INITIALS = r"(?:\p{Lu}\.){1,3}"
+#: A title, then initials and one to three words, or a single letter.
+NAME = (
+    rf"(?<![\p{{L}}\p{{N}}]){_TITLES}\.? (?:(?:{INITIALS} ){{0,3}}{NAME_WORD}(?: (?:{INITIALS} )?{NAME_WORD}){{0,2}}"
+    r"|[\p{Lu}&&[^AI]](?![\p{L}\p{N}'’\-]|\.\p{L}))"
+)
+PATTERN = "|".join((EMAIL, IBAN, IP, IP6, SSN, NUMBER, PHONE, NAME))
+#: A capitalised word, which may be of a name that the text has with a title elsewhere.
+CAPITALS = rf"(?<![\p{{L}}\p{{N}}])(?!{_TITLES}\.? ){NAME_WORD}(?![\p{{L}}\p{{N}}@]|[._%+\-]+[\p{{L}}\p{{N}}._%+\-]*@)"
 
 
 def _whole(m: Column, pattern: str) -> Column:
@@ -84,8 +95,12 @@ def kind_of(m: Column) -> Column:
     """Type of a match; null if it only looks like one (an address with a part
     over 255)."""
     octets = F.transform(F.split(m, r"\."), lambda x: x.cast("int"))
+    groups = F.size(F.filter(F.split(m, ":"), lambda x: x != ""))
+    gaps = F.size(F.split(m, "::")) - 1
+    edges = m.rlike("^:[^:]|[^:]:$") | m.contains(":::")
     return (
         F.when(m.contains("@"), "email")
+        .when(_whole(m, IP6), F.when(~edges & (((gaps == 1) & groups.between(3, 7)) | ((gaps == 0) & (groups == 8))), "ip6"))
         .when(_whole(m, IP), F.when(F.forall(octets, lambda x: x <= 255), "ip"))
         .when(_whole(m, IBAN), "iban")
         .when(_whole(m, SSN), "ssn")
@@ -109,11 +124,12 @@ def _plain(w: Column) -> Column:
     return F.lower(F.regexp_replace(w, "['’]s$", ""))
 
 
-def entities(m: Column) -> Column:
+def entities(m: Column, after: Column) -> Column:
     """The entities of a match, in order: structs of raw (the plain word of a
     name), next (the word after it), gender (of a title) and key. One for most types,
     one for each word of a name (the last is the family name; before gender is
-    settled, key lacks it), and for capitalised words one each without key."""
+    settled, key lacks it), and for a capitalised word one without key. after: the
+    match behind it, if there is but a blank between."""
     kind = kind_of(m)
     words = F.split(m, " ")
     gender = _gender(F.get(words, F.lit(0)))
@@ -121,8 +137,9 @@ def entities(m: Column) -> Column:
     def word(own: Column, gender: Column, named: bool):
         def one(w: Column, i: Column) -> Column:
             last = i == F.size(own) - 1
-            key = F.concat(F.when(last, "family|").otherwise("given|"), _plain(w)) if named else F.lit(None).cast("string")
-            return F.struct(_plain(w).alias("raw"), _plain(F.get(own, i + 1)).alias("next"), gender.alias("gender"), key.alias("key"))
+            part = F.when(_whole(w, INITIALS), "initial|").when(last, "family|").otherwise("given|")
+            key = F.concat(part, _plain(w)) if named else F.lit(None).cast("string")
+            return F.struct(_plain(w).alias("raw"), _plain(F.coalesce(F.get(own, i + 1), after)).alias("next"), gender.alias("gender"), key.alias("key"))
 
         return F.transform(own, one)
 
@@ -202,6 +219,22 @@ def _mod97(s: Column) -> Column:
     )
 
 
+def turned_initials(key: Column, secret: str) -> Column:
+    """Each letter of initials moved on in its alphabet by a number that the secret
+    gives, so different initials stay different."""
+    by = F.conv(F.substring(F.sha2(F.concat_ws("\u0001", F.lit(secret), F.lit("initial")), 256), 1, 6), 16, 10).cast("long")
+
+    def one(c: Column) -> Column:
+        out = c
+        for letters in ALPHABETS.values():
+            at = F.instr(F.lit(letters), c)
+            step = 1 + by % (len(letters) - 1)
+            out = F.when(at > 0, F.substring(F.lit(letters), ((at - 1 + step) % len(letters)).cast("int") + 1, F.lit(1))).otherwise(out)
+        return F.upper(out)
+
+    return F.array_join(F.transform(_chars(F.regexp_replace(key, r"^[^|]*\|", "")), one), "")
+
+
 def _name_pick(digest: Column, i: int, values: str) -> Column:
     names = values.split()
     return F.element_at(F.array(*map(F.lit, names)), (_number_at(digest, F.lit(i)) % len(names)).cast("int") + 1)
@@ -226,6 +259,8 @@ def draw(key: Column, attempt: Column, secret: str) -> Column:
     ip = F.when(private == "192.168", F.concat_ws(".", private, octet(1), octet(2))).when(
         private != "", F.concat_ws(".", private, octet(1), octet(2), octet(3))
     ).otherwise(F.concat_ws(".", first.cast("string"), octet(1), octet(2), octet(3)))
+    hexadecimal = lambda i: F.concat(_pick(digest, i * 4, "123456789abcdef"), *[_pick(digest, i * 4 + j, "0123456789abcdef") for j in (1, 2, 3)])
+    ip6 = F.array_join(F.transform(F.split(canon, ":"), lambda x, i: F.when(x == "", x).otherwise(hexadecimal(i))), ":")
     account = _same_format(F.substring(canon, F.lit(5), n), digest)
     blank = F.concat(F.substring(canon, 1, 2), F.lit("00"), account)
     iban = F.concat(F.substring(canon, 1, 2), F.lpad((F.lit(98) - _mod97(blank)).cast("string"), 2, "0"), account)
@@ -256,6 +291,7 @@ def draw(key: Column, attempt: Column, secret: str) -> Column:
         .when(kind == "number", number)
         .when(kind == "ssn", F.concat(_not_small(at(1)), F.substring(stream, 2, 8)))
         .when(kind == "ip", ip)
+        .when(kind == "ip6", ip6)
         .when(kind == "iban", iban)
         .when(kind == "email", email)
         .when(kind == "family", family)
@@ -432,7 +468,7 @@ def _render(m: Column, found: Column) -> Column:
         .when(kind == "iban", spaced)
         .when(kind == "name", F.concat_ws(" ", F.get(words, F.lit(0)), replaced(1)))
         .when(kind == "capitals", F.concat_ws(" ", replaced(0)))
-        .when(kind == "email", in_case(m, own))
+        .when(kind.isin("email", "ip6"), in_case(m, own))
         .when(kind.isNotNull(), own)
     )
 
@@ -458,8 +494,11 @@ def _keyed(cut: DataFrame) -> DataFrame:
     name without title counts in a text that has it with one: the family name
     alone, and words before it as they stand there.
     """
-    found = cut.where(F.size("_parts") > 1).select("_id", F.posexplode(_matches(F.col("_parts"))).alias("n", "m"))
-    named = found.select("_id", "n", _plain(F.regexp_replace("m", r"^\S+ ", "")).alias("whole"), F.posexplode(entities(F.col("m"))).alias("w", "x"))
+    after = lambda i: F.when(F.get("_parts", i + 1) == " ", F.get("_parts", i + 2))
+    each = F.transform("_parts", lambda p, i: F.when(i % 2 == 1, F.struct(p.alias("m"), after(i).alias("after"))))
+    found = cut.where(F.size("_parts") > 1).select("_id", F.posexplode(F.filter(each, lambda x: x.isNotNull())).alias("n", "x")).select("_id", "n", "x.*")
+    whole = _plain(F.regexp_replace("m", r"^\S+ ", "")).alias("whole")
+    named = found.select("_id", "n", whole, F.posexplode(entities(F.col("m"), F.col("after"))).alias("w", "x"))
     words = written(named.select("_id", "n", "w", "x.*", "whole"), "pii-words")
     given = words.where("key like 'given|%'")
     known = given.where("gender <> 'n'").groupBy("whole").agg(F.min("gender").alias("low"), F.max("gender").alias("high")).where("low = high")
@@ -487,9 +526,16 @@ def pseudonymize(docs: DataFrame, secret: str = DEFAULT_KEY, count: str | None =
 
     Null and empty texts stay as they are. Equal texts stay equal; repeated rows
     stay; a very long text costs in proportion to its length and mentions.
-    n_chars and other columns are not touched. Names are found by a title; the
+    n_chars and other columns are not touched.
+
+    Found are e-mail addresses, IBANs, IPv4 and IPv6 addresses (three groups or
+    more; other spellings of one IPv6 address are other entities), social security
+    numbers, card-like numbers, telephone numbers, and names of people with a title
+    (O'Neil, D'Angelo, double names, initials, a single letter but A and I). The
     same name without title is replaced in the same text (in any case, with or
-    without a genitive ending), a given name alone is not. Any number of entities has surrogates; see ``surrogates``.
+    without a genitive ending), a given name, initials or a letter alone are not.
+    Initials become other initials, the same everywhere. Any number of entities has
+    surrogates; see ``surrogates``.
     """
     rest = [c for c in docs.columns if c != "text"]
     text = F.col("_text")
@@ -500,10 +546,13 @@ def pseudonymize(docs: DataFrame, secret: str = DEFAULT_KEY, count: str | None =
     cut = written(first.select(F.monotonically_increasing_id().alias("_id"), "_row", again.alias("_parts")), "pii-cut")
 
     keyed = written(_keyed(cut), "pii-keyed")
-    drawn = keyed.where("key is not null").join(surrogates(keyed.where("key is not null").select("key"), secret), "key")
+    is_initial = F.col("key").startswith("initial|")
+    initials = keyed.where(is_initial).select("_id", "n", "w", turned_initials(F.col("key"), secret).alias("surrogate"))
+    keys = keyed.where(F.col("key").isNotNull() & ~is_initial)
+    drawn = keys.join(surrogates(keys.select("key"), secret), "key")
     every = drawn.select("_id", "n", "w", "surrogate").unionByName(
         keyed.where("key is null").select("_id", "n", "w", F.lit(None).cast("string").alias("surrogate"))
-    )
+    ).unionByName(initials)
     # As many entries as the text has words of entities, in the order of its matches.
     by_match = every.groupBy("_id", "n").agg(F.sort_array(F.collect_list(F.struct("w", "surrogate"))).alias("x"))
     own = by_match.groupBy("_id").agg(F.sort_array(F.collect_list(F.struct("n", F.col("x.surrogate").alias("new")))).alias("_new"))
