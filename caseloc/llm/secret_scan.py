@@ -33,13 +33,14 @@ KNOWN_FORMS = (
 _NAME = r"[\p{L}_][\p{L}\p{N}_.\-]{0,60}+"
 _SIGN = r"[\"']? ?(?::=|=>|[=:]) ?"
 #: A value assigned to a name of a secret (quoted, of 4 letters or more, or the run up to a blank), to any name (quoted,
-#: of 8 or more, or an unquoted run of 8 or more with a digit), and an opaque run of 16 or more with a digit, with the
-#: parts after its dots. A run may be as long as it is.
+#: of 8 or more, or an unquoted run of 8 or more with a digit), and an opaque run of 16 or more with a digit, with what
+#: follows its dots (``_dotted`` keeps the parts of 4 letters or more). A run may be as long as it is: no group repeats
+#: without a bound, as Java calls itself for each turn of one.
 CANDIDATE = "|".join(
     (
         rf"(?<![\p{{L}}\p{{N}}_.\-])(?=[\p{{L}}\p{{N}}_.\-]{{0,60}}?(?i:{SECRET_WORDS})){_NAME}{_SIGN}(?:\"[^\"\n]{{4,}}+\"|'[^'\n]{{4,}}+'|[^\s\"',;]{{4,}}+)",
         rf"(?<![\p{{L}}\p{{N}}_.\-]){_NAME}{_SIGN}(?:\"[^\"\s]{{8,}}+\"|'[^'\s]{{8,}}+'|(?=[^\s\"',;0-9]*[0-9])[^\s\"',;]{{8,}}+)",
-        r"(?<![A-Za-z0-9_+/\-=@.])(?=[A-Za-z_+/\-]*[0-9])[A-Za-z0-9_+/\-]{16,}+={0,2}(?:\.[A-Za-z0-9_\-]{4,}+)*(?![A-Za-z0-9_+/\-@])",
+        r"(?<![A-Za-z0-9_+/\-=@.])(?=[A-Za-z_+/\-]*[0-9])[A-Za-z0-9_+/\-]{16,}+={0,2}(?:\.[A-Za-z0-9_.\-]*+)?(?![A-Za-z0-9_+/\-@])",
         r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----",
     )
 )
@@ -56,6 +57,13 @@ def _cut(text: Column) -> Column:
     return F.when(text.contains(MARK), slow).otherwise(quick)
 
 
+def _dotted(run: Column) -> Column:
+    """A run up to the first part behind a dot that is shorter than 4 letters."""
+    parts = F.split(run, r"\.")
+    short = F.array_position(F.transform(parts, lambda p, i: (i > 0) & (F.length(p) < 4)), F.lit(True)).cast("int")
+    return F.when(short > 0, F.array_join(F.slice(parts, F.lit(1), F.greatest(short - 1, F.lit(1))), ".")).otherwise(run)
+
+
 def findings(docs: DataFrame, path: str = "source") -> DataFrame:
     """(doc_id, path, start, value, name, before, after): every candidate of
     every whole text, start in code points from 0.
@@ -85,6 +93,8 @@ def findings(docs: DataFrame, path: str = "source") -> DataFrame:
     body = F.when(named, F.substring(F.col("match"), head + 1, F.length("match"))).otherwise(F.col("match"))
     quoted = F.regexp_extract("match", assigned, 2) != ""
     value = F.when(named & quoted, F.substring(body, F.lit(1), F.length(body) - 1)).otherwise(F.regexp_replace(body, r"[.:!?)]+$", ""))
+    opaque = ~named & ~F.col("match").startswith("-----")
+    value = F.when(opaque, _dotted(F.col("match"))).otherwise(value)
     return placed.select(
         "doc_id",
         "path",
