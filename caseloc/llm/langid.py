@@ -12,6 +12,9 @@ page does not vote for itself.
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,7 +31,7 @@ MOST_EVIDENCE = 60.0
 SMOOTHING = 5.0
 #: A soft label is not trusted further than this.
 LEAST_DOUBT = 0.01
-#: Languages at most.
+#: Languages at most, if a caller says nothing else; see ``labels``.
 LANGUAGES = 256
 
 _LETTERS = np.zeros(256, dtype=bool)
@@ -57,11 +60,21 @@ def _buckets_by_text(texts: list[str | None]) -> list[np.ndarray]:
     return [np.concatenate(p) if p else np.zeros(0, np.int64) for p in parts]
 
 
-def trigram_model(docs: DataFrame) -> tuple[list[str], np.ndarray]:
+def labels(docs: DataFrame, languages: int | None = None) -> DataFrame:
+    """(lang, rows, used): each label of ``docs``, how many texts have it, and
+    whether it is among the ``languages`` most frequent ones, which count as
+    languages; the rest is dirt. A model has 32,768 numbers for each."""
+    rows = docs.select(F.lower("lang").alias("lang"), "text").where("lang is not null and text is not null")
+    counts = rows.groupBy("lang").agg(F.count("*").alias("rows"))
+    top = counts.orderBy(F.desc("rows"), "lang").limit(languages or LANGUAGES).select("lang", F.lit(True).alias("used"))
+    return counts.join(F.broadcast(top), "lang", "left").na.fill(False, ["used"])
+
+
+def trigram_model(docs: DataFrame, languages: int | None = None) -> tuple[list[str], np.ndarray]:
     """Languages in order and log P(bucket | language), from all rows of
     ``docs`` (text, lang) with a language. Each task adds up its own counts; the
-    driver gets languages times buckets numbers. Labels beyond the ``LANGUAGES``
-    most frequent ones are dirt and not languages."""
+    driver gets languages times buckets numbers. Labels beyond the ``languages``
+    most frequent ones (256) are dirt and not languages; ``labels`` counts them."""
 
     def run(batches):
         total: dict[str, np.ndarray] = {}
@@ -76,7 +89,7 @@ def trigram_model(docs: DataFrame) -> tuple[list[str], np.ndarray]:
             )
 
     rows = docs.select(F.col("text").cast("string"), F.lower("lang").alias("lang")).where("lang is not null and text is not null")
-    common = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    common = [r.lang for r in labels(docs, languages).where("used").collect()]
     rows = rows.where(F.col("lang").isin(common))
     counted = rows.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(counted["lang"].unique())
@@ -87,10 +100,44 @@ def trigram_model(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     return langs, np.log(counts / counts.sum(axis=1, keepdims=True)) if langs else counts
 
 
-def page_text(html: Column) -> Column:
-    """Text of a page: no scripts, styles, comments, navigation or tags."""
-    bare = F.regexp_replace(html, r"(?is)<(script|style|noscript|nav|head)\b[^>]*>.*?</\1\s*>|<!--.*?-->", " ")
-    return F.regexp_replace(F.regexp_replace(bare, r"(?s)<[^>]*>", " "), r"&(?:#\d+|#x[0-9A-Fa-f]+|\w+);", " ")
+_TAG = re.compile(r"<[^>]*>")
+_ENTITY = re.compile(r"&(?:#\d+|#x[0-9A-Fa-f]+|\w+);", re.ASCII)
+_OPENING = re.compile(r"<(?:(script|style|noscript|nav|head)\b|!--)", re.ASCII | re.IGNORECASE)
+_CLOSING = re.compile(r"</(script|style|noscript|nav|head)\s*>|-->", re.ASCII | re.IGNORECASE)
+
+
+def page_text(html: str | None) -> str:
+    """Text of a page: no scripts, styles, comments, navigation, tags or entities.
+    An element or comment that is never closed loses only its tag. Ends are looked
+    up among those listed once, so any page costs in proportion."""
+    if not html:
+        return ""
+    ends: dict[str, tuple[list[int], list[int]]] = {}
+    for m in _CLOSING.finditer(html):
+        starts, stops = ends.setdefault((m[1] or "!--").lower(), ([], []))
+        starts.append(m.start())
+        stops.append(m.end())
+    brackets = [m.start() for m in re.finditer(">", html)] if ends else []
+    kept, at = [], 0
+    for m in _OPENING.finditer(html):
+        name = (m[1] or "!--").lower()
+        if m.start() < at or name not in ends:
+            continue
+        inner = m.end()
+        if m[1]:
+            k = bisect_left(brackets, inner)
+            if k == len(brackets):
+                continue
+            inner = brackets[k] + 1
+        starts, stops = ends[name]
+        k = bisect_left(starts, inner)
+        if k < len(starts):
+            kept.append(html[at : m.start()])
+            at = stops[k]
+    kept.append(html[at:])
+    bare = " ".join(kept)
+    last = bare.rfind(">") + 1
+    return _ENTITY.sub(" ", _TAG.sub(" ", bare[:last]) + bare[last:])
 
 
 def address_parts(pages: DataFrame) -> DataFrame:
@@ -98,7 +145,7 @@ def address_parts(pages: DataFrame) -> DataFrame:
     the path that looks like a language) and declared (two letters). Missing or
     unreadable values are empty strings."""
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1), F.lit("")))
-    declared = F.lower(F.coalesce(F.regexp_extract("html", r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", 1), F.lit("")))
+    declared = F.lower(F.coalesce(F.regexp_extract("html", r"(?is)<html\b[^<>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", 1), F.lit("")))
     return pages.select(
         "*",
         host.alias("host"),
@@ -110,17 +157,17 @@ def address_parts(pages: DataFrame) -> DataFrame:
 
 
 def text_evidence(pages: DataFrame, langs: list[str], model: np.ndarray) -> DataFrame:
-    """pages (page_id, host, ..., text) -> the same without text and with
+    """pages (page_id, host, ..., html) -> the same without html and with
     ``loglik``, one value for each language, highest 0."""
     shared = pages.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in pages.columns if c != "text"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema if f.name != "text")
+    names = [c for c in pages.columns if c != "html"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema if f.name != "html")
 
     def run(batches):
         logp = shared.value
         for batch in batches:
             out = np.zeros((batch.num_rows, len(langs)))
-            for i, buckets in enumerate(_buckets_by_text(batch.column("text").to_pylist())):
+            for i, buckets in enumerate(_buckets_by_text([page_text(x) for x in batch.column("html").to_pylist()])):
                 if len(buckets):
                     out[i] = logp[:, buckets].mean(axis=1) * min(len(buckets), MOST_EVIDENCE)
                     out[i] -= out[i].max()
@@ -150,7 +197,7 @@ def _sums(df: DataFrame, key: str, n: int, out: str) -> DataFrame:
     return df.groupBy(key).agg(F.array(*[F.sum(F.get("soft", F.lit(i))) for i in range(n)]).alias(out))
 
 
-def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
+def identify(pages: DataFrame, docs: DataFrame, languages: int | None = None) -> DataFrame:
     """(page_id, lang, probability, text_lang, declared, host) for each row of
     ``pages`` (page_id, url, html).
 
@@ -158,16 +205,17 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     evidence at all the most frequent language comes out. Ties go to the first
     language in order. Repeated rows stay and vote as often as they occur; of a
     very long page all text counts, as evidence only up to ``MOST_EVIDENCE``. An
-    empty ``docs`` gives null languages. Other columns are ignored.
+    empty ``docs`` gives null languages. languages: see ``labels``. Other columns
+    are ignored.
     """
-    langs, model = trigram_model(docs)
+    langs, model = trigram_model(docs, languages)
     base = address_parts(pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")))
     if not langs:
         nothing = F.lit(None).cast("string")
         return base.select("page_id", nothing.alias("lang"), F.lit(None).cast("double").alias("probability"), nothing.alias("text_lang"), "declared", "host")
     k = len(langs)
     known = F.array(*map(F.lit, langs))
-    readable = base.select("page_id", "host", "domain", "suffix", "in_path", "declared", page_text(F.col("html")).alias("text"))
+    readable = base.select("page_id", "host", "domain", "suffix", "in_path", "declared", "html")
     seen = written(text_evidence(readable, langs, model), "page-evidence")
     doubt = F.lit(LEAST_DOUBT)
     soft = seen.withColumn("soft", F.transform(_softmax(F.col("loglik")), lambda p: p * (1 - doubt) + doubt / k))
