@@ -155,20 +155,24 @@ def _have_room(similarity: float, k: Column) -> Column:
     return (k + rest) * (1 + similarity) >= (F.col("l.n") + F.col("r.n")) * similarity - 1e-6
 
 
+def _some(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """``rows`` without most of those whose key is not in ``wanted``: a broadcast of
+    at most SLOTS slots keeps them out of a shuffle, if few are wanted."""
+    slot = F.pmod(F.xxhash64(key), F.lit(SLOTS)).alias("_slot")
+    return rows.select("*", slot).join(F.broadcast(wanted.select(slot).distinct()), "_slot", "left_semi").drop("_slot")
+
+
 def _sets(members: DataFrame, classes: DataFrame, rows: DataFrame, words: int, scratch: Scratch) -> DataFrame:
     """(id, shingles): the whole set of each node that meets another, made from
     the texts in one pass."""
     nodes = scratch.written(classes.select("id", "node").join(members.select("id").distinct(), "id", "left_semi"), "nodes")
-    # Slots keep most other rows out of the shuffle while few nodes meet others.
-    slot = F.pmod(F.xxhash64("node"), F.lit(SLOTS)).alias("slot")
-    some = rows.select("node", "text", slot).join(F.broadcast(nodes.select(slot).distinct()), "slot", "left_semi")
-    texts = some.select("node", "text").dropDuplicates(["node"]).join(nodes, "node").select("id", "text")
+    texts = _some(rows.select("node", "text"), nodes, "node").dropDuplicates(["node"]).join(nodes, "node").select("id", "text")
     return scratch.written(texts.mapInArrow(_set_rows(words), "id long, shingles array<long>"), "sets")
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose whole sets have this similarity."""
-    left, right = (sets.select(F.col("id").alias(x), F.col("shingles").alias(f"set_{x}")) for x in ("a", "b"))
+    """The written ``pairs`` (a, b) whose whole sets have this similarity."""
+    left, right = (_some(sets.select(F.col("id").alias(x), F.col("shingles").alias(f"set_{x}")), pairs, x) for x in ("a", "b"))
     shared = F.size(F.array_intersect("set_a", "set_b"))
     both = pairs.join(left, "a").join(right, "b")
     return both.where(shared >= similarity * (F.size("set_a") + F.size("set_b") - shared) - 1e-9).select("a", "b")
