@@ -110,41 +110,47 @@ def brace_entities(starts: DataFrame, rows: DataFrame, fallback: int = 80) -> Da
 
 def indent_entities(starts: DataFrame, rows: DataFrame, fallback: int = 80) -> DataFrame:
     """starts with end_line: the last line before the next one that is not blank
-    and not indented further; the file's last line if there is none."""
+    and not indented further; the file's last line if there is none.
+
+    A line ends the levels between its indent and that of the solid line before
+    it, so ends come from a sorted pass over both, in proportion to the text.
+    """
     solid = rows.where(F.trim("line") != "").withColumn("indent", F.length("line") - F.length(F.ltrim("line")))
     last = rows.groupBy("path").agg(F.max("line_no").alias("last_line"))
-    begin = starts.join(solid.select("path", F.col("line_no").alias("start_line"), F.col("indent").alias("base")), ["path", "start_line"])
-    later = solid.select("path", F.col("line_no").alias("next_line"), F.col("indent").alias("next_indent"))
-    ends = (
-        begin.join(later, "path")
-        .where((F.col("next_line") > F.col("start_line")) & (F.col("next_indent") <= F.col("base")))
-        .groupBy("path", "kind", "name", "start_line")
-        .agg((F.min("next_line") - 1).alias("end_line"))
-    )
+    before = F.lag("indent").over(Window.partitionBy("path").orderBy("line_no"))
+    closing = solid.withColumn("before", before).where("before >= indent")
+    marks = closing.select("path", "line_no", F.explode(F.sequence("indent", "before")).alias("level"))
+    begin = starts.join(solid.select("path", F.col("line_no").alias("start_line"), F.col("indent").alias("level")), ["path", "start_line"])
+    ends = _next_at(begin.withColumn("from_line", F.col("start_line") + 1), marks, ["path", "level"])
+    ends = ends.select("path", "kind", "name", "start_line", (F.col("next_line") - 1).alias("end_line"))
     out = starts.join(ends, ["path", "kind", "name", "start_line"], "left").join(last, "path")
     return out.withColumn("end_line", F.coalesce("end_line", "last_line").cast("int")).drop("last_line")
 
 
-#: Strings on one line, and a block comment that a line opens outside strings and leaves open.
-STRINGS = r"""\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|`(?:[^`\\]|\\.)*`"""
-OPEN_BLOCK = rf"""^((?:{STRINGS}|[^\"'`/]|/[^*\"'`])*)/\*.*$"""
+#: A string on one line, a closed block comment, a block comment that stays open, or a line comment. Groups repeat possessively:
+#: Java would call itself for each turn of another one, and lines may have megabytes.
+STRINGS = r"""\"(?:[^\"\\]++|\\.)*+\"|'(?:[^'\\]++|\\.)*+'|`(?:[^`\\]++|\\.)*+`"""
+COMMENTS = rf"""({STRINGS})|/\*.*?\*/|(/\*.*$)|//.*$"""
 
 
 def mask_comments(rows: DataFrame) -> DataFrame:
     """lines without // and /* */ comments; strings stay and so do line numbers.
 
-    Comments within a line go by a pattern that steps over strings; a block
-    comment over several lines is told by the marks that are still open.
+    Comments within a line go by one pattern that steps over strings; a block
+    comment over several lines is told by the marks that are still open. Cost is
+    in proportion to a line's length.
     """
-    bare = rows.withColumn("line", F.regexp_replace("line", rf"({STRINGS})|/\*.*?\*/|//.*$", "$1"))
-    opens, closes = F.col("line").rlike(OPEN_BLOCK), F.col("line").contains("*/")
+    marked = F.col("line").contains("/*")
+    opened = F.when(marked, F.array_join(F.regexp_extract_all("line", F.lit(COMMENTS), F.lit(2)), "")).otherwise("")
+    bare = rows.withColumn("opened", opened).withColumn("line", F.regexp_replace("line", COMMENTS, "$1$2"))
+    opens, closes = F.col("opened") != "", F.col("line").contains("*/")
     run = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     state = F.last(F.when(opens, F.lit(1)).when(closes, F.lit(0)), True).over(run)
     held = bare.withColumn("inside", F.coalesce(state, F.lit(0)) == 1)
     line = (
         F.when(F.col("inside") & ~closes, F.lit(""))
-        .when(F.col("inside"), F.regexp_replace("line", r"^.*?\*/", ""))
-        .when(opens, F.regexp_replace("line", OPEN_BLOCK, "$1"))
+        .when(F.col("inside"), F.substring(F.col("line"), F.instr("line", "*/") + 2, F.length("line")))
+        .when(opens, F.substring(F.col("line"), F.lit(1), F.length("line") - F.length("opened")))
         .otherwise(F.col("line"))
     )
     return held.select("path", "line_no", line.alias("line"))

@@ -1,10 +1,14 @@
 """Code and graph queries. Orders are files of generated source: each line item
-adds a class, a function or an import, so calls and imports lead to other files."""
+adds a class, a function or an import, so calls and imports lead to other files.
+Each has a function of its own, which passes what it is given to that of the
+customer's order before."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..functions.session import kept
 from ..operators import code as C
 from ..operators import graph as G
 from .views import FILES_SQL, files, load
@@ -23,11 +27,19 @@ def code_files(spark, sf_dir):
     )
     key = F.struct(F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey"), chunk.alias("chunk"))
     texts = li.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(key)), lambda x: x["chunk"]), "\n").alias("text"))
-    placed = orders.select("o_orderkey", F.concat(F.lit("src/c"), (F.col("o_custkey") % 400).cast("string"), F.lit("/o"), F.col("o_orderkey").cast("string"), F.lit(".js")).alias("path"))
-    return texts.join(placed, F.col("l_orderkey") == F.col("o_orderkey")).select("path", "text")
-
-
-CODE_SQL = r"""code AS (SELECT 'src/c' || CAST(o_custkey % 400 AS VARCHAR) || '/o' || CAST(o_orderkey AS VARCHAR) || '.js' AS path, text FROM orders JOIN (
+    previous = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    key, given = F.col("o_orderkey").cast("string"), F.concat(F.lit("q"), F.col("o_custkey").cast("string"))
+    head = F.concat(
+        F.lit("function f"), key, F.lit("("), given, F.lit(") {\n  f"), F.coalesce(previous, "o_orderkey").cast("string"), F.lit("("), given,
+        F.lit(");\n  const "), given, F.lit("x = 1;\n  return "), given, F.lit("x;\n}\n"),
+    )
+    placed = orders.select("o_orderkey", head.alias("head"), F.concat(F.lit("src/c"), (F.col("o_custkey") % 400).cast("string"), F.lit("/o"), F.col("o_orderkey").cast("string"), F.lit(".js")).alias("path"))
+    return texts.join(placed, F.col("l_orderkey") == F.col("o_orderkey")).select("path", F.concat("head", "text").alias("text"))
+
+
+CODE_SQL = r"""code AS (SELECT 'src/c' || CAST(o_custkey % 400 AS VARCHAR) || '/o' || CAST(o_orderkey AS VARCHAR) || '.js' AS path,
+  'function f' || o_orderkey || '(q' || o_custkey || ') {' || chr(10) || '  f' || coalesce(previous, o_orderkey) || '(q' || o_custkey || ');' || chr(10) || '  const q' || o_custkey || 'x = 1;' || chr(10) || '  return q' || o_custkey || 'x;' || chr(10) || '}' || chr(10) || text AS text
+  FROM (SELECT *, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS previous FROM orders) JOIN (
   SELECT l_orderkey, string_agg(CASE l_returnflag
     WHEN 'A' THEN 'class P' || l_partkey || ' {' || chr(10) || '  // holds p' || l_suppkey || chr(10) || '  run' || l_suppkey || '(x) {' || chr(10) || '    this.k' || l_suppkey || ' = p' || l_suppkey || '(x);' || chr(10) || '    return this.k' || l_suppkey || '; /* run { */' || chr(10) || '  }' || chr(10) || '}'
     WHEN 'N' THEN 'export function p' || l_partkey || '(a) {' || chr(10) || '  const y' || l_partkey || ' = p' || l_suppkey || '(a); const u = "http://x/*"; /* see' || chr(10) || '  { y' || l_partkey || ' { block */' || chr(10) || '  return p' || l_partkey || '.run(y' || l_partkey || ');' || chr(10) || '}'
@@ -55,12 +67,12 @@ def e3_brace_end_line(spark, sf_dir):
     return C.brace_entities(C.entity_starts(rows), rows)
 
 
-_STRINGS = C.STRINGS.replace("'", "''")
-_OPEN = C.OPEN_BLOCK.replace("'", "''")
-MASK_SQL = rf"""bare AS (SELECT path, line_no, regexp_replace(line, '({_STRINGS})|/\*.*?\*/|//.*$', '\1', 'g') AS line FROM lines),
-marks AS (SELECT *, regexp_matches(line, '{_OPEN}') AS opens, contains(line, '*/') AS closes FROM bare),
+#: The same pattern for an engine that needs no possessive groups.
+_COMMENTS = C.COMMENTS.replace("*+", "*").replace("++", "+").replace("'", "''")
+MASK_SQL = rf"""bare AS (SELECT path, line_no, regexp_replace(line, '{_COMMENTS}', '\1\2', 'g') AS line, array_to_string(regexp_extract_all(line, '{_COMMENTS}', 2), '') AS opened FROM lines),
+marks AS (SELECT *, opened <> '' AS opens, contains(line, '*/') AS closes FROM bare),
 held AS (SELECT *, coalesce(last_value(CASE WHEN opens THEN 1 WHEN closes THEN 0 END IGNORE NULLS) OVER (PARTITION BY path ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS inside FROM marks),
-masked AS (SELECT path, line_no, CASE WHEN inside = 1 AND NOT closes THEN '' WHEN inside = 1 THEN regexp_replace(line, '^.*?\*/', '') WHEN opens THEN regexp_replace(line, '{_OPEN}', '\1') ELSE line END AS line FROM held)"""
+masked AS (SELECT path, line_no, CASE WHEN inside = 1 AND NOT closes THEN '' WHEN inside = 1 THEN substr(line, instr(line, '*/') + 2) WHEN opens THEN left(line, length(line) - length(opened)) ELSE line END AS line FROM held)"""
 ENTITIES_SQL = rf"""{CODE_SQL}, {MASK_SQL}, {STARTS_SQL.replace('FROM lines', 'FROM masked')},
 d AS (SELECT path, line_no, line, length(line) - length(replace(line, '{{', '')) AS o, length(line) - length(replace(line, '}}', '')) AS c FROM masked),
 r AS (SELECT *, sum(o - c) OVER (PARTITION BY path ORDER BY line_no) AS aft FROM d),
@@ -164,17 +176,17 @@ SELECT symbol, def_path, def_line, use_path, use_line, CASE WHEN def_path = use_
 
 
 def _symbols(spark, sf_dir):
-    corpus = code_files(spark, sf_dir)
+    """(calls, symbols), parsed once for all that read them."""
+    corpus = kept(code_files(spark, sf_dir), "code")
     rows = C.lines(corpus)
-    return rows, G.symbol_files(C.entity_starts(rows), corpus)
+    return kept(C.calls(rows).select("path", "callee").distinct(), "calls"), kept(G.symbol_files(C.entity_starts(rows), corpus), "symbols")
 
 
 SYMBOLS_SQL = r"symbols AS (SELECT DISTINCT name, path FROM (SELECT name, path FROM starts UNION ALL SELECT regexp_extract(path, '([^/]*)\.js$', 1), path FROM code) WHERE length(name) >= 3)"
 
 
 def j3_symbol_targets(spark, sf_dir):
-    rows, symbols = _symbols(spark, sf_dir)
-    return G.symbol_target_counts(C.calls(rows), symbols)
+    return G.symbol_target_counts(*_symbols(spark, sf_dir))
 
 
 J3_SQL = rf"""WITH {CODE_SQL}, {STARTS_SQL}, {SYMBOLS_SQL}, {CALLS_SQL}
@@ -182,8 +194,7 @@ SELECT c.path AS source, callee AS name, count(*) AS targets, min(s.path) AS fir
 
 
 def j4_bounded_symbol(spark, sf_dir):
-    rows, symbols = _symbols(spark, sf_dir)
-    return G.bounded_targets(C.calls(rows), symbols)
+    return G.bounded_targets(*_symbols(spark, sf_dir))
 
 
 J4_SQL = rf"""WITH {CODE_SQL}, {STARTS_SQL}, {SYMBOLS_SQL}, {CALLS_SQL},

@@ -1,5 +1,5 @@
-"""Flow queries: terms are the part names whose number is divisible by 50, code
-is the generated source of the code queries."""
+"""Flow queries: terms are the names of parts and customers whose number is
+divisible by 50, code is the generated source of the code queries."""
 
 from __future__ import annotations
 
@@ -14,13 +14,18 @@ from .evidence_queries import _any
 from .views import load
 
 
+def flow_terms(spark, sf_dir):
+    named = lambda table, key, letter: load(spark, sf_dir, table).where(F.col(key) % 50 == 0).select(F.concat(F.lit(letter), F.col(key).cast("string")).alias("term"))
+    return named("part", "p_partkey", "p").unionByName(named("customer", "c_custkey", "q"))
+
+
 def _parsed(spark, sf_dir):
     """(terms, files, lines, entities, owners of lines)."""
     files = kept(code_files(spark, sf_dir), "code")
     rows = C.lines(files)
     masked = C.mask_comments(rows)
     entities = kept(C.brace_entities(C.entity_starts(masked), masked), "entities")
-    terms = load(spark, sf_dir, "part").where("p_partkey % 50 = 0").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("term"))
+    terms = flow_terms(spark, sf_dir)
     held = M.innermost_entity(rows.select("path", F.col("line_no").alias("line")), entities)
     owners = held.select("path", F.col("line").alias("line_no"), F.col("name").alias("entity"), F.col("kind").alias("entity_kind"))
     return terms, files, rows, entities, owners
@@ -41,7 +46,7 @@ def _steps(spark, sf_dir, **options):
 _q = lambda pattern: pattern.replace("'", "''")
 _SYMBOL = lambda x: f"lower(regexp_replace(split_part(trim({x}), '.', -1), '^[_$]+|[_$]+$', '', 'g'))"
 _CONTROL = "('if', 'for', 'while', 'switch', 'catch', 'function')"
-TERMS_SQL = f"""{ENTITIES_SQL}, terms AS (SELECT 'p' || p_partkey AS term FROM part WHERE p_partkey % 50 = 0),
+TERMS_SQL = f"""{ENTITIES_SQL}, terms AS (SELECT 'p' || p_partkey AS term FROM part WHERE p_partkey % 50 = 0 UNION ALL SELECT 'q' || c_custkey FROM customer WHERE c_custkey % 50 = 0),
 hits AS (SELECT term, path, CAST(contains(lower(path), term) AS INT) AS p,
   (length(lower(text)) - length(replace(lower(text), term, ''))) // length(term) + (length(path) - length(replace(lower(path), term, ''))) // length(term) AS n
   FROM terms, code WHERE contains(lower(text), term) OR contains(lower(path), term))"""
