@@ -32,7 +32,7 @@ from .runs import WORD
 from .words import shingles, word_hashes
 
 #: Texts whose shingle counts set the order (about, at least, and at least one in SHARE), and shingles that get a count.
-SAMPLE, SHARE, COMMON = 20_000, 50, 1_000_000
+SAMPLE, SHARE, COMMON = 8_000, 50, 1_000_000
 #: Shared prefix members that are asked for, at most; what comparing two whole sets costs, in meetings.
 LONGEST, COMPARE = 8, 16
 #: Slots by which rows are looked up in a broadcast; counts in the order end here.
@@ -63,6 +63,27 @@ def _set_rows(words: int):
     return run
 
 
+def _digest(shingles_: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles_.tobytes(), digest_size=16).digest()
+
+
+def _keyed_set_rows(words: int):
+    """(text) -> (set_key, shingles), once for each set that a task sees."""
+
+    def run(batches):
+        seen: set[bytes] = set()
+        for batch in batches:
+            new = {}
+            for found in shingle_sets(batch.column(0).to_pylist(), words):
+                key = _digest(found)
+                if key not in seen:
+                    seen.add(key)
+                    new[key] = found
+            yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.binary()), _lists(list(new.values()))], names=["set_key", "shingles"])
+
+    return run
+
+
 def least_shared(n: int, similarity: float) -> int:
     """Members that a set of n shares at least with a similar one."""
     return math.ceil(similarity * n - 1e-9)
@@ -92,7 +113,7 @@ def _prefix_rows(words: int, similarity: float, shared):
             digests, sizes, rests, lasts, keys, known = [], [], [], [], [], []
             for found in shingle_sets(batch.column(2).to_pylist(), words):
                 n = len(found)
-                digest = hashlib.blake2b(found.tobytes(), digest_size=16).digest()
+                digest = _digest(found)
                 known.append(digest in seen or not n)
                 digests.append(digest)
                 sizes.append(n)
@@ -162,19 +183,23 @@ def _some(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     return rows.select("*", slot).join(F.broadcast(wanted.select(slot).distinct()), "_slot", "left_semi").drop("_slot")
 
 
-def _sets(members: DataFrame, classes: DataFrame, rows: DataFrame, words: int, scratch: Scratch) -> DataFrame:
-    """(id, shingles): the whole set of each node that meets another, made from
-    the texts in one pass."""
-    nodes = scratch.written(classes.select("id", "node").join(members.select("id").distinct(), "id", "left_semi"), "nodes")
-    texts = _some(rows.select("node", "text"), nodes, "node").dropDuplicates(["node"]).join(nodes, "node").select("id", "text")
-    return scratch.written(texts.mapInArrow(_set_rows(words), "id long, shingles array<long>"), "sets")
+def _sets(nodes: DataFrame, rows: DataFrame, words: int, scratch: Scratch) -> DataFrame:
+    """(set_key, shingles): the whole sets of ``nodes`` (node), made from the texts
+    in one pass without a shuffle. A set may be there once for each task."""
+    texts = _some(rows.select("node", "text"), nodes, "node").select("text")
+    return scratch.written(texts.mapInArrow(_keyed_set_rows(words), "set_key binary, shingles array<long>"), "sets")
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _alike(pairs: DataFrame, sets: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """The written ``pairs`` (a, b) whose whole sets have this similarity."""
-    left, right = (_some(sets.select(F.col("id").alias(x), F.col("shingles").alias(f"set_{x}")), pairs, x) for x in ("a", "b"))
+
+    def side(x: str) -> DataFrame:
+        ids = nodes.select(F.col("id").alias(x), "set_key").join(pairs.select(x).distinct(), x, "left_semi")
+        once = _some(sets, ids, "set_key").join(ids, "set_key").select(x, F.col("shingles").alias(f"set_{x}"))
+        return once.dropDuplicates([x])
+
     shared = F.size(F.array_intersect("set_a", "set_b"))
-    both = pairs.join(left, "a").join(right, "b")
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
     return both.where(shared >= similarity * (F.size("set_a") + F.size("set_b") - shared) - 1e-9).select("a", "b")
 
 
@@ -195,15 +220,32 @@ def _components(links: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def similarity_links(classes: DataFrame, rows: DataFrame, similarity: float, words: int, bucket_cap: int, scratch: Scratch) -> DataFrame:
-    """Links (a, b) between ids of ``classes`` (id, node, n, rest, last, keys) that
+    """Links (a, b) between ids of ``classes`` (id, node, set_key, n, rest, last, keys) that
     keep every connected component of "similarity or more"."""
     keys = classes.select("id", "n", "rest", "last", F.posexplode("keys").alias("pos", "key")).repartition("key")
     sizes = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = scratch.written(keys.join(sizes, "key"), "members")
-    sets = _sets(members, classes, rows, words, scratch)
     links = labels = None
     hot = members.where(F.col("size") > HOT)
-    hot = scratch.written(hot.join(hot.groupBy("id").agg(F.count("*").alias("degree")), "id"), "hot")
+    degrees = scratch.written(hot.groupBy("id").agg(F.count("*").alias("degree")), "degrees")
+    hot = scratch.written(hot.join(degrees, "id"), "hot")
+
+    # Small meetings: a row for each shingle that a pair shares there; of large ones
+    # it shares at most as many as the node that has fewer.
+    low = members.where(F.col("size") <= HOT)
+    left, right = low.alias("l"), low.alias("r")
+    often = (
+        left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.id") < F.col("r.id")) & _may_be_alike(similarity))
+        .groupBy(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
+        .agg(F.count("*").alias("k"))
+    )
+    ends = classes.select("id", "n", "rest", "last").join(degrees, "id", "left").na.fill(0, ["degree"])
+    for x, name in (("a", "l"), ("b", "r")):
+        often = often.join(ends.select(F.col("id").alias(x), F.struct("n", "rest", "last", "degree").alias(name)), x)
+    small = scratch.written(often.where(_have_room(similarity, F.col("k") + F.least("l.degree", "r.degree"))).select("a", "b"), "small")
+    wanted = small.select(F.explode(F.array("a", "b")).alias("id")).unionByName(degrees.select("id")).distinct()
+    nodes = scratch.written(classes.select("id", "node", "set_key").join(wanted, "id", "left_semi"), "nodes")
+    sets = _sets(nodes, rows, words, scratch)
     for turn in range(ROUNDS):
         own = _labelled(hot, labels)
         # First the hub with the most large meetings: it has the fewest shingles of its own.
@@ -218,7 +260,7 @@ def similarity_links(classes: DataFrame, rows: DataFrame, similarity: float, wor
         tried = stars.count()
         if not tried:
             break
-        found = scratch.written(_alike(stars, sets, similarity), "pairs")
+        found = scratch.written(_alike(stars, sets, nodes, similarity), "pairs")
         links = found if links is None else links.unionByName(found)
         gained = found.count()
         if gained:
@@ -234,21 +276,11 @@ def similarity_links(classes: DataFrame, rows: DataFrame, similarity: float, wor
     )
     facts = scratch.written(facts, "facts")
     apart = (F.col("l.id") < F.col("r.id")) & (F.col("l.label") != F.col("r.label"))
-
-    # Small meetings: a row for each shingle that a pair shares there; of large ones
-    # it shares at most as many as the node that has fewer.
-    low = members.where(F.col("size") <= HOT)
-    small = _mixed(_labelled(low, labels)).join(facts.select("id", "large"), "id", "left").na.fill(0, ["large"])
-    left, right = small.alias("l"), small.alias("r")
-    end = F.struct("n", "rest", "last", "large")
-    ends = small.select("id", end.alias("end")).dropDuplicates(["id"])
-    often = (
-        left.join(right, (F.col("l.key") == F.col("r.key")) & apart & _may_be_alike(similarity))
-        .groupBy(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
-        .agg(F.count("*").alias("k"))
-    )
-    met = often.join(ends.select(F.col("id").alias("a"), F.col("end").alias("l")), "a").join(ends.select(F.col("id").alias("b"), F.col("end").alias("r")), "b")
-    few = met.where(_have_room(similarity, F.col("k") + F.least("l.large", "r.large"))).select("a", "b")
+    few = small
+    if labels is not None:
+        for x in ("a", "b"):
+            few = few.join(labels.select(F.col("id").alias(x), F.col("label").alias(f"label_{x}")), x, "left")
+        few = few.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
 
     # Large ones: a node brings its shingles of large meetings, so a pair is judged
     # where it meets first; of small meetings it shares at most ``small``.
@@ -270,7 +302,7 @@ def similarity_links(classes: DataFrame, rows: DataFrame, similarity: float, wor
     room = _have_room(similarity, F.size(same) + F.least("l.small", "r.small"))
     many = left.join(right, together & once & apart & _may_be_alike(similarity) & (F.get(same, F.lit(0)) == F.col("l.key")) & room)
     pairs = scratch.written(few.unionByName(many.select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))).distinct(), "close")
-    found = _alike(pairs, sets, similarity)
+    found = _alike(pairs, sets, nodes, similarity)
     return found if links is None else links.unionByName(found)
 
 
