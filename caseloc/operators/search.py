@@ -15,11 +15,14 @@ from pyspark.sql.window import Window
 
 from ..functions.session import kept
 from ..functions.text import occurrences, tokens
+from .terms import STOP_QUERY_TOKENS
 
 RUN = r"[a-z0-9_.$-]+"
 GRAM = 4
 #: Beginnings of tokens that are looked up before substrings become rows, at most.
 HEADS = 20_000
+#: Files of a block that has one bound for each token.
+BLOCK = 64
 
 
 def postings(files: DataFrame, text: str = "text") -> DataFrame:
@@ -70,6 +73,46 @@ def text_counts(queries: DataFrame, files: DataFrame) -> DataFrame:
     return kept(token_counts(query_tokens(queries).select("token").distinct(), postings(files)), "token-counts")
 
 
+def size_blocks(files: DataFrame) -> DataFrame:
+    """(path, block): files in blocks of about ``BLOCK``, the longest together, so
+    that what a block may score at most differs as much as it can."""
+    sized = files.select("path", F.length("text").alias("size")).orderBy(F.desc("size"), "path").withColumn("id", F.monotonically_increasing_id())
+    return kept(sized.select("path", F.floor(F.col("id") / BLOCK).alias("block")), "blocks")
+
+
+def top_scores(wanted: DataFrame, hits: DataFrame, extra: DataFrame, blocks: DataFrame, limit: int) -> DataFrame:
+    """(query_id, rank, path, score): the best ``limit`` files of each query by the
+    sum of weight (wanted: query_id, token, weight) x times (hits: token, path,
+    times) and of extra (query_id, path, score); ties by path.
+
+    A token's best times in a block of files bound what any file of the block can
+    score. The two blocks with the highest bound are scored first; the ``limit``-th
+    score there is a threshold, and only blocks whose bound reaches it are scored
+    after them. All others can't hold a file of the answer.
+    """
+    placed = kept(hits.groupBy("token", "path").agg(F.sum("times").alias("times")).join(blocks, "path"), "hits")
+    more = kept(extra.groupBy("query_id", "path").agg(F.sum("score").alias("score")).join(blocks, "path"), "extra")
+    most = placed.groupBy("token", "block").agg(F.max("times").alias("most"))
+    bound = wanted.join(most, "token").select("query_id", "block", (F.col("weight") * F.col("most")).alias("bound"))
+    bound = bound.unionByName(more.groupBy("query_id", "block").agg(F.max("score").alias("bound")))
+    bounds = kept(bound.groupBy("query_id", "block").agg(F.sum("bound").alias("bound")), "bounds")
+
+    def scored(chosen: DataFrame) -> DataFrame:
+        asked = chosen.join(wanted, "query_id").join(placed, ["token", "block"])
+        rows = asked.select("query_id", "path", (F.col("weight") * F.col("times")).alias("score"))
+        rows = rows.unionByName(more.join(chosen, ["query_id", "block"], "left_semi").select("query_id", "path", "score"))
+        return rows.groupBy("query_id", "path").agg(F.round(F.sum("score"), 6).alias("score"))
+
+    highest = Window.partitionBy("query_id").orderBy(F.desc("bound"), "block")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "path")
+    placed_bounds = bounds.withColumn("n", F.row_number().over(highest))
+    first = kept(scored(placed_bounds.where("n <= 2").select("query_id", "block")), "first-scores")
+    least = first.withColumn("n", F.row_number().over(order)).where(F.col("n") == limit).select("query_id", F.col("score").alias("least"))
+    others = placed_bounds.where("n > 2").join(least, "query_id", "left").where(F.col("bound") >= F.coalesce("least", F.lit(0.0)) - 1e-5)
+    total = first.unionByName(scored(others.select("query_id", "block")))
+    return total.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query_id", "rank", "path", "score")
+
+
 def search_files(queries: DataFrame, files: DataFrame, limit: int = 20, counts: DataFrame | None = None) -> DataFrame:
     """(query_id, rank, path, score): the best files for each query_id.
 
@@ -77,29 +120,80 @@ def search_files(queries: DataFrame, files: DataFrame, limit: int = 20, counts:
     text, 5 for each query text of over 4 letters that the file has whole. Ties
     go to the smaller path.
     """
-    wanted = query_tokens(queries)
+    wanted = kept(query_tokens(queries), "query-tokens")
     distinct = wanted.select("token").distinct()
     counts = text_counts(queries, files) if counts is None else counts
     in_text = counts.select("token", "path", F.least("n", F.lit(12)).cast("double").alias("times"))
     in_path = token_counts(distinct, postings(files.select("path", F.col("path").alias("text")))).select(
         "token", "path", F.lit(8.0).alias("times")
     )
-    scored = wanted.join(in_text.unionByName(in_path), "token").select("query_id", "path", (F.col("weight") * F.col("times")).alias("score"))
-    phrases = phrase_hits(queries, files, in_text).select("query_id", "path", F.lit(5.0).alias("score"))
-    total = scored.unionByName(phrases).groupBy("query_id", "path").agg(F.round(F.sum("score"), 6).alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "path")
-    return total.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query_id", "rank", "path", "score")
+    phrases = phrase_hits(queries, files, counts).select("query_id", "path", F.lit(5.0).alias("score"))
+    return top_scores(wanted, in_text.unionByName(in_path), phrases, size_blocks(files), limit)
 
 
-def phrase_hits(queries: DataFrame, files: DataFrame, in_text: DataFrame) -> DataFrame:
+def phrase_hits(queries: DataFrame, files: DataFrame, counts: DataFrame, rarest: int = 3) -> DataFrame:
     """(query_id, phrase, path): files that hold a whole query text. Only files
-    with every token of a text are opened."""
+    with the ``rarest`` tokens of a text (counts: token, path) are opened."""
     phrases = queries.select("query_id", F.trim(F.lower("query")).alias("phrase")).where(F.length("phrase") > 4)
-    need = phrases.select("query_id", "phrase", F.explode(F.array_distinct(tokens("phrase"))).alias("token"))
-    sizes = need.groupBy("query_id", "phrase").agg(F.count("*").alias("need"))
-    have = need.join(in_text, "token").groupBy("query_id", "phrase", "path").agg(F.count("*").alias("have"))
-    likely = have.join(sizes, ["query_id", "phrase"]).where("have = need")
-    return likely.join(files.select("path", "text"), "path").where(F.lower("text").contains(F.col("phrase"))).select("query_id", "phrase", "path")
+    each = phrases.select("phrase", F.explode(F.array_distinct(tokens("phrase"))).alias("token")).distinct()
+    held = counts.groupBy("token").agg(F.count("*").alias("files"))
+    order = Window.partitionBy("phrase").orderBy(F.coalesce("files", F.lit(0)), "token")
+    few = each.join(held, "token", "left").withColumn("n", F.row_number().over(order)).where(F.col("n") <= rarest).select("phrase", "token")
+    need = few.groupBy("phrase").agg(F.count("*").alias("need"))
+    have = few.join(counts.select("token", "path"), "token").groupBy("phrase", "path").agg(F.count("*").alias("have"))
+    likely = have.join(need, "phrase").where("have = need").select("phrase", "path")
+    found = likely.join(files.select("path", "text"), "path").where(F.lower("text").contains(F.col("phrase"))).select("phrase", "path")
+    return phrases.join(found, "phrase").select("query_id", "phrase", "path")
+
+
+def scoped_terms(queries: DataFrame, most: int = 48) -> DataFrame:
+    """(query_id, terms): the commonest tokens of three letters or more of all
+    texts of a query_id, without words that say nothing; ties by the alphabet."""
+    each = queries.select("query_id", F.explode(tokens("query")).alias("token"))
+    good = each.where((F.length("token") >= 3) & ~F.col("token").isin(*STOP_QUERY_TOKENS) & ~F.col("token").rlike(r"^\d+$"))
+    counted = good.groupBy("query_id", "token").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("n"), "token")
+    few = counted.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most)
+    return few.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "token"))), lambda x: x["token"]).alias("terms"))
+
+
+def _term_sum(terms: Column, score) -> Column:
+    return F.aggregate(terms, F.lit(0.0), lambda a, t: a + score(t))
+
+
+def scoped_search_files(queries: DataFrame, pool: DataFrame, files: DataFrame, limit: int = 20) -> DataFrame:
+    """(query_id, rank, path, score) over the files of each query's pool (query_id,
+    path) alone: 8 for a term in the path, min(10, count) for one in the first
+    120,000 letters, 4 for each query text of over 4 letters there. Queries without
+    a known file in their pool search all files."""
+    known = pool.select("query_id", "path").distinct().join(files, "path")
+    low, text = F.lower("path"), F.lower(F.substring("text", 1, 120_000))
+    rows = known.join(scoped_terms(queries), "query_id").select("query_id", "path", "terms", low.alias("low"), text.alias("body"))
+    phrases = queries.select("query_id", F.trim(F.lower("query")).alias("p")).where(F.length("p") > 4).groupBy("query_id").agg(F.collect_list("p").alias("phrases"))
+    one = lambda t: F.when(F.contains(F.col("low"), t), 8.0).otherwise(0.0) + F.least(occurrences(F.col("body"), t), F.lit(10))
+    whole = 4.0 * F.size(F.filter(F.coalesce("phrases", F.array().cast("array<string>")), lambda p: F.contains(F.col("body"), p)))
+    scored = rows.join(phrases, "query_id", "left").select("query_id", "path", (_term_sum(F.col("terms"), one) + whole).alias("score")).where("score > 0")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "path")
+    own = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query_id", "rank", "path", "score")
+    open_ = queries.join(known.select("query_id").distinct(), "query_id", "left_anti")
+    return own.unionByName(search_files(open_, files, limit))
+
+
+def scoped_search_entities(queries: DataFrame, pool: DataFrame, entities: DataFrame, limit: int = 20) -> DataFrame:
+    """(query_id, rank, path, name, score) over the entities (path, name, text) of
+    each query's pool: 10 for a term in the name, 4 in the path, min(8, count) in
+    the first 30,000 letters. Queries without a pool search all entities."""
+    known = pool.select("query_id", "path").distinct().join(entities.select("path", "name", "text").distinct(), "path")
+    rows = known.join(scoped_terms(queries), "query_id").select(
+        "query_id", "path", "name", "terms", F.lower("path").alias("low"), F.lower("name").alias("called"), F.lower(F.substring("text", 1, 30_000)).alias("body")
+    )
+    hit = lambda c, t, v: F.when(F.contains(F.col(c), t), v).otherwise(0.0)
+    one = lambda t: hit("called", t, 10.0) + hit("low", t, 4.0) + F.least(occurrences(F.col("body"), t), F.lit(8))
+    scored = rows.select("query_id", "path", "name", _term_sum(F.col("terms"), one).alias("score")).where("score > 0")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "path", "name")
+    own = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query_id", "rank", "path", "name", "score")
+    open_ = queries.join(pool.select("query_id").distinct(), "query_id", "left_anti")
+    return own.unionByName(search_entities(open_, entities, limit))
 
 
 def search_entities(queries: DataFrame, entities: DataFrame, limit: int = 30) -> DataFrame:

@@ -8,10 +8,16 @@ from pyspark.sql.window import Window
 from ..functions.session import kept
 from ..operators import code as C
 from ..operators import interflow as I
-from .code_queries import ENTITIES_SQL, code_files
+from ..operators import policy as P
+from ..operators import scope as G
+from ..operators import search as S
+from ..operators import terms as T
+from .code_queries import ENTITIES_SQL, STARTS_SQL, code_files
 from .evidence_queries import _any
 from .flow_queries import _SYMBOL, _q, flow_terms
-from .views import ISSUES_SQL, issues
+from .policy_queries import _CAP, _FACTOR, ROLES_SQL
+from .search_queries import _EXT, _TOKENS, RANKED_SQL, search_files
+from .views import FILES_SQL, ISSUES_SQL, files, issues, load, sql_list
 
 # --- flows between entities: an instance has the terms of 400 numbers and three candidate files ---
 
@@ -117,7 +123,52 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY co
 G12_EDGES_SQL = f"""WITH {G12_SQL} SELECT instance_id, term, relation, s.path || '::' || s.name AS source_entity, t.path || '::' || t.name AS target_entity, count(*) AS n, max(round(confidence, 6)) AS confidence
 FROM edges JOIN et s ON s.id = source JOIN et t ON t.id = target GROUP BY ALL"""
 
+
+# --- searches within a pool: the best files of each passage; some passages have none ---
+
+
+def _pools(spark, sf_dir):
+    passages = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    pool = kept(search_files(spark, sf_dir).where("query_id % 7 <> 0").select("query_id", "path"), "pool")
+    return passages, pool
+
+
+def w4_scoped_search_files(spark, sf_dir):
+    passages, pool = _pools(spark, sf_dir)
+    return S.scoped_search_files(passages, pool, files(spark, sf_dir), 15)
+
+
+def w4_scoped_search_entities(spark, sf_dir):
+    """Documents as entities, named after their language and length."""
+    passages, pool = _pools(spark, sf_dir)
+    docs = load(spark, sf_dir, "documents").select(F.col("doc_id"), F.concat_ws("_", "lang", F.col("n_chars").cast("string")).alias("name"))
+    entities = files(spark, sf_dir).join(docs, "doc_id").select("path", "name", "text")
+    return S.scoped_search_entities(passages, pool, entities, 15).where("query_id % 7 <> 0")
+
+
+SCOPED_SQL = rf"""{RANKED_SQL},
+st AS (SELECT item_id, token, row_number() OVER (PARTITION BY item_id ORDER BY count(*) DESC, token) AS k FROM (
+  SELECT item_id, regexp_replace(lower(m), '^[._$-]+|[._$-]+$', '', 'g') AS token FROM qm
+  UNION ALL SELECT item_id, unnest(string_split(lower(regexp_replace(m, '([a-z0-9])([A-Z])', '\1 \2', 'g')), ' ')) FROM qm)
+  WHERE length(token) >= 3 AND NOT regexp_matches(token, '^\d+$') AND token NOT IN ({', '.join(repr(t) for t in T.STOP_QUERY_TOKENS)}) GROUP BY item_id, token),
+ta AS (SELECT item_id AS query_id, list(token) AS terms FROM st WHERE k <= 48 GROUP BY item_id)"""
+W4_FILES_SQL = rf"""WITH {SCOPED_SQL},
+b AS (SELECT r.query_id, r.path, lower(f.path) AS lp, lower(left(f.text, 120000)) AS body, terms, trim(lower(p.text)) AS phrase
+  FROM ranked r JOIN files f USING (path) JOIN ta ON ta.query_id = r.query_id JOIN benchmark p ON p.item_id = r.query_id WHERE r.query_id % 7 <> 0),
+s AS (SELECT query_id, path, CAST(list_sum(list_transform(terms, lambda t: CASE WHEN contains(lp, t) THEN 8.0 ELSE 0 END + least(10, (length(body) - length(replace(body, t, ''))) // length(t))))
+  + CASE WHEN length(phrase) > 4 AND contains(body, phrase) THEN 4 ELSE 0 END AS DOUBLE) AS score FROM b)
+SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) AS rank, path, score FROM s WHERE score > 0) WHERE rank <= 15
+UNION ALL SELECT query_id, rank, path, score FROM ranked WHERE query_id % 7 = 0"""
+W4_ENTITIES_SQL = rf"""WITH {SCOPED_SQL},
+b AS (SELECT r.query_id, r.path, d.lang || '_' || d.n_chars AS name, lower(f.path) AS lp, lower(left(f.text, 30000)) AS body, terms
+  FROM ranked r JOIN files f USING (path) JOIN documents d USING (doc_id) JOIN ta ON ta.query_id = r.query_id WHERE r.query_id % 7 <> 0),
+s AS (SELECT query_id, path, name, CAST(list_sum(list_transform(terms, lambda t: CASE WHEN contains(lower(name), t) THEN 10.0 ELSE 0 END + CASE WHEN contains(lp, t) THEN 4.0 ELSE 0 END
+  + least(8, (length(body) - length(replace(body, t, ''))) // length(t)))) AS DOUBLE) AS score FROM b)
+SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path, name) AS rank, path, name, score FROM s WHERE score > 0) WHERE rank <= 15"""
+
 QUERIES = {
+    "w4_scoped_search_files": (w4_scoped_search_files, W4_FILES_SQL),
+    "w4_scoped_search_entities": (w4_scoped_search_entities, W4_ENTITIES_SQL),
     "g12_interprocedural_flows": (g12_interprocedural_flows, G12_FLOWS_SQL),
     "g12_flow_edges": (g12_flow_edges, G12_EDGES_SQL),
 }
