@@ -4,12 +4,13 @@ Two sets of similarity t or more share so many members that, in any common order
 their prefixes of n - ceil(t * n) + k members share at least k. A prefix of k = 1
 is short and has many candidates where its members are frequent; a longer one costs
 more meetings and asks for k of them before whole sets are compared. Each document
-takes the k whose estimated cost is least: members that it meets in the prefix,
-plus candidates, of which there are at most a k-th. A pair is held to the k of the
-set whose prefix ends first in the order, so any mix of lengths loses nothing.
+takes the k whose cost is least: the others that it meets in the prefix, plus
+candidates, of which there are at most a k-th. A pair is held to the smaller k of
+the two, so any mix of lengths loses nothing, and a document that meets others in
+fewer places than it and they ask for leaves at once.
 
-The order (rare shingles first) and the estimates come from a sample; they cost or
-save time and decide nothing.
+The order (rare shingles first) comes from a sample; it costs or saves time and
+decides nothing. How many others each member meets is counted over all documents.
 
 What is wanted is which sets are connected, so a group of copies needs no list of
 all its pairs: in a large meeting one node is a hub, another in each round, and
@@ -33,8 +34,8 @@ from .words import shingles, word_hashes
 
 #: Texts whose shingle counts set the order (about, at least, and at least one in SHARE), and shingles that get a count.
 SAMPLE, SHARE, COMMON = 8_000, 50, 1_000_000
-#: Shared prefix members that are asked for, at most; what comparing two whole sets costs, in meetings.
-LONGEST, COMPARE = 8, 16
+#: A prefix is lengthened by at most this share of the set; what comparing two whole sets costs, in meetings.
+LENGTHEN, COMPARE = 0.08, 16
 #: Slots by which rows are looked up in a broadcast; counts in the order end here.
 SLOTS, FULL = 1 << 20, 127
 #: A meeting of more nodes is first cut down by stars, in at most so many rounds.
@@ -89,28 +90,22 @@ def least_shared(n: int, similarity: float) -> int:
     return math.ceil(similarity * n - 1e-9)
 
 
-def prefix_matches(meetings: np.ndarray, n: int, similarity: float) -> int:
-    """The k of least estimated cost; meetings: how many others each member of the
-    set meets, in the order."""
-    least = least_shared(n, similarity)
-    sums = np.cumsum(meetings)[n - least : n - least + LONGEST]
-    if not len(sums) or not sums[-1]:
-        return 1
-    return int(np.argmin(sums * (1 + COMPARE / np.arange(1, len(sums) + 1)))) + 1
+def most_matches(n: int, lengthen: float) -> int:
+    """The largest k that a set of n may ask for."""
+    return max(1, math.ceil(lengthen * n))
 
 
-def _prefix_rows(words: int, similarity: float, shared):
-    """(doc_id, node, text) -> (doc_id, node, set_key, n, rest, last, keys): the
-    digest and size of the set, its members behind the prefix, the prefix's end in
-    the order, and the prefix, rare shingles first. A set that this task has seen
-    before has null keys. shared: a broadcast of common shingles, sorted, their
-    places in the order, and how many others have them."""
+def _prefix_rows(words: int, similarity: float, lengthen: float, shared):
+    """(doc_id, node, text) -> (doc_id, node, set_key, n, keys): the digest and size
+    of the set, and its longest prefix, rare shingles first. A set that this task
+    has seen before has null keys. shared: a broadcast of common shingles, sorted,
+    and their places in the order."""
 
     def run(batches):
-        common, places, others = shared.value
+        common, places = shared.value
         seen: set[bytes] = set()
         for batch in batches:
-            digests, sizes, rests, lasts, keys, known = [], [], [], [], [], []
+            digests, sizes, keys, known = [], [], [], []
             for found in shingle_sets(batch.column(2).to_pylist(), words):
                 n = len(found)
                 digest = _digest(found)
@@ -118,37 +113,27 @@ def _prefix_rows(words: int, similarity: float, shared):
                 digests.append(digest)
                 sizes.append(n)
                 if known[-1]:
-                    rests.append(0)
-                    lasts.append(0)
                     keys.append(found[:0])
                     continue
                 seen.add(digest)
-                order, meetings = np.zeros(n, dtype=np.uint64), np.zeros(n)
                 if len(common):
                     at = np.minimum(np.searchsorted(common, found), len(common) - 1)
-                    is_common = common[at] == found
-                    order = np.where(is_common, places[at], 0).astype(np.uint64)
-                    by_place = np.argsort(order, kind="stable")
-                    found, order = found[by_place], order[by_place]
-                    meetings = np.where(is_common, others[at], 0.0)[by_place]
-                size = n - least_shared(n, similarity) + prefix_matches(meetings, n, similarity)
-                rests.append(n - size)
-                lasts.append(int(order[size - 1] << np.uint64(56) | found[size - 1] >> np.uint64(8)))
-                keys.append(found[:size])
+                    order = np.where(common[at] == found, places[at], 0).astype(np.uint8)
+                    found = found[np.argsort(order, kind="stable")]
+                keys.append(found[: n - least_shared(n, similarity) + most_matches(n, lengthen)])
             lists = _lists(keys)
             lists = pa.ListArray.from_arrays(lists.offsets, lists.values, mask=pa.array(known, pa.bool_()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(digests, pa.binary()), *(pa.array(x, pa.int32()) for x in (sizes, rests)), pa.array(lasts, pa.int64()), lists],
-                names=["doc_id", "node", "set_key", "n", "rest", "last", "keys"],
+                [batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), lists], names=["doc_id", "node", "set_key", "n", "keys"]
             )
 
     return run
 
 
-def common_shingles(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def common_shingles(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles with at least two places in a sample of ``rows`` (node, text),
-    sorted; their places in the order of shingles; and in how many other texts each
-    is, by estimate. A shingle that is missed costs time and loses no pair."""
+    sorted, and their places in the order of shingles. A shingle that is missed
+    costs time and loses no pair."""
     total = max(1, rows.count())
     share = min(1.0, max(SAMPLE, total / SHARE) / total)
     some = rows.where(F.pmod(F.xxhash64("node"), F.lit(1_000_000)) < F.lit(math.ceil(share * 1_000_000)))
@@ -156,8 +141,7 @@ def common_shingles(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray
     found = each.groupBy("s").agg(F.count("*").alias("k")).where("k >= 2").orderBy(F.desc("k"), "s").limit(COMMON).toArrow()
     common, counts = found.column("s").to_numpy().astype(np.int64).view(np.uint64), found.column("k").to_numpy()
     by_value = np.argsort(common)
-    counts = counts[by_value]
-    return common[by_value], np.minimum(counts, FULL).astype(np.uint8), (counts / share - 1).astype(np.float32)
+    return common[by_value], np.minimum(counts[by_value], FULL).astype(np.uint8)
 
 
 def _may_be_alike(similarity: float) -> Column:
@@ -169,13 +153,38 @@ def _may_be_alike(similarity: float) -> Column:
 
 def _have_room(similarity: float, k: Column) -> Column:
     """Whether k shared members of the prefixes leave room for the overlap: of the
-    set whose prefix ends first, all other shared members are behind it. For equal
-    sizes that means at least as many as that prefix was made for."""
-    l_last, r_last, l_rest, r_rest = (F.col(c) for c in ("l.last", "r.last", "l.rest", "r.rest"))
-    rest = F.when(l_last < r_last, l_rest).when(l_last > r_last, r_rest).otherwise(F.greatest(l_rest, r_rest))
+    set whose prefix ends first in the order, all other shared members are behind
+    it. For equal sizes that asks for the smaller k of the two."""
+    rest = F.greatest("l.rest", "r.rest")
     return (k + rest) * (1 + similarity) >= (F.col("l.n") + F.col("r.n")) * similarity - 1e-6
 
 
+def adapted_members(classes: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """(id, n, rest, pos, key, size) of classes (id, n, keys): the shingles of each
+    set's adapted prefix that others have in theirs, how many do, and how many
+    members of the set are behind the prefix."""
+    keys = classes.select("id", "n", F.posexplode("keys").alias("pos", "key")).repartition("key")
+    sizes = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    met = scratch.written(keys.join(sizes, "key"), "met")
+    n = F.col("n")
+    least = F.ceil(similarity * n - 1e-9).cast("int")
+    most = F.greatest(F.lit(1), F.ceil(LENGTHEN * n).cast("int"))
+    steps = F.array(*[F.lit(1 << i) for i in range(24)])
+    asked = F.array_distinct(F.transform(steps, lambda k: F.least(k, most)))
+    others = lambda k: F.aggregate(F.filter("all", lambda x: x["pos"] < n - least + k), F.lit(0.0), lambda a, x: a + x["size"] - 1)
+    costs = F.transform(asked, lambda k: F.struct((others(k) * (1 + COMPARE / k)).alias("cost"), k.alias("k")))
+    each = met.groupBy("id", "n").agg(F.collect_list(F.struct("pos", "size")).alias("all"))
+    chosen = each.select("id", n, least.alias("least"), F.array_min(costs)["k"].alias("k"))
+    chosen = chosen.select("id", "k", (n - F.col("least") + F.col("k")).alias("prefix"), (F.col("least") - F.col("k")).alias("rest"))
+    own = scratch.written(met.select("id", "n", "pos", "key").join(chosen, "id").where(F.col("pos") < F.col("prefix")), "own-prefix")
+    # A pair shares the smaller k at least, so a node with fewer meetings than that has no pair.
+    low = own.groupBy("key").agg(F.min("k").alias("low"), F.count("*").alias("size")).where("size > 1").drop("size")
+    need = own.join(low, "key").groupBy("id").agg(F.min(F.least("low", "k")).alias("need"), F.count("*").alias("meetings")).where("meetings >= need")
+    left = own.join(need.select("id"), "id", "left_semi").select("id", "n", "rest", "pos", "key")
+    again = left.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    return scratch.written(left.join(again, "key"), "members")
+
+
 def _some(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     """``rows`` without most of those whose key is not in ``wanted``: a broadcast of
     at most SLOTS slots keeps them out of a shuffle, if few are wanted."""
@@ -220,11 +229,9 @@ def _components(links: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def similarity_links(classes: DataFrame, rows: DataFrame, similarity: float, words: int, bucket_cap: int, scratch: Scratch) -> DataFrame:
-    """Links (a, b) between ids of ``classes`` (id, node, set_key, n, rest, last, keys) that
-    keep every connected component of "similarity or more"."""
-    keys = classes.select("id", "n", "rest", "last", F.posexplode("keys").alias("pos", "key")).repartition("key")
-    sizes = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    members = scratch.written(keys.join(sizes, "key"), "members")
+    """Links (a, b) between ids of ``classes`` (id, node, set_key, n, keys) that keep
+    every connected component of "similarity or more"."""
+    members = adapted_members(classes, similarity, scratch)
     links = labels = None
     hot = members.where(F.col("size") > HOT)
     degrees = scratch.written(hot.groupBy("id").agg(F.count("*").alias("degree")), "degrees")
@@ -239,9 +246,9 @@ def similarity_links(classes: DataFrame, rows: DataFrame, similarity: float, wor
         .groupBy(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
         .agg(F.count("*").alias("k"))
     )
-    ends = classes.select("id", "n", "rest", "last").join(degrees, "id", "left").na.fill(0, ["degree"])
+    ends = members.select("id", "n", "rest").distinct().join(degrees, "id", "left").na.fill(0, ["degree"])
     for x, name in (("a", "l"), ("b", "r")):
-        often = often.join(ends.select(F.col("id").alias(x), F.struct("n", "rest", "last", "degree").alias(name)), x)
+        often = often.join(ends.select(F.col("id").alias(x), F.struct("n", "rest", "degree").alias(name)), x)
     small = scratch.written(often.where(_have_room(similarity, F.col("k") + F.least("l.degree", "r.degree"))).select("a", "b"), "small")
     wanted = small.select(F.explode(F.array("a", "b")).alias("id")).unionByName(degrees.select("id")).distinct()
     nodes = scratch.written(classes.select("id", "node", "set_key").join(wanted, "id", "left_semi"), "nodes")
@@ -292,7 +299,7 @@ def similarity_links(classes: DataFrame, rows: DataFrame, similarity: float, wor
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("x", F.least("mine", "other"))
         .withColumn("y", F.greatest("mine", "other"))
-        .select("key", "x", "y", "mine", "id", "n", "rest", "last", "pos", "label")
+        .select("key", "x", "y", "mine", "id", "n", "rest", "pos", "label")
         .join(brought, "id")
     )
     left, right = dealt.alias("l"), dealt.alias("r")
@@ -318,11 +325,14 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, words: int = 5, buc
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "near")
     rows = docs.select(F.col("doc_id").cast("long"), text_key("text").alias("node"), F.col("text").cast("string"))
     shared = spark.sparkContext.broadcast(common_shingles(rows.select("node", "text"), words))  # at most COMMON shingles
-    schema = "doc_id long, node string, set_key binary, n int, rest int, last long, keys array<long>"
-    sketches = scratch.written(rows.mapInArrow(_prefix_rows(words, similarity, shared), schema), "sketches")
+    schema = "doc_id long, node string, set_key binary, n int, keys array<long>"
+    first = Scratch(spark, "near-prefixes")
+    sketches = first.written(rows.mapInArrow(_prefix_rows(words, similarity, LENGTHEN, shared), schema), "sketches")
     # Ids are fixed by the writing, and shorter than digests in the shuffles.
     classes = sketches.where("keys IS NOT NULL").dropDuplicates(["set_key"]).drop("doc_id").withColumn("id", F.monotonically_increasing_id())
     classes = scratch.written(classes, "classes")
+    sketches = scratch.written(sketches.drop("keys"), "documents")
+    first.discard()
     links = scratch.written(similarity_links(classes, rows, similarity, words, bucket_cap, scratch), "links")
     roots = connected_components(links).withColumnRenamed("node", "id")
     by_set = classes.select("set_key", "id").join(roots, "id", "left").select("set_key", F.coalesce("root", "id").alias("root"))

@@ -67,11 +67,11 @@ def corpus(rng, groups, copies):
     return [(i * 3 + 1, t) for i, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize("hot, cap, slots, longest", [(16, 1_024, 1 << 20, 8), (2, 4, 1 << 3, 8), (2, 3, 1 << 20, 1)])
+@pytest.mark.parametrize("hot, cap, slots, longest", [(16, 1_024, 1 << 20, 0.08), (2, 4, 1 << 3, 0.3), (2, 3, 1 << 20, 0.0)])
 def test_components_equal_all_pairs(spark, monkeypatch, hot, cap, slots, longest):
     monkeypatch.setattr(jaccard_join, "HOT", hot)
     monkeypatch.setattr(jaccard_join, "SLOTS", slots)
-    monkeypatch.setattr(jaccard_join, "LONGEST", longest)
+    monkeypatch.setattr(jaccard_join, "LENGTHEN", longest)
     rows = corpus(random.Random(hot * cap), 30, 26)
     assert found(spark, rows, bucket_cap=cap) == slow(rows)
 
@@ -82,19 +82,27 @@ def test_other_similarity_and_width(spark):
 
 
 def test_no_order_at_all(spark, monkeypatch):
-    nothing = (np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.zeros(0, np.float32))
+    nothing = (np.zeros(0, np.uint64), np.zeros(0, np.uint8))
     monkeypatch.setattr(jaccard_join, "common_shingles", lambda *_: nothing)
     rows = corpus(random.Random(2), 10, 20)
     assert found(spark, rows) == slow(rows)
 
 
-def test_prefix_grows_with_meetings():
-    quiet, busy = np.zeros(100), np.full(100, 2_000.0)
-    assert jaccard_join.prefix_matches(quiet, 100, 0.8) == 1
-    assert jaccard_join.prefix_matches(busy, 100, 0.8) == jaccard_join.LONGEST
-    steep = np.concatenate([np.ones(21), np.full(79, 10_000.0)])
-    assert jaccard_join.prefix_matches(steep, 100, 0.8) == 1
-    assert all(1 <= jaccard_join.prefix_matches(np.ones(n), n, 0.8) <= n for n in range(1, 40))
+def test_prefix_grows_with_meetings(spark):
+    """Sets of 100 that meet many others take the longest prefix, those that meet
+    one the shortest, and those that meet others too seldom leave."""
+    from caseloc.llm.common import Scratch
+
+    busy = [(i, 100, [*range(15), *range(1_000 * (i + 1), 1_000 * (i + 1) + 13)]) for i in range(40)]
+    quiet = [(50, 100, [*range(500, 521), *range(60_000, 60_007)]), (51, 100, [*range(500, 521), *range(61_000, 61_007)])]
+    seldom = [(60 + i, 100, [900, *range(70_000 + 100 * i, 70_027 + 100 * i)]) for i in range(40)]
+    classes = spark.createDataFrame(busy + quiet + seldom, "id long, n int, keys array<long>")
+    got = jaccard_join.adapted_members(classes, 0.8, Scratch(spark, "test")).collect()
+    rests = {}
+    for r in got:
+        rests.setdefault(r.id, set()).add(r.rest)
+    assert all(rests[i] == {80 - 8} for i in range(40)) and rests[50] == rests[51] == {80 - 8} | rests[50]
+    assert not [i for i in rests if i >= 60] and {r.size for r in got if r.id < 40} == {40}
 
 
 def test_odd_rows(spark):
