@@ -15,7 +15,7 @@ from ..operators import terms as T
 from .code_queries import ENTITIES_SQL, STARTS_SQL, code_files
 from .evidence_queries import _any
 from .flow_queries import _SYMBOL, _q, flow_terms
-from .policy_queries import _CAP, _FACTOR, ROLES_SQL
+from .policy_queries import _ALLOW, _CAP, _FACTOR, _ROLE_RULES, _case, _ends
 from .search_queries import _EXT, _TOKENS, RANKED_SQL, search_files
 from .views import FILES_SQL, ISSUES_SQL, files, issues, load, sql_list
 
@@ -166,7 +166,75 @@ s AS (SELECT query_id, path, name, CAST(list_sum(list_transform(terms, lambda t:
   + least(8, (length(body) - length(replace(body, t, ''))) // length(t)))) AS DOUBLE) AS score FROM b)
 SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path, name) AS rank, path, name, score FROM s WHERE score > 0) WHERE rank <= 15"""
 
+
+# --- scope of a graph: each passage asks for itself, a document's path and its neighbour ---
+
+
+def g24_graph_scope(spark, sf_dir):
+    corpus, passages = files(spark, sf_dir), load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("instance_id"), "text")
+    docs = load(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    own = passages.join(corpus.select(F.col("doc_id").alias("instance_id"), "path"), "instance_id").select("instance_id", "path")
+    queries = passages.select("instance_id", F.lit(1).alias("pos"), F.col("text").alias("query")).unionByName(own.select("instance_id", F.lit(2).alias("pos"), F.col("path").alias("query")))
+    seeds = passages.join(corpus.select((F.col("doc_id") - 1).alias("instance_id"), "path"), "instance_id").select("instance_id", "path")
+    entities = corpus.join(docs, "doc_id").select("path", F.concat_ws("_", "lang", F.col("n_chars").cast("string")).alias("name"), F.col("source").alias("text"))
+    words = passages.join(docs.withColumnRenamed("doc_id", "instance_id"), "instance_id")
+    terms = words.select("instance_id", F.explode(F.array(F.lower("lang"), F.lower("source"))).alias("term"))
+    scope = G.graph_scope(queries, corpus, entities, seeds, terms, issues(spark, sf_dir).join(passages.select("instance_id"), "instance_id", "left_semi"))
+    return scope.withColumn("channels", F.array_join("channels", ","))
+
+
+_W = "[A-Za-z_][A-Za-z0-9_.$-]*"
+_EDGES = "'^[._$-]+|[._$-]+$', '', 'g'"
+_PARTS = "string_split(lower(regexp_replace(m, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), ' ')"
+G24_SQL = rf"""WITH {FILES_SQL}, {ISSUES_SQL},
+raw AS (SELECT item_id AS query_id, 1 AS pos, text AS query FROM benchmark UNION ALL SELECT item_id, 2, path FROM benchmark JOIN files ON doc_id = item_id),
+seeds AS (SELECT item_id AS query_id, path FROM benchmark JOIN files ON doc_id = item_id + 1),
+cw AS (SELECT *, list_filter(flatten(list_transform(regexp_extract_all(t, '{_W}'), lambda m: [regexp_replace(lower(m), {_EDGES})] || {_PARTS})),
+  lambda k: length(k) >= 3 AND NOT list_contains({sql_list(T.STOP_QUERY_TOKENS)}, k) AND NOT regexp_matches(k, '^\d+$')) AS l FROM (SELECT *, trim(regexp_replace(query, '\s+', ' ', 'g')) AS t FROM raw)),
+pq AS (SELECT query_id, 0 AS g, CAST(row_number() OVER (PARTITION BY query_id ORDER BY path) AS BIGINT) AS p, path AS query FROM seeds
+  UNION ALL SELECT query_id, 1, pos, CASE WHEN contains(t, '/') OR contains(t, '::') OR regexp_matches(t, '\.[A-Za-z0-9]{{1,6}}\b') THEN substr(t, 1, 180) ELSE array_to_string(l[1:12], ' ') END FROM cw),
+q AS (SELECT query_id, arg_min(query, struct_pack(g := g, p := p, q := query)) AS query FROM pq WHERE query <> '' GROUP BY query_id, lower(query)),
+qm AS (SELECT query_id, query, unnest(regexp_extract_all(query, '{_W}')) AS m FROM q),
+qt AS (SELECT query_id, token, 1 + least(1.0, log2(count(*)) * 0.25) AS weight FROM (SELECT query_id, regexp_replace(lower(m), {_EDGES}) AS token FROM qm UNION ALL SELECT query_id, unnest({_PARTS}) FROM qm) WHERE length(token) >= 2 GROUP BY ALL),
+low AS (SELECT path, lower(path) AS lp, lower(text) AS lt FROM files),
+td AS (SELECT token, path, CASE WHEN contains(lp, token) THEN 8 ELSE 0 END + least(12, (length(lt) - length(replace(lt, token, ''))) // length(token)) AS times FROM (SELECT DISTINCT token FROM qt), low WHERE contains(lt, token) OR contains(lp, token)),
+sc AS (SELECT query_id, path, weight * times AS s FROM qt JOIN td USING (token) UNION ALL SELECT query_id, path, 5.0 FROM q, low WHERE length(trim(lower(query))) > 4 AND contains(lt, trim(lower(query)))),
+w2 AS (SELECT query_id, path, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) AS rank FROM (SELECT query_id, path, round(sum(s), 6) AS score FROM sc GROUP BY ALL)) WHERE rank <= 120),
+ent AS (SELECT DISTINCT path, lang || '_' || n_chars AS name, source AS text, lower(path) AS lp, lower(lang || '_' || n_chars) AS ln, lower(path || ' ' || lang || '_' || n_chars || ' ' || source) AS hay FROM files JOIN documents USING (doc_id)),
+es AS (SELECT query_id, path, name, sum(CASE WHEN contains(ln, token) THEN 10 * weight ELSE 0 END) + least(24.0, sum(CASE WHEN contains(lp, token) THEN 4 * weight ELSE 0 END)) + least(36.0, sum(least(8, (length(hay) - length(replace(hay, token, ''))) // length(token)) * weight)) AS s
+  FROM qt, ent WHERE contains(hay, token) GROUP BY ALL),
+ex AS (SELECT DISTINCT query_id, lower(n) AS n FROM (SELECT query_id, query, unnest(regexp_extract_all(query, '[A-Za-z_$][A-Za-z0-9_$]*')) AS n FROM q) WHERE length(n) >= 6 OR regexp_matches(n, '^.[^A-Z]*[A-Z]') OR contains(n, '_') OR contains(n, '$') OR contains(query, n || '(')),
+w3 AS (SELECT query_id, path, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path, name) AS rank FROM (
+  SELECT es.query_id, path, name, round(s + CASE WHEN ex.n IS NULL THEN 0 ELSE 30 END, 6) AS score FROM es LEFT JOIN ex ON ex.query_id = es.query_id AND ex.n = lower(name))) WHERE rank <= 120),
+pw AS (SELECT DISTINCT query_id, probe, {_TOKENS} AS t FROM (SELECT query_id, lower(trim(query)) AS probe FROM q)),
+pp AS (SELECT * FROM pw WHERE contains(probe, '/') OR regexp_matches(probe, '\.[a-z0-9]{{1,5}}\b') OR (len(list_distinct(list_filter(t, lambda x: length(x) >= 4))) BETWEEN 3 AND 8 AND length(probe) <= 120)),
+px AS (SELECT query_id, path, probe, t, lp AS low, len(list_filter(t, lambda k: contains(lp, k))) AS n FROM pp, low),
+pc AS (SELECT query_id, path, n, contains(probe, '/') AS slash, CASE WHEN low = probe THEN 0 WHEN starts_with(low, probe) THEN 1 WHEN contains(low, probe) THEN 2
+  WHEN length(regexp_replace(probe, '{_EXT}', '')) >= 8 AND contains(regexp_replace(low, '{_EXT}', ''), regexp_replace(probe, '{_EXT}', '')) THEN 3
+  WHEN len(t) > 0 AND n >= CASE WHEN contains(probe, '/') THEN least(4, greatest(2, len(t) - 1)) ELSE least(4, greatest(3, len(list_distinct(t)) - 1)) END THEN 4 END AS tier FROM px),
+w5 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) AS rank FROM (
+  SELECT query_id, path, max(CASE tier WHEN 0 THEN 96.0 WHEN 1 THEN 82.0 WHEN 2 THEN 62.0 WHEN 3 THEN 42.0 ELSE CASE WHEN slash THEN 12.0 + 4 * n ELSE 18.0 + 6 * n END END) AS score FROM pc WHERE tier IS NOT NULL GROUP BY ALL)),
+st AS (SELECT item_id AS query_id, list_distinct([lower(lang), lower(source)]) AS terms FROM benchmark JOIN documents ON doc_id = item_id),
+sm AS (SELECT query_id, path, regexp_split_to_array(lp, '[/_.\-\s]+') AS parts, list_filter(terms, lambda t: contains(lp, t)) AS m FROM st, low),
+w6 AS (SELECT query_id, path, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) AS n FROM (
+  SELECT query_id, path, list_sum(list_transform(m, lambda t: CASE WHEN list_contains(parts, t) THEN 6.0 ELSE 3.0 END)) + CASE WHEN len(m) >= 2 THEN 12 ELSE 0 END AS score FROM sm WHERE len(m) > 0)) WHERE n <= 80),
+rows AS (SELECT query_id, path, score, 'file' AS channel FROM w2 UNION ALL SELECT query_id, path, score * 1.25, 'entity' FROM w3
+  UNION ALL SELECT query_id, path, greatest(20, 81 - row_number() OVER (PARTITION BY query_id ORDER BY path)), 'seed' FROM seeds
+  UNION ALL SELECT query_id, path, 45.0, 'exact_path' FROM q JOIN files ON path = query UNION ALL SELECT query_id, path, score, 'path_probe' FROM w5 WHERE rank <= 90 UNION ALL SELECT query_id, path, score, 'path_semantic' FROM w6),
+tot AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, path) AS n FROM (SELECT query_id, path, sum(score) AS s FROM rows GROUP BY ALL)),
+nr AS (SELECT query_id, path FROM tot WHERE n <= 15 UNION SELECT query_id, path FROM w5 WHERE rank <= 15),
+fd AS (SELECT * FROM (SELECT path, regexp_replace(path, '/?[^/]*$', '') AS dir, row_number() OVER (PARTITION BY regexp_replace(path, '/?[^/]*$', '') ORDER BY path) AS n FROM files) WHERE n <= 6),
+sd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY path) AS k FROM (SELECT DISTINCT x.query_id, fd.path FROM (SELECT DISTINCT query_id, regexp_replace(path, '/?[^/]*$', '') AS dir FROM nr) x JOIN fd USING (dir)
+  WHERE NOT EXISTS (SELECT 1 FROM nr WHERE nr.query_id = x.query_id AND nr.path = fd.path))) WHERE k <= 36),
+su AS (SELECT query_id, path, sum(score) AS score, list_sort(list_distinct(list(channel))) AS channels FROM (SELECT * FROM rows UNION ALL SELECT query_id, path, 4.0, 'same_directory' FROM sd) GROUP BY ALL),
+n AS (SELECT su.*, lower(regexp_replace(trim(path), '^[./]+', '')) AS low, lower(coalesce(issue_text, '')) AS it FROM su LEFT JOIN issues ON instance_id = query_id),
+nn AS (SELECT *, regexp_extract(low, '([^/]*)$', 1) AS fn, split_part(low, '/', 1) AS fp FROM n),
+ro AS (SELECT *, {_case(_ROLE_RULES, 'implementation')} AS role, {_ALLOW} AS allowed, {_any('it', P.ADDON_WORDS)} AS addon, {_ends('lower(path)', P.SOURCE_ENDS)} AS src FROM nn),
+fs AS (SELECT query_id AS instance_id, path, round(least(score * {_FACTOR}, {_CAP}), 6) AS score, array_to_string(channels, ',') AS channels FROM ro)
+SELECT * FROM (SELECT instance_id, row_number() OVER (PARTITION BY instance_id ORDER BY score DESC, path) AS rank, path, score, channels FROM fs) WHERE rank <= 120"""
+
 QUERIES = {
+    "g24_graph_scope": (g24_graph_scope, G24_SQL),
     "w4_scoped_search_files": (w4_scoped_search_files, W4_FILES_SQL),
     "w4_scoped_search_entities": (w4_scoped_search_entities, W4_ENTITIES_SQL),
     "g12_interprocedural_flows": (g12_interprocedural_flows, G12_FLOWS_SQL),
