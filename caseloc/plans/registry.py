@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import code_queries, deep_queries, edge_queries, evidence_queries, flow_queries, page_queries, policy_queries, report_queries, review_queries, search_queries, stream_queries, summary_queries, term_queries
+from . import code_queries, deep_queries, edge_queries, evidence_queries, flow_queries, page_queries, policy_queries, report_queries, reproduction_queries, review_queries, search_queries, stream_queries, summary_queries, term_queries
 
 FLAGSHIP = "flagship"
-MODULES = (evidence_queries, page_queries, search_queries, code_queries, flow_queries, deep_queries, edge_queries, policy_queries, report_queries, review_queries, stream_queries, summary_queries, term_queries)
+MODULES = (evidence_queries, page_queries, search_queries, code_queries, flow_queries, deep_queries, edge_queries, policy_queries, report_queries, reproduction_queries, review_queries, stream_queries, summary_queries, term_queries)
 
 
 def queries() -> dict:
