@@ -64,15 +64,21 @@ def flow_family(term: Column, context: Column) -> Column:
     return first_of({k: any_of(low, v) for k, v in FLOW_FAMILIES.items()}, "shared_symbol_flow")
 
 
+#: Rules of a plug-in, at most: they go into the plan as one array.
+RULES = 10_000
+
+
 def by_rules(rows: DataFrame, text: str, rules: DataFrame, otherwise: str) -> DataFrame:
     """rows with the label of the first rule (prio, keyword, label) whose keyword
-    the text holds: rules are data, so families can be added without code. The
-    rules are few and gathered into one array."""
-    table = rules.agg(F.array_sort(F.collect_list(F.struct("prio", "keyword", "label"))).alias("rules"))
-    joined = rows.crossJoin(F.broadcast(table))  # one row
+    the text holds: rules are data, so families can be added without code. More
+    than ``RULES`` rules are refused."""
+    known = rules.orderBy("prio", "keyword", "label").limit(RULES + 1).collect()
+    if len(known) > RULES:
+        raise ValueError(f"more than {RULES} rules")
+    table = F.array(*[F.struct(F.lit(r.keyword).alias("keyword"), F.lit(r.label).alias("label")) for r in known])
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    hit = F.get(F.filter("rules", lambda r: low.contains(r["keyword"])), F.lit(0))
-    return joined.withColumn("label", F.coalesce(hit["label"], F.lit(otherwise))).drop("rules")
+    hit = F.get(F.filter(table, lambda r: low.contains(r["keyword"])), F.lit(0))["label"] if known else F.lit(None).cast("string")
+    return rows.withColumn("label", F.coalesce(hit, F.lit(otherwise)))
 
 
 def tool_requests(inspected: DataFrame) -> DataFrame:

@@ -375,10 +375,15 @@ def candidate_pool(groups: dict[str, DataFrame], cap: int = 160) -> DataFrame:
 
 
 def read_context(lines: DataFrame, terms: tuple[str, ...], snippets: int = 3, before: int = 3, after: int = 5) -> DataFrame:
-    """(path, line_no, first, last): the first matching lines of each file and
-    the lines around them. terms: in lower case, a parameter of the search."""
+    """(path, line_no, first, last, snippet): the first matching lines of each file
+    with the lines around them, numbered. terms: in lower case, a parameter of the
+    search. A line joins the snippets that it is near by its distance alone."""
     low = F.lower("line")
     hit = lines.where(F.exists(F.array(*map(F.lit, terms)), lambda t: low.contains(t)))
     order = Window.partitionBy("path").orderBy("line_no")
-    few = hit.withColumn("n", F.row_number().over(order)).where(F.col("n") <= snippets)
-    return few.select("path", "line_no", F.greatest(F.lit(1), F.col("line_no") - before).alias("first"), (F.col("line_no") + after).alias("last"))
+    few = hit.withColumn("n", F.row_number().over(order)).where(F.col("n") <= snippets).select("path", "line_no")
+    near = few.select("path", F.col("line_no").alias("hit"), F.explode(F.sequence(F.greatest(F.lit(1), F.col("line_no") - before), F.col("line_no") + after)).alias("line_no"))
+    shown = near.join(lines, ["path", "line_no"])
+    numbered = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: F.concat_ws(": ", x["line_no"].cast("string"), x["line"])), "\n")
+    texts = shown.groupBy("path", F.col("hit").alias("line_no")).agg(F.min("line_no").alias("first"), F.max("line_no").alias("last"), numbered.alias("snippet"))
+    return texts.select("path", "line_no", "first", "last", "snippet")

@@ -231,7 +231,8 @@ def w10_read_context(spark, sf_dir):
 
 W10_SQL = f"""WITH {FILES_SQL}, l AS (SELECT path, unnest(a) AS line, generate_subscripts(a, 1) AS line_no FROM (SELECT path, string_split(text, chr(10)) AS a FROM files)),
 h AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY line_no) AS n FROM l WHERE contains(lower(line), 'license') OR contains(lower(line), 'token'))
-SELECT path, line_no, greatest(1, line_no - 3) AS first, line_no + 5 AS last FROM h WHERE n <= 3"""
+SELECT h.path, h.line_no, min(l.line_no) AS first, max(l.line_no) AS last, string_agg(l.line_no || ': ' || l.line, chr(10) ORDER BY l.line_no) AS snippet
+FROM h JOIN l ON l.path = h.path AND l.line_no BETWEEN h.line_no - 3 AND h.line_no + 5 WHERE n <= 3 GROUP BY h.path, h.line_no"""
 
 
 def j8_scope_restrict(spark, sf_dir):

@@ -256,7 +256,7 @@ SELECT instance_id, flow_type, coalesce(string_agg(role, ',' ORDER BY role) FILT
 def _reviews(spark, sf_dir):
     cand = _candidates(spark, sf_dir)
     role = F.get(F.array(*map(F.lit, (*P.REVIEW_PRIORS, "other"))), (F.col("doc_id") % 7).cast("int"))
-    return cand.where("doc_id % 5 <> 0").select(
+    return cand.select(
         "instance_id", "path", (F.floor(F.col("doc_id") / 97) % 4).alias("position"), role.alias("role"), ((F.col("doc_id") % 13) / 10).alias("confidence"),
         (F.col("doc_id") % 2 == 0).alias("grounded"), (F.col("doc_id") % 3 == 0).alias("mechanism_verified"), (F.col("doc_id") % 6).alias("n_counter"),
     )
@@ -268,7 +268,7 @@ def u11_apply_review(spark, sf_dir):
 
 _PRIOR = "CASE role " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in P.REVIEW_PRIORS.items()) + " ELSE -0.48 END"
 U11_SQL = f"""WITH {CAND_SQL}, rv AS (SELECT instance_id, path, floor(doc_id / 97) % 4 AS position, list_extract({sql_list((*P.REVIEW_PRIORS, 'other'))}, CAST(doc_id % 7 AS INT) + 1) AS role, (doc_id % 13) / 10 AS confidence,
-  doc_id % 2 = 0 AS grounded, doc_id % 3 = 0 AS mv, doc_id % 6 AS nc FROM cand WHERE doc_id % 5 <> 0),
+  doc_id % 2 = 0 AS grounded, doc_id % 3 = 0 AS mv, doc_id % 6 AS nc FROM cand),
 s AS (SELECT instance_id, count(*) AS n FROM rv GROUP BY 1),
 f AS (SELECT rv.*, grounded AND mv AS sure, CASE WHEN grounded AND mv THEN 180.0 WHEN grounded THEN 12.0 ELSE 4.0 END AS cap,
   {_PRIOR} * least(greatest(confidence, 0.0), 1.0) + CASE WHEN role IN ('patch_target', 'supporting_target') THEN 0.18 * (n - position) / n ELSE 0 END AS factor FROM rv JOIN s USING (instance_id)),
@@ -314,7 +314,7 @@ QUERIES = {
     "p23_path_language": (p23_path_language, rf"WITH {CAND_SQL}, x AS (SELECT doc_id, lower(regexp_extract(path, '(\.[^./]+)$', 1)) AS e FROM cand) SELECT doc_id, {_LANG} AS language FROM x"),
     "p26_allows_non_source": (
         p26_allows_non_source,
-        f"WITH {ISSUES_SQL}, x AS (SELECT instance_id, lower(substr(issue_text, greatest(1, length(issue_text) - 89))) AS it FROM issues) SELECT instance_id, {_ALLOW} AS allowed FROM x",
+        f"WITH {ISSUES_SQL}, x AS (SELECT instance_id, lower(issue_text) AS it FROM issues) SELECT instance_id, {_ALLOW} AS allowed FROM x",
     ),
     "u2_novel_queries": (u2_novel_queries, U2_SQL),
     "u3_new_flow_families": (u3_new_flow_families, U3_SQL),

@@ -196,12 +196,12 @@ ENTITIES_SQL = """entities AS (SELECT CAST(l_orderkey AS VARCHAR) AS path, CASE
 
 def _lines(spark, sf_dir):
     li = load(spark, sf_dir, "lineitem")
-    return li.where("l_discount < 0.03").select(
+    return li.select(
         (F.col("l_orderkey") % 997).alias("instance_id"), F.col("l_orderkey").cast("string").alias("path"), F.col("l_linenumber").alias("line")
     ).distinct()
 
 
-LINES_SQL = "lines AS (SELECT DISTINCT l_orderkey % 997 AS instance_id, CAST(l_orderkey AS VARCHAR) AS path, l_linenumber AS line FROM lineitem WHERE l_discount < 0.03)"
+LINES_SQL = "lines AS (SELECT DISTINCT l_orderkey % 997 AS instance_id, CAST(l_orderkey AS VARCHAR) AS path, l_linenumber AS line FROM lineitem)"
 
 
 def j5_line_in_entity(spark, sf_dir):
