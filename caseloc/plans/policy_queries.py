@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import closure as K
 from ..operators import code as C
 from ..operators import policy as P
 from .evidence_queries import _any, _case, _ends
@@ -303,12 +304,59 @@ SELECT instance_id, row_number() OVER (PARTITION BY instance_id ORDER BY CASE WH
   round(CASE WHEN rank IN (3, 7) THEN greatest(score, top + greatest(1.0, top * 0.02 * rank / 10)) ELSE score END, 6) AS score FROM r"""
 
 
-def g22_minimal_edit_set(spark, sf_dir):
+def _obliged(spark, sf_dir):
+    """(covers, candidates, obligations): components as obligations, those of rounds
+    that 3 divides not required."""
     comp = _components(spark, sf_dir)
     covers = comp.select("instance_id", "path", F.concat_ws(":", "component", (F.col("round_no") % 3).cast("string")).alias("obligation")).distinct()
-    return P.minimal_edit_set(covers, _totals(spark, sf_dir))
+    obligations = covers.select("instance_id", "obligation", (~F.col("obligation").endswith(":0")).alias("required")).distinct()
+    ranked = P.ranked_rounds(_totals(spark, sf_dir).withColumn("round_no", F.lit(1))).drop("round_no")
+    shown = ranked.select("instance_id", "rank", "path", (F.col("score") % 1).alias("extra"), (F.col("rank") % 3 == 1).alias("target"), (F.col("rank") * 37 % 11 / 10).alias("confidence"))
+    return covers, shown, obligations
+
+
+def g20_obligation_coverage(spark, sf_dir):
+    covers, ranked, obligations = _obliged(spark, sf_dir)
+    out = K.obligation_coverage(ranked.where("rank <= 3"), obligations, covers)
+    return out.withColumn("missing_required", F.array_join("missing_required", ",")).withColumn("missing_advisory", F.array_join("missing_advisory", ","))
 
 
+def g22_minimal_edit_set(spark, sf_dir):
+    out = K.modification_closure(*_obliged(spark, sf_dir))
+    return out.withColumn("files", F.array_join("files", ",")).withColumn("missing", F.array_join("missing", ","))
+
+
+OBLIGED_SQL = f"""{COMP_SQL},
+cv AS (SELECT DISTINCT instance_id, path, component || ':' || round_no % 3 AS obligation FROM comp),
+ob AS (SELECT DISTINCT instance_id, obligation, NOT ends_with(obligation, ':0') AS required FROM cv),
+rk AS (SELECT instance_id, row_number() OVER (PARTITION BY instance_id ORDER BY score DESC, path) AS rank, path, score % 1 AS extra FROM (SELECT instance_id, path, round(sum(score), 6) AS score FROM comp GROUP BY ALL))"""
+G20_SQL = f"""WITH {OBLIGED_SQL},
+c AS (SELECT o.instance_id, o.obligation, required, count(s.path) AS files FROM ob o LEFT JOIN (SELECT cv.* FROM cv JOIN rk USING (instance_id, path) WHERE rank <= 3) s USING (instance_id, obligation) GROUP BY ALL)
+SELECT instance_id, count(*) FILTER (WHERE required) AS required, count(*) FILTER (WHERE required AND files > 0) AS covered, round(count(*) FILTER (WHERE required AND files > 0) / greatest(1, count(*) FILTER (WHERE required)), 3) AS coverage,
+  count(*) FILTER (WHERE required AND files = 0) = 0 AS complete, coalesce(string_agg(obligation, ',' ORDER BY obligation) FILTER (WHERE required AND files = 0), '') AS missing_required,
+  coalesce(string_agg(obligation, ',' ORDER BY obligation) FILTER (WHERE NOT required AND files = 0), '') AS missing_advisory, count(*) FILTER (WHERE files = 1) AS alone FROM c GROUP BY instance_id"""
+_HELD = lambda files: f"list_filter(need, lambda n: NOT list_contains(flatten(list_transform(list_filter(pool, lambda c: list_contains({files}, c.path)), lambda c: c.own)), n))"
+
+
+def _round_sql(i: int) -> str:
+    """One round over the rows of the round before: gap, additions, ablation."""
+    return f"""g{i} AS (SELECT *, {_HELD('files')} AS gap FROM s{i - 1}),
+a{i} AS (SELECT *, CASE WHEN done OR len(files) >= 6 THEN [] ELSE list_transform(list_sort(list_transform(list_filter(pool, lambda c: list_has_any(c.own, gap) AND NOT list_contains(files, c.path)),
+  lambda c: struct_pack(s := -(5.0 * len(list_intersect(c.own, gap)) + c.extra), rank := c.rank, path := c.path)))[1:least(2, 6 - len(files))], lambda x: x.path) END AS added FROM g{i}),
+o{i} AS (SELECT *, list_concat(files, added) AS whole FROM a{i}),
+t{i} AS (SELECT *, list_reduce(list_prepend(whole, list_transform(list_sort(list_transform(list_filter(pool, lambda c: list_contains(whole, c.path)), lambda c: struct_pack(t := c.target, c := c.confidence, r := -c.rank, p := c.path))), lambda x: [x.p])),
+  lambda l, x: CASE WHEN len(l) > 1 AND len({_HELD('list_filter(l, lambda y: y <> x[1])')}) = len({_HELD('l')}) THEN list_filter(l, lambda y: y <> x[1]) ELSE l END) AS thin FROM o{i}),
+s{i} AS (SELECT instance_id, pool, need, CASE WHEN done THEN files ELSE thin END AS files, done OR len(added) = 0 OR len({_HELD('thin')}) = 0 AS done, rounds + CASE WHEN done THEN 0 ELSE 1 END AS rounds, len(added) AS n_added FROM t{i})"""
+
+
+G22_SQL = f"""WITH {OBLIGED_SQL},
+ow AS (SELECT instance_id, path, list(obligation ORDER BY obligation) AS own FROM cv JOIN ob USING (instance_id, obligation) WHERE required GROUP BY ALL),
+pl AS (SELECT instance_id, list(struct_pack(rank := rank, path := path, extra := CAST(extra AS DOUBLE), target := rank % 3 = 1, confidence := rank * 37 % 11 / 10, own := coalesce(own, [])) ORDER BY rank) AS pool FROM rk LEFT JOIN ow USING (instance_id, path) WHERE rank <= 24 GROUP BY instance_id),
+s0 AS (SELECT instance_id, pool, coalesce(need, []) AS need, [pool[1].path] AS files, false AS done, 0 AS rounds FROM pl LEFT JOIN (SELECT instance_id, list(obligation ORDER BY obligation) AS need FROM ob WHERE required GROUP BY 1) USING (instance_id)),
+{_round_sql(1)}, {_round_sql(2)}, {_round_sql(3)}
+SELECT instance_id, array_to_string(list_sort(files), ',') AS files, rounds, array_to_string({_HELD('files')}, ',') AS missing,
+  CASE WHEN len({_HELD('files')}) = 0 THEN 'complete' WHEN rounds >= 3 AND n_added > 0 THEN 'budget_exhausted' ELSE 'incomplete' END AS status FROM s3"""
+
 QUERIES = {
     "p22_path_role": (p22_path_role, f"WITH {ROLES_SQL} SELECT doc_id, path, role FROM roles"),
     "p23_path_language": (p23_path_language, rf"WITH {CAND_SQL}, x AS (SELECT doc_id, lower(regexp_extract(path, '(\.[^./]+)$', 1)) AS e FROM cand) SELECT doc_id, {_LANG} AS language FROM x"),
@@ -335,6 +383,7 @@ SELECT instance_id, path, role, round(least(CASE WHEN k > 1 THEN score + least(1
     "a19_merge_flow_traces": (a19_merge_flow_traces, A19_SQL),
     "a23_component_scores": (a23_component_scores, f"WITH {COMP_SQL} SELECT * FROM wide"),
     "a31_component_leaders": (a31_component_leaders, A31_SQL),
-    "g22_minimal_edit_set": (g22_minimal_edit_set, None),
+    "g20_obligation_coverage": (g20_obligation_coverage, G20_SQL),
+    "g22_minimal_edit_set": (g22_minimal_edit_set, G22_SQL),
     "g25_lightweight_localize": (g25_lightweight_localize, G25_SQL),
 }
