@@ -12,6 +12,10 @@ fewer places than it and they ask for leaves at once.
 The order (rare shingles first) comes from a sample; it costs or saves time and
 decides nothing. How many others each member meets is counted over all documents.
 
+Before whole sets are compared, parity bitmaps are: each member of a set flips one
+of 512 bits, so two bitmaps differ in no more bits than the sets in members. That
+rules out nearly all pairs that are not alike, and none that is.
+
 What is wanted is which sets are connected, so a group of copies needs no list of
 all its pairs: in a large meeting one node is a hub, another in each round, and
 each node is compared with the hub that it meets most. Then all nodes that meet and
@@ -38,6 +42,8 @@ SAMPLE, SHARE, COMMON = 8_000, 50, 1_000_000
 LENGTHEN, COMPARE = 0.08, 16
 #: Slots by which rows are looked up in a broadcast; counts in the order end here.
 SLOTS, FULL = 1 << 20, 127
+#: Words of a bitmap of 64 bits each.
+BITMAP = tuple(f"b{i}" for i in range(8))
 #: A meeting of more nodes is first cut down by stars, in at most so many rounds.
 HOT, ROUNDS = 16, 8
 
@@ -68,6 +74,12 @@ def _digest(shingles_: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles_.tobytes(), digest_size=16).digest()
 
 
+def parity_bitmap(shingles_: np.ndarray) -> np.ndarray:
+    """Eight words; bit i is 1 if an odd number of members fall on it."""
+    bits = np.bincount((shingles_ >> np.uint64(64 - 9)).astype(np.int64), minlength=64 * len(BITMAP)) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def _keyed_set_rows(words: int):
     """(text) -> (set_key, shingles), once for each set that a task sees."""
 
@@ -96,8 +108,8 @@ def most_matches(n: int, lengthen: float) -> int:
 
 
 def _prefix_rows(words: int, similarity: float, lengthen: float, shared):
-    """(doc_id, node, text) -> (doc_id, node, set_key, n, keys): the digest and size
-    of the set, and its longest prefix, rare shingles first. A set that this task
+    """(doc_id, node, text) -> (doc_id, node, set_key, n, bitmap, keys): the digest,
+    size and bitmap of the set, and its longest prefix, rare shingles first. A set that this task
     has seen before has null keys. shared: a broadcast of common shingles, sorted,
     and their places in the order."""
 
@@ -105,13 +117,14 @@ def _prefix_rows(words: int, similarity: float, lengthen: float, shared):
         common, places = shared.value
         seen: set[bytes] = set()
         for batch in batches:
-            digests, sizes, keys, known = [], [], [], []
+            digests, sizes, keys, known, bitmaps = [], [], [], [], []
             for found in shingle_sets(batch.column(2).to_pylist(), words):
                 n = len(found)
                 digest = _digest(found)
                 known.append(digest in seen or not n)
                 digests.append(digest)
                 sizes.append(n)
+                bitmaps.append(parity_bitmap(found))
                 if known[-1]:
                     keys.append(found[:0])
                     continue
@@ -123,8 +136,10 @@ def _prefix_rows(words: int, similarity: float, lengthen: float, shared):
                 keys.append(found[: n - least_shared(n, similarity) + most_matches(n, lengthen)])
             lists = _lists(keys)
             lists = pa.ListArray.from_arrays(lists.offsets, lists.values, mask=pa.array(known, pa.bool_()))
+            columns = np.array(bitmaps, dtype=np.int64).reshape(-1, len(BITMAP)).T
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), lists], names=["doc_id", "node", "set_key", "n", "keys"]
+                [batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), *map(pa.array, columns), lists],
+                names=["doc_id", "node", "set_key", "n", *BITMAP, "keys"],
             )
 
     return run
@@ -151,6 +166,21 @@ def _may_be_alike(similarity: float) -> Column:
     return (F.least(n, m) >= F.greatest(n, m) * similarity - 1e-6) & (overlap * (1 + similarity) >= (n + m) * similarity - 1e-6)
 
 
+def _bits_allow(similarity: float) -> Column:
+    """Whether two sets may differ in as many members as their bitmaps differ in
+    bits: (1 - t) / (1 + t) of both sizes together."""
+    differ = sum((F.bit_count(F.col(f"l.{b}").bitwiseXOR(F.col(f"r.{b}"))) for b in BITMAP), F.lit(0))
+    return differ * (1 + similarity) <= (F.col("l.n") + F.col("r.n")) * (1 - similarity) + 1e-6
+
+
+def _bits_of(pairs: DataFrame, bitmaps: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) that their bitmaps (id, n, ...) allow."""
+    rows = pairs
+    for x, name in (("a", "l"), ("b", "r")):
+        rows = rows.join(bitmaps.select(F.col("id").alias(x), F.struct("n", *BITMAP).alias(name)), x)
+    return rows.where(_bits_allow(similarity)).select("a", "b")
+
+
 def _have_room(similarity: float, k: Column) -> Column:
     """Whether k shared members of the prefixes leave room for the overlap: of the
     set whose prefix ends first in the order, all other shared members are behind
@@ -249,10 +279,13 @@ def similarity_links(classes: DataFrame, rows: DataFrame, similarity: float, wor
     ends = members.select("id", "n", "rest").distinct().join(degrees, "id", "left").na.fill(0, ["degree"])
     for x, name in (("a", "l"), ("b", "r")):
         often = often.join(ends.select(F.col("id").alias(x), F.struct("n", "rest", "degree").alias(name)), x)
-    small = scratch.written(often.where(_have_room(similarity, F.col("k") + F.least("l.degree", "r.degree"))).select("a", "b"), "small")
+    likely = often.where(_have_room(similarity, F.col("k") + F.least("l.degree", "r.degree"))).select("a", "b")
+    bitmaps = scratch.written(classes.select("id", "n", *BITMAP).join(members.select("id").distinct(), "id", "left_semi"), "bitmaps")
+    small = scratch.written(_bits_of(likely, bitmaps, similarity), "small")
     wanted = small.select(F.explode(F.array("a", "b")).alias("id")).unionByName(degrees.select("id")).distinct()
     nodes = scratch.written(classes.select("id", "node", "set_key").join(wanted, "id", "left_semi"), "nodes")
     sets = _sets(nodes, rows, words, scratch)
+    n_hot = degrees.count()
     for turn in range(ROUNDS):
         own = _labelled(hot, labels)
         # First the hub with the most large meetings: it has the fewest shingles of its own.
@@ -263,7 +296,8 @@ def similarity_links(classes: DataFrame, rows: DataFrame, similarity: float, wor
         spokes = own.select("key", F.struct("id", "n", "pos", "label").alias("r")).join(hubs.where("low <> high").select("key", "l"), "key")
         met = spokes.where((F.col("l.label") != F.col("r.label")) & _may_be_alike(similarity))
         often = met.groupBy(F.col("r.id").alias("b"), F.col("l.id").alias("a")).agg(F.count("*").alias("k"))
-        stars = scratch.written(often.groupBy("b").agg(F.max_by("a", F.struct("k", "a")).alias("a")).select("a", "b"), "stars")
+        best = often.groupBy("b").agg(F.max_by("a", F.struct("k", "a")).alias("a")).select("a", "b")
+        stars = scratch.written(_bits_of(best, bitmaps, similarity), "stars")
         tried = stars.count()
         if not tried:
             break
@@ -272,16 +306,12 @@ def similarity_links(classes: DataFrame, rows: DataFrame, similarity: float, wor
         gained = found.count()
         if gained:
             labels = _components(links, scratch)
-        if gained * 20 < tried:
+        if gained * 50 < n_hot:
             break
 
     # Members of large meetings whose nodes are not all connected: a pair that is
     # not connected meets in no other large one.
     own = scratch.written(_mixed(_labelled(hot, labels)), "own")
-    facts = own.groupBy("id").agg(
-        F.count("*").alias("large"), F.transform(F.sort_array(F.collect_list(F.struct("pos", "key"))), lambda x: x["key"]).alias("hot_keys")
-    )
-    facts = scratch.written(facts, "facts")
     apart = (F.col("l.id") < F.col("r.id")) & (F.col("l.label") != F.col("r.label"))
     few = small
     if labels is not None:
@@ -289,25 +319,20 @@ def similarity_links(classes: DataFrame, rows: DataFrame, similarity: float, wor
             few = few.join(labels.select(F.col("id").alias(x), F.col("label").alias(f"label_{x}")), x, "left")
         few = few.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
 
-    # Large ones: a node brings its shingles of large meetings, so a pair is judged
-    # where it meets first; of small meetings it shares at most ``small``.
-    counts = low.join(facts.select("id"), "id", "left_semi").groupBy("id").agg(F.count("*").alias("small"))
-    brought = facts.select("id", "hot_keys").join(counts, "id", "left").na.fill(0, ["small"])
+    # Large ones: blocks of a meeting against each other; bitmaps decide in the join.
     dealt = (
         own.withColumn("blocks", F.ceil(F.col("size") / bucket_cap).cast("int"))
         .withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("x", F.least("mine", "other"))
         .withColumn("y", F.greatest("mine", "other"))
-        .select("key", "x", "y", "mine", "id", "n", "rest", "pos", "label")
-        .join(brought, "id")
+        .select("key", "x", "y", "mine", "id", "pos", "label")
+        .join(bitmaps, "id")
     )
     left, right = dealt.alias("l"), dealt.alias("r")
     together = (F.col("l.key") == F.col("r.key")) & (F.col("l.x") == F.col("r.x")) & (F.col("l.y") == F.col("r.y"))
     once = (F.least("l.mine", "r.mine") == F.col("l.x")) & (F.greatest("l.mine", "r.mine") == F.col("l.y"))
-    same = F.array_intersect("l.hot_keys", "r.hot_keys")
-    room = _have_room(similarity, F.size(same) + F.least("l.small", "r.small"))
-    many = left.join(right, together & once & apart & _may_be_alike(similarity) & (F.get(same, F.lit(0)) == F.col("l.key")) & room)
+    many = left.join(right, together & once & apart & _may_be_alike(similarity) & _bits_allow(similarity))
     pairs = scratch.written(few.unionByName(many.select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))).distinct(), "close")
     found = _alike(pairs, sets, nodes, similarity)
     return found if links is None else links.unionByName(found)
@@ -325,13 +350,14 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, words: int = 5, buc
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "near")
     rows = docs.select(F.col("doc_id").cast("long"), text_key("text").alias("node"), F.col("text").cast("string"))
     shared = spark.sparkContext.broadcast(common_shingles(rows.select("node", "text"), words))  # at most COMMON shingles
-    schema = "doc_id long, node string, set_key binary, n int, keys array<long>"
+    bits = ", ".join(f"{b} long" for b in BITMAP)
+    schema = f"doc_id long, node string, set_key binary, n int, {bits}, keys array<long>"
     first = Scratch(spark, "near-prefixes")
     sketches = first.written(rows.mapInArrow(_prefix_rows(words, similarity, LENGTHEN, shared), schema), "sketches")
     # Ids are fixed by the writing, and shorter than digests in the shuffles.
     classes = sketches.where("keys IS NOT NULL").dropDuplicates(["set_key"]).drop("doc_id").withColumn("id", F.monotonically_increasing_id())
     classes = scratch.written(classes, "classes")
-    sketches = scratch.written(sketches.drop("keys"), "documents")
+    sketches = scratch.written(sketches.select("doc_id", "node", "set_key", "n"), "documents")
     first.discard()
     links = scratch.written(similarity_links(classes, rows, similarity, words, bucket_cap, scratch), "links")
     roots = connected_components(links).withColumnRenamed("node", "id")
