@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import closure as K
 from ..operators import code as C
 from ..operators import policy as P
+from ..operators import rounds as N
 from .evidence_queries import _any, _case, _ends
 from .views import ISSUES_SQL, issues, load, sql_list
 
@@ -357,7 +358,41 @@ s0 AS (SELECT instance_id, pool, coalesce(need, []) AS need, [pool[1].path] AS f
 SELECT instance_id, array_to_string(list_sort(files), ',') AS files, rounds, array_to_string({_HELD('files')}, ',') AS missing,
   CASE WHEN len({_HELD('files')}) = 0 THEN 'complete' WHEN rounds >= 3 AND n_added > 0 THEN 'budget_exhausted' ELSE 'incomplete' END AS status FROM s3"""
 
+def u13_cross_round_frontier(spark, sf_dir):
+    """The second round of each supplier is selected; evidence is told by the path."""
+    comp = _components(spark, sf_dir)
+    ranked = P.ranked_rounds(comp.groupBy("instance_id", "round_no", "path").agg(F.round(F.sum("score"), 6).alias("score")))
+    direct = comp.groupBy("instance_id", "round_no", "path").agg(F.max(F.col("component").isin(*P.DIRECT)).alias("direct"))
+    rounds = ranked.join(direct, ["instance_id", "round_no", "path"])
+    ends = lambda *tails: F.col("path").rlike(f"({'|'.join(tails)})\\.py$")
+    flags = comp.select("instance_id", "path").distinct().select(
+        "instance_id", "path", (~ends("1")).alias("read"), ends("3", "8").alias("grounded"), ends("13").alias("mechanism"),
+        F.when(ends("8"), "patch_target").otherwise("unlikely").alias("role"), F.lit(0.7).alias("confidence"),
+    )
+    texts = issues(spark, sf_dir).select("instance_id", F.concat("issue_text", F.lit(" in src/p7.py")).alias("issue_text"))
+    selected = ranked.where("round_no = 2").select("instance_id", "rank", "path")
+    return N.cross_round_frontier(N.frontier_quality(rounds, selected, flags, texts))
+
+
+_LONG = lambda x: f"list_distinct(list_filter(flatten(list_transform(regexp_extract_all({x}, '[A-Za-z_][A-Za-z0-9_.$-]*'), lambda m: [regexp_replace(lower(m), '^[._$-]+|[._$-]+$', '', 'g')] || string_split(lower(regexp_replace(m, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), ' '))), lambda t: length(t) >= 4))"
+U13_SQL = f"""WITH {COMP_SQL}, {ISSUES_SQL},
+ag AS (SELECT instance_id, round_no, path, round(sum(score), 6) AS score, bool_or(component IN ({', '.join(repr(x) for x in P.DIRECT)})) AS direct FROM comp GROUP BY ALL),
+rd AS (SELECT *, row_number() OVER (PARTITION BY instance_id, round_no ORDER BY score DESC, path) AS rank FROM ag),
+pl AS (SELECT instance_id, path, sum(12.0 / (8.0 + rank)) AS places, count(*) AS times, min(rank) AS best, bool_or(direct) AS direct FROM rd WHERE rank <= 15 GROUP BY ALL),
+sl AS (SELECT instance_id, path, rank AS selected_rank FROM rd WHERE round_no = 2 AND rank <= 15),
+al AS (SELECT *, lower(issue_text || ' in src/p7.py') AS low, regexp_matches(path, '8\\.py$') AS eight, regexp_matches(path, '(3|8)\\.py$') AND NOT regexp_matches(path, '1\\.py$') AS grounded,
+  NOT regexp_matches(path, '1\\.py$') AS read FROM pl FULL JOIN sl USING (instance_id, path) LEFT JOIN issues USING (instance_id)),
+ov AS (SELECT *, len(list_intersect({_LONG('lower(path)')}, {_LONG("coalesce(low, '')")})) AS shared, contains(coalesce(low, ''), path) AS exact, grounded AND regexp_matches(path, '13\\.py$') AS mechanism FROM al),
+ql AS (SELECT instance_id, path, best, selected_rank, round(coalesce(places, 0) + least(4.0, coalesce(times, 0) * 0.7) + 8.0 / greatest(1, coalesce(best, 16)) + coalesce(10.0 / selected_rank, 0) + CASE WHEN read THEN 2 ELSE 0 END
+  + CASE WHEN direct THEN 1.5 ELSE 0 END + CASE WHEN grounded THEN 3 ELSE 0 END + CASE WHEN mechanism THEN 8 ELSE 0 END + CASE WHEN exact THEN 8.0 ELSE least(3.0, shared * 1.2) END, 6) AS quality,
+  mechanism OR (grounded AND eight) OR (read AND coalesce(direct, false) AND (exact OR shared > 0 OR times >= 2)) AS strong FROM ov),
+nw AS (SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY quality DESC, best, path) AS k FROM ql WHERE selected_rank IS NULL AND strong),
+tl AS (SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY quality, selected_rank DESC) AS k FROM ql WHERE selected_rank > 5),
+wn AS (SELECT t.instance_id, t.selected_rank, n.path AS added FROM tl t JOIN nw n USING (instance_id, k) WHERE k <= 2 AND n.quality >= t.quality + 0.75)
+SELECT instance_id, selected_rank AS rank, coalesce(added, path) AS path, CASE WHEN added IS NOT NULL THEN path END AS replaced FROM ql LEFT JOIN wn USING (instance_id, selected_rank) WHERE selected_rank IS NOT NULL"""
+
 QUERIES = {
+    "u13_cross_round_frontier": (u13_cross_round_frontier, U13_SQL),
     "p22_path_role": (p22_path_role, f"WITH {ROLES_SQL} SELECT doc_id, path, role FROM roles"),
     "p23_path_language": (p23_path_language, rf"WITH {CAND_SQL}, x AS (SELECT doc_id, lower(regexp_extract(path, '(\.[^./]+)$', 1)) AS e FROM cand) SELECT doc_id, {_LANG} AS language FROM x"),
     "p26_allows_non_source": (
