@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.session import kept
+from ..operators import backends as B
 from ..operators import code as C
 from ..operators import flows as L
 from ..operators import metrics as M
@@ -202,6 +203,29 @@ def a13_flow_confidence(spark, sf_dir):
     return both.groupBy("term").agg(F.max_by("backend", F.struct("confidence", "backend")).alias("backend"), F.max("confidence").alias("confidence"))
 
 
+def _statement_backend(terms, files, lines, entities):
+    statements = L.term_statements(terms, files, lines)
+    flows = L.statement_flows(statements, L.statement_edges(statements, entities))
+    return flows.select("term", F.when(F.col("edges") > 0, "linked_statements").otherwise("statements").alias("flow_type"), "confidence")
+
+
+def _mention_backend(terms, files, lines, entities):
+    found = L.term_files(terms, files, 20).groupBy("term").agg(F.count("*").alias("files"))
+    return found.select("term", F.lit("mention").alias("flow_type"), F.round(F.least(F.lit(0.9), 0.04 * F.col("files")), 3).alias("confidence"))
+
+
+def x1_flow_backends(spark, sf_dir):
+    """Two backends, registered by name and run over all terms."""
+    terms, files, rows, entities, _ = _parsed(spark, sf_dir)
+    backends = B.FlowBackends(spark)
+    backends.register("statement", _statement_backend)
+    backends.register("mention", _mention_backend)
+    return backends.run(terms, files, rows, entities)
+
+
+X1_SQL = f"""WITH {STATEMENTS_SQL} SELECT 'statement' AS backend, term, CASE WHEN edges > 0 THEN 'linked_statements' ELSE 'statements' END AS flow_type, confidence FROM sflows
+UNION ALL SELECT 'mention', term, 'mention', round(least(0.9, 0.04 * count(*)), 3) FROM tf GROUP BY term"""
+
 _CHAIN_PART = CHAIN_SQL[len(TERMS_SQL) :]
 for _name in ("tf", "tl"):
     _CHAIN_PART = _CHAIN_PART.replace(f"{_name} AS (", f"c_{_name} AS (").replace(f"FROM {_name} ", f"FROM c_{_name} ").replace(f"JOIN {_name} ", f"JOIN c_{_name} ")
@@ -222,4 +246,5 @@ QUERIES = {
     "g16_static_slices": (g16_static_slices, f"WITH {SLICE_SQL} SELECT * FROM sf"),
     "p25_code_role": (p25_code_role, f"WITH {CHAIN_SQL} SELECT term, role, count(*) AS n FROM st GROUP BY ALL"),
     "a13_flow_confidence": (a13_flow_confidence, A13_SQL),
+    "x1_flow_backends": (x1_flow_backends, X1_SQL),
 }

@@ -121,3 +121,64 @@ def test_reproductions_that_do_not_decode(spark):
     assert [r.needs_browser for r in got] == [False, False, True, False, False, False, False]
     assert got[2].queries == ["codepen x pen abc", "pen", "abc"] and got[3].snippets[0].value == "%E0%A4%A" and got[4].snippets == []
     assert [tuple(s) for s in got[5].snippets] == [("a", "import xxxx", "base64-url")] and got[6].snippets[0].value == "b"
+
+
+def test_backends_are_checked_when_registered(spark):
+    from caseloc.operators.backends import FlowBackends
+
+    own = FlowBackends(spark)
+    with pytest.raises(TypeError, match="confidence double"):
+        own.register("bad", lambda terms, *_: terms.withColumn("flow_type", F.lit("x")))
+    own.register("good", lambda terms, *_: terms.select("term", F.lit("x").alias("flow_type"), F.lit(0.5).alias("confidence")))
+    with pytest.raises(ValueError):
+        own.register("good", lambda *_: None)
+    terms = spark.createDataFrame([("a",)], "term string")
+    assert [tuple(r) for r in own.run(terms, terms, terms, terms).collect()] == [("good", "a", "x", 0.5)]
+
+
+def test_edit_set_against_a_plain_loop(spark):
+    from caseloc.operators import closure
+
+    rng = random.Random(6)
+    covers, candidates, obligations, wanted = [], [], [], {}
+    for i in range(30):
+        names = [f"o{k}" for k in range(rng.randrange(1, 9))]
+        required = {o for o in names if rng.random() < 0.8}
+        pool = []
+        for rank in range(1, rng.randrange(2, 12)):
+            own = {o for o in names if rng.random() < 0.3}
+            covers += [(i, f"p{rank}", o) for o in own]
+            pool.append((rank, f"p{rank}", rng.randrange(5) / 4, rng.random() < 0.5, rng.randrange(4) / 4, own & required))
+        candidates += [(i, *c[:5]) for c in pool]
+        obligations += [(i, o, o in required) for o in names]
+        gap = lambda files: required - set().union(*[c[5] for c in pool if c[1] in files])  # noqa: B023, E731
+        files, rounds, added = ["p1"], 0, []
+        for _ in range(3):
+            rounds, left = rounds + 1, gap(files)
+            best = sorted((-(5.0 * len(c[5] & left) + c[2]), c[0], c[1]) for c in pool if c[5] & left and c[1] not in files)
+            added = [b[2] for b in best[: max(0, min(2, 6 - len(files)))]]
+            files = files + added
+            for _, _, _, path in sorted((c[3], c[4], -c[0], c[1]) for c in pool if c[1] in files):
+                if len(files) > 1 and gap([f for f in files if f != path]) == gap(files):
+                    files = [f for f in files if f != path]
+            if not added or not gap(files):
+                break
+        status = "complete" if not gap(files) else "budget_exhausted" if rounds >= 3 and added else "incomplete"
+        wanted[i] = (sorted(files), rounds, sorted(gap(files)), status)
+    got = closure.modification_closure(
+        spark.createDataFrame(covers, "instance_id int, path string, obligation string"),
+        spark.createDataFrame(candidates, "instance_id int, rank int, path string, extra double, target boolean, confidence double"),
+        spark.createDataFrame(obligations, "instance_id int, obligation string, required boolean"),
+    )
+    assert {r.instance_id: (list(r.files), r.rounds, sorted(r.missing), r.status) for r in got.collect()} == wanted
+
+
+def test_the_kth_challenger_meets_the_kth_weakest(spark):
+    from caseloc.operators import rounds
+
+    held = [(1, f"s{r}", 10.0 - r, r, True, r) for r in range(1, 9)]
+    others = [(1, "best", 9.0, 1, True, None), (1, "next", 3.6, 1, True, None), (1, "weak", 99.0, 1, False, None), (1, "third", 9.0, 2, True, None)]
+    rows = spark.createDataFrame(held + others, "instance_id int, path string, quality double, best int, strong boolean, selected_rank int")
+    got = {r.rank: (r.path, r.replaced) for r in rounds.cross_round_frontier(rows).collect()}
+    assert got[8] == ("best", "s8") and got[7] == ("third", "s7") and got[6] == ("s6", None) and len(got) == 8
+    assert {r.replaced for r in rounds.cross_round_frontier(rows, margin=7.0).collect()} == {None, "s8"}
