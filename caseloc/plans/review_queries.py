@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.session import kept
+from ..operators import followups as U
 from ..operators import reviews as R
 from .views import load
 
@@ -93,7 +94,50 @@ A10_SQL = """SELECT c_custkey AS instance_id, CASE WHEN c_custkey % 9 = 0 THEN '
   CASE c_custkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 3 END AS flows, CASE c_custkey % 4 WHEN 0 THEN '{}' WHEN 1 THEN '{"chain":1}' ELSE '{"chain":1,"slice":1,"unknown":1}' END AS backends,
   CASE c_custkey % 4 WHEN 0 THEN '{}' WHEN 1 THEN '{"a":1}' ELSE '{"b":2,"unknown":1}' END AS flow_types, 'a' || (c_custkey % 5) || '.py|b.py' AS top_files FROM customer"""
 
+# --- rounds of tool requests: each customer plans one ---
+
+
+def _tool_rounds(spark, sf_dir):
+    c = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("instance_id"))
+    tools = F.array(*[F.lit(t) for t in _TOOLS])
+    source = F.concat(F.lit("u"), F.col("instance_id").cast("string"))
+    planned = c.select("instance_id", F.get(tools, (F.col("instance_id") % 4).cast("int")).alias("tool"), source.alias("source"))
+    outcomes = c.select("instance_id", F.explode(tools).alias("tool"), source.alias("source")).selectExpr("*", f"{_SUCCESS} AS success", "instance_id % 8 = 0 AS requires_browser", "CASE WHEN instance_id % 7 < 3 THEN 'api_or_docs' ELSE 'page' END AS doc_kind")
+    return U.tool_rounds(planned, outcomes)
+
+
+_TOOLS = ("playground_decoder", "web_snapshot_fetcher", "vlm_image_inspector", "browser_reproduction_reader")
+_SUCCESS = "CASE tool WHEN 'browser_reproduction_reader' THEN instance_id % 5 > 1 ELSE instance_id % 3 <> 0 END"
+
+
+def p34_followup_requests(spark, sf_dir):
+    return _tool_rounds(spark, sf_dir)[0]
+
+
+def p34_round_stops(spark, sf_dir):
+    return _tool_rounds(spark, sf_dir)[1]
+
+
+def _next_sql(i: int) -> str:
+    rules = " UNION ".join(f"SELECT instance_id, '{tool}' AS tool FROM r{i} WHERE tool = '{ran}' AND {test}" for ran, test, tool, _, _ in U.RULES)
+    before = " AND ".join(f"(instance_id, tool) NOT IN (SELECT instance_id, tool FROM r{k})" for k in range(1, i + 1))
+    return f"""r{i + 1} AS (SELECT instance_id, tool, tool <> 'web_doc_reader' AND {_SUCCESS} AS success, tool <> 'web_doc_reader' AND instance_id % 8 = 0 AS requires_browser,
+  CASE WHEN tool <> 'web_doc_reader' AND instance_id % 7 < 3 THEN 'api_or_docs' ELSE 'page' END AS doc_kind FROM ({rules}) WHERE {before})"""
+
+
+ROUNDS_SQL = f"""r1 AS (SELECT instance_id, tool, {_SUCCESS} AS success, instance_id % 8 = 0 AS requires_browser, CASE WHEN instance_id % 7 < 3 THEN 'api_or_docs' ELSE 'page' END AS doc_kind FROM (
+  SELECT c_custkey AS instance_id, [{', '.join(repr(t) for t in _TOOLS)}][c_custkey % 4 + 1] AS tool FROM customer)),
+{_next_sql(1)}, {_next_sql(2)},
+rr AS (SELECT instance_id, 1 AS round_id, tool, success FROM r1 UNION ALL SELECT instance_id, 2, tool, success FROM r2 UNION ALL SELECT instance_id, 3, tool, success FROM r3)"""
+P34_SQL = f"WITH {ROUNDS_SQL} SELECT instance_id, round_id, tool, 'u' || instance_id AS source, success FROM rr"
+P34_STOPS_SQL = f"""WITH {ROUNDS_SQL}, l AS (SELECT instance_id, max(round_id) AS rounds FROM rr GROUP BY 1),
+a AS (SELECT instance_id, rounds, bool_or(success) AS ok FROM l JOIN rr USING (instance_id) WHERE round_id = rounds GROUP BY ALL)
+SELECT instance_id, rounds, CASE WHEN rounds = 3 THEN 'max_tool_rounds_reached' WHEN ok THEN 'successful_observations_and_no_new_followups' ELSE 'no_successful_observations_and_no_fallback_available' END AS reason,
+  CASE WHEN rounds = 3 THEN 0.6 WHEN ok THEN 0.7 ELSE 0.45 END AS confidence FROM a"""
+
 QUERIES = {
+    "p34_followup_requests": (p34_followup_requests, P34_SQL),
+    "p34_round_stops": (p34_round_stops, P34_STOPS_SQL),
     "u12_validate_reviews": (u12_validate_reviews, U12_SQL),
     "u12_review_stops": (u12_review_stops, U12_STOPS_SQL),
     "a9_llm_events": (a9_llm_events, A9_SQL),
