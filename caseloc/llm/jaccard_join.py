@@ -333,7 +333,14 @@ def similarity_links(classes: DataFrame, rows: DataFrame, similarity: float, wor
     together = (F.col("l.key") == F.col("r.key")) & (F.col("l.x") == F.col("r.x")) & (F.col("l.y") == F.col("r.y"))
     once = (F.least("l.mine", "r.mine") == F.col("l.x")) & (F.greatest("l.mine", "r.mine") == F.col("l.y"))
     many = left.join(right, together & once & apart & _may_be_alike(similarity) & _bits_allow(similarity))
-    pairs = scratch.written(few.unionByName(many.select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))).distinct(), "close")
+    # A pair has a row for each large meeting that it shares; of small ones it shares
+    # at most as many as the node that has fewer.
+    often = many.groupBy(F.col("l.id").alias("a"), F.col("r.id").alias("b")).agg(F.count("*").alias("k"))
+    ends = members.select("id", "n", "rest").distinct().join(low.groupBy("id").agg(F.count("*").alias("small")), "id", "left").na.fill(0, ["small"])
+    for x, name in (("a", "l"), ("b", "r")):
+        often = often.join(ends.select(F.col("id").alias(x), F.struct("n", "rest", "small").alias(name)), x)
+    many = often.where(_have_room(similarity, F.col("k") + F.least("l.small", "r.small"))).select("a", "b")
+    pairs = scratch.written(few.unionByName(many).distinct(), "close")
     found = _alike(pairs, sets, nodes, similarity)
     return found if links is None else links.unionByName(found)
 
