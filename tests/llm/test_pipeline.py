@@ -44,4 +44,4 @@ def test_stages_in_order(spark, tmp_path):
 
 def test_registry_names_each_operator_once():
     names = list(registry.queries())
-    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 14)]
