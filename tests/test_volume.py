@@ -1,4 +1,4 @@
-"""What jobs move: shuffles in plans, on small tables."""
+"""What jobs move: shuffles in plans that have run (first and last form), on small tables."""
 
 from caseloc.operators import code
 
@@ -13,3 +13,15 @@ def test_definitions_and_uses_meet_in_few_shuffles(spark):
     got = sorted(tuple(r)[:5] for r in found.collect())
     assert got == [("x", "a", 1, "a", 2), ("x", "a", 1, "b", 1), ("y", "b", 1, "a", 1)]
     assert shuffles(found) <= 4
+
+
+def test_terms_meet_files_without_postings(spark):
+    from caseloc.operators import search
+
+    files = spark.createDataFrame([("a", "xp50 P501 p5"), ("b", "q50q50, p50p50p50"), ("c", None), ("d", "")], "path string, text string")
+    wanted = spark.createDataFrame([("p50",), ("q50",), ("p501",), ("aa",)], "token string")
+    found = search.file_counts(wanted, files)
+    rows = sorted(map(tuple, found.collect()))
+    assert rows == [("p50", "a", 2), ("p50", "b", 3), ("p501", "a", 1), ("q50", "b", 2)]
+    assert rows == sorted(map(tuple, search.token_counts(wanted, search.postings(files)).collect()))
+    assert shuffles(found) <= 4
