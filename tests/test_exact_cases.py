@@ -124,3 +124,15 @@ def test_edit_set_covers_with_few_files(spark):
     covers = spark.createDataFrame([("i", "a", "x"), ("i", "a", "y"), ("i", "b", "y"), ("i", "c", "z")], "instance_id string, path string, obligation string")
     scores = spark.createDataFrame([("i", "a", 1.0), ("i", "b", 9.0), ("i", "c", 0.1)], "instance_id string, path string, score double")
     assert {r.path for r in policy.minimal_edit_set(covers, scores).collect()} == {"a", "c"}
+
+
+def test_requests_for_other_files_have_ascii_words(spark):
+    import duckdb
+
+    from caseloc.plans.policy_queries import _ALLOW
+
+    texts = ["fix the tests", "éfix the tests", "fix the testsé", "prefix the tests", "docs\x0bbug", "docs bug", "the docs\x0bare wrong", "docs are\twrong", "fixé tests", "Fix ü tests", "fix_ tests"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", policy.allows_non_source(F.col("t")).alias("a")).collect()
+    con = duckdb.connect()
+    want = {t: con.execute(f"SELECT {_ALLOW} FROM (SELECT lower(?) AS it)", [t]).fetchall()[0][0] for t in texts}
+    assert {r.t: r.a for r in rows} == want and want["éfix the tests"]
