@@ -25,3 +25,16 @@ def test_terms_meet_files_without_postings(spark):
     assert rows == [("p50", "a", 2), ("p50", "b", 3), ("p501", "a", 1), ("q50", "b", 2)]
     assert rows == sorted(map(tuple, search.token_counts(wanted, search.postings(files)).collect()))
     assert shuffles(found) <= 4
+
+
+def test_many_beginnings_are_not_listed_in_the_plan(spark):
+    from caseloc.operators import search
+
+    wanted = spark.range(10_000, 12_500).selectExpr("concat('k', id) AS token")
+    runs = wanted.selectExpr("concat('x', token, '_') AS run")
+    found = search.token_runs(wanted, runs.union(spark.createDataFrame([("zz9",)], "run string")))
+    assert found.count() == 2_500
+    many = spark.range(0, 5_000).selectExpr("concat(substring(hex(id + 65536), 2), 'z') AS token").selectExpr("lower(token) AS token")
+    plan = search.token_runs(many, many.selectExpr("concat('y', token) AS run"))
+    listed = plan._jdf.queryExecution().analyzed().toString()
+    assert plan.count() == 5_000 and "00a1" not in listed
