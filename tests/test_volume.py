@@ -38,3 +38,16 @@ def test_many_beginnings_are_not_listed_in_the_plan(spark):
     plan = search.token_runs(many, many.selectExpr("concat('y', token) AS run"))
     listed = plan._jdf.queryExecution().analyzed().toString()
     assert plan.count() == 5_000 and "00a1" not in listed
+
+
+def test_files_are_masked_and_read_without_a_shuffle(spark):
+    texts = {"a.js": "class A { /* x\nclass B {\n*/ class C {\nfunction f(x) { // class D\n}", "b.py": "def g():\n  class H:", "c.js": None, "d.js": "  if (x) {\n  run(x) {\n/* a */ /* b\nc\n*/ z */ (y) /*\n", "e.js": ""}
+    files = spark.createDataFrame(list(texts.items()), "path string, text string")
+    masked = code.masked_lines(files)
+    rows = sorted(map(tuple, masked.collect()))
+    assert rows == sorted(map(tuple, code.mask_comments(code.lines(files)).collect())) and len(rows) == 14
+    found = code.declarations(masked)
+    got = sorted(map(tuple, found.collect()))
+    assert got == sorted(map(tuple, code.entity_starts(code.mask_comments(code.lines(files))).collect()))
+    assert got == [("a.js", "class", "A", 1), ("a.js", "class", "C", 3), ("a.js", "function", "f", 4), ("b.py", "class", "H", 2), ("b.py", "function", "g", 1), ("d.js", "method", "run", 2)]
+    assert shuffles(found) == 0 and "Sort" not in found._jdf.queryExecution().executedPlan().toString()
