@@ -16,7 +16,8 @@ Two users of this idea:
   member loses no component and the rows stay linear.
 * ``near_duplicates``: documents with a similarity of 0.8 or more on five-word
   shingles. That is about 15 % of differing bits, far beyond an exact key, so
-  no fingerprint is used there: ``jaccard_join`` finds the groups exactly.
+  ``jaccard_join`` finds these groups exactly. ``drop_near_duplicates`` connects
+  them by linked fingerprints as well.
 """
 
 from __future__ import annotations
@@ -82,7 +83,7 @@ def _fingerprint_rows(words: int):
                 hashes = shingle_hashes(text.as_py(), words)
                 if len(hashes):
                     fps[i] = majority_bits(hashes)[0]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=[batch.schema.names[0], "fp"])
 
     return run
 
@@ -239,14 +240,36 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle_words: int
     return groups.join(kept, "root").select("doc_id", F.col("node").alias("text_md5"), "group_id", "keep_id", "keep_node")
 
 
+def text_fingerprints(docs: DataFrame, words: int = 3, distance: int = 2) -> DataFrame:
+    """(text_md5, fp_root): each distinct text of ``docs`` and the smallest
+    fingerprint that links of ``distance`` bits lead to, by pigeonring chains."""
+    texts = docs.select(text_key("text").alias("text_md5"), F.col("text").cast("string"))
+    each = texts.mapInArrow(_fingerprint_rows(words), "text_md5 string, fp long")
+    fps = written(each.distinct(), "text-simhash")
+    roots = connected_components(hamming_links(fps, distance)).withColumnRenamed("node", "fp")
+    return fps.join(roots, "fp", "left").select("text_md5", F.coalesce("root", "fp").alias("fp_root"))
+
+
+def with_fingerprint_links(groups: DataFrame, fingerprinted: DataFrame) -> DataFrame:
+    """``near_duplicates`` rows whose groups are joined where texts of both have
+    linked fingerprints (text_md5, fp_root)."""
+    placed = written(groups.select("text_md5", "group_id").distinct().join(fingerprinted, "text_md5"), "fingerprint-groups")
+    low = placed.groupBy("fp_root").agg(F.min("group_id").alias("b"))
+    met = placed.join(low, "fp_root").where("group_id <> b").select(F.col("group_id").alias("a"), "b")
+    roots = connected_components(met).withColumnRenamed("node", "group_id")
+    return groups.join(roots, "group_id", "left").withColumn("group_id", F.coalesce("root", "group_id")).select("doc_id", "text_md5", "group_id")
+
+
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` (all columns) without near copies: of each group the
     row with the smallest doc_id stays, once even if that row is repeated. If no
-    row of a group has a doc_id, one row with the smallest MD5 stays."""
-    groups = near_duplicates(docs, **options)
-    keepers = groups.where(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("text_md5") == F.col("keep_node"))).select(
-        F.col("doc_id").alias("_keep_id"), F.col("text_md5").alias("_keep_md5")
-    )
+    row of a group has a doc_id, one row with the smallest MD5 stays.
+
+    Groups are connected by SimHash fingerprints that differ in two bits or less,
+    and by an exact join on similarity that finds what fingerprints do not."""
+    groups = written(with_fingerprint_links(near_duplicates(docs, **options), text_fingerprints(docs)), "linked-groups")
+    first = F.min_by(F.struct("doc_id", "text_md5"), F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_md5"))
+    keepers = groups.groupBy("group_id").agg(first.alias("x")).select(F.col("x.doc_id").alias("_keep_id"), F.col("x.text_md5").alias("_keep_md5"))
     packed = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_id"), text_key("text").alias("_md5"))
     joined = packed.join(keepers, (F.col("_md5") == F.col("_keep_md5")) & F.col("_id").eqNullSafe(F.col("_keep_id")), "left_semi")
     return joined.dropDuplicates(["_md5", "_id"]).select("_row.*")

@@ -25,8 +25,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of exact and near copies (five-word shingles, a
-    similarity of 0.8 or more): the one with the smallest doc_id."""
+    """One row of each group of exact and near copies (SimHash fingerprints that
+    differ in two bits or less, or five-word shingles with a similarity of 0.8 or
+    more): the one with the smallest doc_id."""
     ship_package(spark)
     return drop_near_duplicates(docs)
 

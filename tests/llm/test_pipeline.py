@@ -45,3 +45,17 @@ def test_stages_in_order(spark, tmp_path):
 def test_registry_names_each_operator_once():
     names = list(registry.queries())
     assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 14)]
+
+
+def test_near_copies_are_linked_by_fingerprints_too(spark):
+    """Few distinct shingles that repeat: fingerprints are the same, sets of shingles are not alike."""
+    from caseloc.llm import simhash
+
+    said = "x y z " * 100
+    own = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, said + "one two three four five"), (2, said + "six seven eight nine ten"), (3, own), (5, own + " more"), (6, "x y z"), (None, said + "one two three four five")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert simhash.near_duplicates(docs).where("doc_id in (1, 2)").select("group_id").distinct().count() == 2
+    near = {r.doc_id: r.fingerprint for r in simhash.fingerprint_components(docs).collect()}
+    assert bin(int(near[1], 16) ^ int(near[2], 16)).count("1") <= 2
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs).collect()) == [1, 3, 6]
