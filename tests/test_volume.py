@@ -51,3 +51,11 @@ def test_files_are_masked_and_read_without_a_shuffle(spark):
     assert got == sorted(map(tuple, code.entity_starts(code.mask_comments(code.lines(files))).collect()))
     assert got == [("a.js", "class", "A", 1), ("a.js", "class", "C", 3), ("a.js", "function", "f", 4), ("b.py", "class", "H", 2), ("b.py", "function", "g", 1), ("d.js", "method", "run", 2)]
     assert shuffles(found) == 0 and "Sort" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_entities_and_masks_of_files_are_not_shuffled_again(spark):
+    from caseloc.plans import code_queries
+
+    data = "/root/testdata/sf0.001"
+    source = shuffles(code_queries.code_files(spark, data))
+    assert source == shuffles(code_queries.e2_extract_entities(spark, data)) == shuffles(code_queries.e5_mask_comments(spark, data))
