@@ -59,3 +59,24 @@ def test_entities_and_masks_of_files_are_not_shuffled_again(spark):
     data = "/root/testdata/sf0.001"
     source = shuffles(code_queries.code_files(spark, data))
     assert source == shuffles(code_queries.e2_extract_entities(spark, data)) == shuffles(code_queries.e5_mask_comments(spark, data))
+
+
+def test_calls_meet_targets_with_one_shuffle_of_names(spark):
+    from caseloc.operators import graph
+
+    calls = [("a/x.js", "one"), ("a/x.js", "one"), ("a/y.js", "pair"), ("b/z.js", "pair"), ("a/x.js", "many"), ("a/y.js", "own"), ("far/w.js", "gone")]
+    calls += [("lib/one/c.js", "word"), ("own/one.js", "self"), ("a/x.js", "near")]
+    symbols = [("one", "b/z.js"), ("pair", "a/y.js"), ("pair", "b/q.js"), ("own", "a/y.js"), ("self", "own/one.js"), ("self", "own/two.js"), ("self", "x/own/three.js")]
+    symbols += [("many", f"d{i}/m.js") for i in range(9)] + [("near", "a/1.js"), ("near", "a/2.js"), ("near", "b/3.js")] + [("word", f"p{i}/one/{i}.js") for i in range(2)] + [("word", f"p{i}/two/{i}.js") for i in range(9)]
+    c, s = spark.createDataFrame(calls, "path string, callee string"), spark.createDataFrame(symbols, "name string, path string")
+    found = graph.bounded_targets(c, s)
+    u, n, p = "unique_symbol", "same_directory_symbol", "path_related_symbol"
+    assert sorted(map(tuple, found.collect())) == [
+        ("a/x.js", "near", "a/1.js", n), ("a/x.js", "near", "a/2.js", n), ("a/x.js", "one", "b/z.js", u), ("a/y.js", "pair", "b/q.js", u), ("b/z.js", "pair", "b/q.js", n),
+        ("lib/one/c.js", "word", "p0/one/0.js", p), ("lib/one/c.js", "word", "p1/one/1.js", p), ("own/one.js", "self", "own/two.js", n),
+    ]
+    assert shuffles(found) <= 12
+    counts = graph.symbol_target_counts(c, s)
+    got = {(r.source, r.name): (r.targets, r.first) for r in counts.collect()}
+    assert got[("a/y.js", "pair")] == (1, "b/q.js") and got[("b/z.js", "pair")] == (2, "a/y.js") and got[("own/one.js", "self")] == (2, "own/two.js") and ("a/y.js", "own") not in got
+    assert len(got) == 7 and shuffles(counts) <= 8
