@@ -80,3 +80,29 @@ def test_calls_meet_targets_with_one_shuffle_of_names(spark):
     got = {(r.source, r.name): (r.targets, r.first) for r in counts.collect()}
     assert got[("a/y.js", "pair")] == (1, "b/q.js") and got[("b/z.js", "pair")] == (2, "a/y.js") and got[("own/one.js", "self")] == (2, "own/two.js") and ("a/y.js", "own") not in got
     assert len(got) == 7 and shuffles(counts) <= 8
+
+
+def test_ends_of_entities_move_texts_alone(spark):
+    from pyspark.sql import functions as F
+
+    texts = {"a.js": "class A {\n  run(x) { /* {\n*/ if (x) {\n    y();\n  } }\n}\nfunction f(q) {\n  return q; }\nfunction g(q)\n{\n  return 1\n}\nclass B { }\nfunction h(z) {", "b.py": "class H:\n\n  def g():\n    return 1\n  x = 1\ndef k():\n  return 2\n\n", "c.js": None, "e.js": ""}
+    files = spark.createDataFrame(list(texts.items()), "path string, text string")
+    rows, masked = code.lines(files), code.masked_lines(files)
+    plain = lambda df: sorted(map(tuple, df.collect()))
+    found = code.braced_entities(files)
+    got = plain(found)
+    assert got == plain(code.brace_entities(code.entity_starts(masked), masked)) and ("a.js", "class", "A", 1, 6) in got and ("a.js", "function", "g", 9, 12) in got and len(got) == 9
+    indented = code.indented_entities(files)
+    assert plain(indented) == plain(code.indent_entities(code.entity_starts(rows), rows)) and ("b.py", "class", "H", 1, 5) in plain(indented)
+    around = code.enclosing_declaration(files, F.col("line").contains("return"), ("class", "function"))
+    wanted = rows.where(F.col("line").contains("return")).select("path", F.col("line_no").alias("line"))
+    assert plain(around) == plain(code.enclosing_symbol(wanted, code.entity_starts(rows).where("kind <> 'method'"))) and len(plain(around)) == 4
+    assert [shuffles(x) for x in (found, indented, around)] == [2, 2, 2]  # one each, in both forms
+
+
+def test_imports_make_no_row_for_each_suffix(spark):
+    files = spark.createDataFrame([("a/x.js",), ("a/x.ts",), ("a/y/index.js",), ("a/z",), ("b/.js",)], "path string")
+    found = spark.createDataFrame([("a/m.js", "./x"), ("a/m.js", "./x.ts"), ("b/n.js", "../a/y"), ("a/m.js", "./z"), ("a/m.js", "z"), ("a/m.js", "./gone")], "path string, ref string")
+    hit = code.resolve_imports(found, files)
+    assert sorted(map(tuple, hit.collect())) == [("a/m.js", "./x", "a/x.js"), ("a/m.js", "./x.ts", "a/x.ts"), ("a/m.js", "./z", "a/z"), ("b/n.js", "../a/y", "a/y/index.js")]
+    assert "struct<target:string,prio:int>" not in hit._jdf.queryExecution().analyzed().toString() and "endswith" in hit._jdf.queryExecution().analyzed().toString().lower()
