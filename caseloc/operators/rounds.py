@@ -28,11 +28,15 @@ def frontier_quality(rounds: DataFrame, selected: DataFrame, flags: DataFrame, i
         F.sum(12.0 / (8.0 + F.col("rank"))).alias("places"), F.count("*").alias("times"), F.min("rank").alias("best"), F.max("direct").alias("direct")
     )
     own = selected.where(F.col("rank") <= top_k).select("instance_id", "path", F.col("rank").alias("selected_rank"))
-    rows = placed.join(own, ["instance_id", "path"], "full").join(flags, ["instance_id", "path"], "left").join(issues.select("instance_id", "issue_text"), "instance_id", "left")
-    rows = rows.na.fill(False, ["direct", "read", "grounded", "mechanism"]).na.fill(0.0, ["places", "confidence"]).na.fill(0, ["times"])
+    # A report is read once, not for each path, and only if it has paths.
     low = F.lower(F.replace(F.coalesce(F.try_url_decode("issue_text"), "issue_text", F.lit("")), F.lit("\\"), F.lit("/")))
     long = lambda text: F.array_distinct(F.filter(tokens(text), lambda t: F.length(t) >= 4))
-    rows = rows.withColumn("low", low).withColumn("shared", F.size(F.array_intersect(long(F.lower("path")), long(low))))
+    asked = placed.select("instance_id").unionByName(own.select("instance_id")).distinct()
+    told = issues.join(asked, "instance_id", "left_semi").select("instance_id", low.alias("low")).select("instance_id", "low", long(F.col("low")).alias("words"))
+    rows = placed.join(own, ["instance_id", "path"], "full").join(flags, ["instance_id", "path"], "left").join(told, "instance_id", "left")
+    rows = rows.withColumn("low", F.coalesce("low", F.lit(""))).withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
+    rows = rows.na.fill(False, ["direct", "read", "grounded", "mechanism"]).na.fill(0.0, ["places", "confidence"]).na.fill(0, ["times"])
+    rows = rows.withColumn("shared", F.size(F.array_intersect(long(F.lower("path")), "words")))
     grounded = F.col("grounded") & F.col("read")
     mechanism = F.col("mechanism") & grounded
     exact = (F.col("path") != "") & F.contains(F.col("low"), F.lower("path"))

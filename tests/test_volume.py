@@ -106,3 +106,24 @@ def test_imports_make_no_row_for_each_suffix(spark):
     hit = code.resolve_imports(found, files)
     assert sorted(map(tuple, hit.collect())) == [("a/m.js", "./x", "a/x.js"), ("a/m.js", "./x.ts", "a/x.ts"), ("a/m.js", "./z", "a/z"), ("b/n.js", "../a/y", "a/y/index.js")]
     assert "struct<target:string,prio:int>" not in hit._jdf.queryExecution().analyzed().toString() and "endswith" in hit._jdf.queryExecution().analyzed().toString().lower()
+
+
+def test_patches_are_sorted_once(spark):
+    from caseloc.operators import metrics
+
+    patch = "--- a/x.py\n+++ b/x.py\n@@ -1,3 +5,4 @@ f\n same\n-old\n+new\n+more\n\\ No newline\n@@ -9 +20 @@\n-gone\n+++ b/y.py\n@@ -1 +0,0 @@\n-all\ndiff --git\n+after"
+    found = metrics.changed_lines(spark.createDataFrame([(1, patch), (2, None), (3, "+x\n@@ -1 +3 @@\n+y")], "instance_id int, patch string"))
+    assert found._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
+    assert sorted(map(tuple, found.collect()), key=str) == [(1, "x.py", 20), (1, "x.py", 6), (1, "x.py", 7), (1, "y.py", 1), (3, None, 3)]
+
+
+def test_a_report_is_read_once_for_all_its_paths(spark):
+    from caseloc.operators import rounds
+
+    rows = spark.createDataFrame([(1, 1, 1, "src/legend", True), (1, 1, 2, "src/b.py", False)], "instance_id int, round_no int, rank int, path string, direct boolean")
+    flags = spark.createDataFrame([(1, "src/legend", True, False, False, "unlikely", 0.7)], "instance_id int, path string, read boolean, grounded boolean, mechanism boolean, role string, confidence double")
+    issues = spark.createDataFrame([(1, "the Legend%20fails"), (2, "x")], "instance_id int, issue_text string")
+    found = rounds.frontier_quality(rows, rows.where("rank = 2").select("instance_id", "rank", "path"), flags, issues)
+    assert {r.path: (r.quality, r.strong) for r in found.collect()} == {"src/legend": (14.733333, True), "src/b.py": (10.9, False)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "issue_text" not in plan.split("LeftOuter")[0] and "words" in plan.split("LeftOuter")[0]
