@@ -14,10 +14,10 @@ from .views import load
 
 
 def e16_changed_lines(spark, sf_dir):
-    li = load(spark, sf_dir, "lineitem")
-    line = F.col("l_linenumber")
-    hunk = F.concat(F.lit("@@ -1,3 +"), (line * 10).cast("string"), F.lit(",3 @@ x\n same\n-old\n+new\n+more"))
-    chunks = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", hunk.alias("h")))), lambda x: x["h"])
+    # Only keys are grouped; patches are written out where they are read.
+    li = load(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("item")).repartition("l_orderkey")
+    hunk = lambda x: F.concat(F.lit("@@ -1,3 +"), (x["l_linenumber"] * 10).cast("string"), F.lit(",3 @@ x\n same\n-old\n+new\n+more"))
+    chunks = F.transform(F.array_sort(F.collect_list("item")), hunk)
     head = F.concat(F.lit("--- a/o.py\n+++ b/src/o"), F.col("l_orderkey").cast("string"), F.lit(".py\n"))
     patches = li.groupBy("l_orderkey").agg(F.array_join(chunks, "\n").alias("body")).select(F.col("l_orderkey").alias("instance_id"), F.concat(head, "body").alias("patch"))
     return M.changed_lines(patches)
