@@ -2,27 +2,13 @@
 
 from __future__ import annotations
 
-import shutil
 import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-_shipped: set[str] = set()
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors once for each application, so that
-    Python workers can import it wherever the driver was started."""
-    context = spark.sparkContext
-    if context.applicationId not in _shipped:
-        root = Path(__file__).resolve().parents[1]
-        archive = shutil.make_archive(f"{tempfile.mkdtemp()}/{root.name}", "zip", root.parent, root.name)
-        context.addPyFile(archive)
-        _shipped.add(context.applicationId)
+from ..functions.session import ship_package
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -127,3 +127,37 @@ def test_a_report_is_read_once_for_all_its_paths(spark):
     assert {r.path: (r.quality, r.strong) for r in found.collect()} == {"src/legend": (14.733333, True), "src/b.py": (10.9, False)}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "issue_text" not in plan.split("LeftOuter")[0] and "words" in plan.split("LeftOuter")[0]
+
+
+def test_searches_leave_texts_whole_and_give_the_rows_of_the_joins(spark, monkeypatch):
+    from caseloc.operators import search, tops
+
+    words = ["alpha", "Beta_gamma", "getUser", "x1.y2", "de", "l'été"]
+    texts = [" ".join(words[(i * k) % 6] * (1 + i % 3) for k in range(i % 7)) + (" whole Alpha getuser text" if i % 4 == 0 else "") for i in range(60)]
+    files = spark.createDataFrame([(f"src/{words[i % 6]}/{i}.py", t) for i, t in enumerate(texts)] + [("src/none.py", None)], "path string, text string")
+    entities = files.selectExpr("substring(path, 1, 9) AS path", "substring(coalesce(text, ''), 1, 6) AS name", "text")
+    asked = [(1, "alpha getUser"), (1, "Whole alpha getUser text"), (2, "Beta_gamma x1.y2 beta_gamma"), (3, "12"), (4, "alpha getUser"), (4, "Whole alpha getUser text"), (5, None)]
+    queries = spark.createDataFrame(asked, "query_id int, query string")
+    plain = lambda df: sorted(map(str, df.collect()))
+    found, held = search.search_and_hold(queries, files, 5)
+    assert shuffles(search.search_files(queries, files, 5)) <= 4
+    got = [plain(x) for x in (found, held, search.search_files(queries, files, 5), search.search_entities(queries, entities, 5))]
+    assert got[0] == got[2] and len(got[0]) == 15 and len(got[1]) == 66
+    monkeypatch.setattr(tops, "HELD", 0)
+    assert got[2:] == [plain(search.search_files(queries, files, 5)), plain(search.search_entities(queries, entities, 5))]
+    monkeypatch.setattr(tops, "CELLS", 0)
+    joined, whole = search.search_and_hold(queries, files, 5)
+    assert got == [plain(joined), plain(whole), plain(search.search_files(queries, files, 5)), plain(search.search_entities(queries, entities, 5))]
+
+
+def test_texts_of_pools_are_lowered_once(spark):
+    from caseloc.operators import search
+
+    files = spark.createDataFrame([("a.py", "Legend legend"), ("b.py", "no"), ("c.py", None)], "path string, text string")
+    queries = spark.createDataFrame([(1, "Legend shows"), (2, "legend")], "query_id int, query string")
+    pool = spark.createDataFrame([(1, "a.py"), (1, "b.py"), (2, "gone.py")], "query_id int, path string")
+    found = search.scoped_search_files(queries, pool, files)
+    assert sorted(map(tuple, found.collect())) == [(1, 1, "a.py", 2.0), (2, 1, "a.py", 7.5)]
+    named = search.scoped_search_entities(queries, pool, files.selectExpr("path", "'Legend' AS name", "text"))
+    for df in (found, named):
+        assert "lower(substring(" not in df._jdf.queryExecution().optimizedPlan().toString()
