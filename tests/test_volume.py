@@ -161,3 +161,13 @@ def test_texts_of_pools_are_lowered_once(spark):
     named = search.scoped_search_entities(queries, pool, files.selectExpr("path", "'Legend' AS name", "text"))
     for df in (found, named):
         assert "lower(substring(" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_entities_of_a_symbol_are_picked_before_queries_meet_them(spark):
+    from caseloc.operators import search
+
+    symbols = spark.createDataFrame([(1, "Foo"), (2, "foo"), (2, "gone")], "query_id int, symbol string")
+    found = search.exact_symbol_lane(symbols, spark.createDataFrame([("c", "foo"), ("a", "FOO"), ("b", "foo"), ("d", "bar")], "path string, name string"), 2)
+    assert sorted(map(tuple, found.collect())) == [(q, "foo", p, n) for q in (1, 2) for p, n in (("a", "FOO"), ("b", "foo"))]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Window")
