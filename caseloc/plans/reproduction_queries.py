@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.session import dealt
 from ..operators import reproduction as R
 from .views import load, sql_list
 
 
 def _links(spark, sf_dir):
-    return load(spark, sf_dir, "customer").selectExpr("c_custkey AS id", f"{_URL.format(base64='base64(encode({}, ' + chr(39) + 'utf-8' + chr(39) + '))').replace('{}', _CODE)} AS url")
+    return dealt(load(spark, sf_dir, "customer").select("c_custkey"), "c_custkey").selectExpr("c_custkey AS id", f"{_URL.format(base64='base64(encode({}, ' + chr(39) + 'utf-8' + chr(39) + '))').replace('{}', _CODE)} AS url")
 
 
 _CODE = """'import { a' || c_custkey || ' } from "lib' || c_custkey % 9 || '"; const onLeave' || c_custkey || ' = legendOption?x:y;'"""

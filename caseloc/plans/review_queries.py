@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.session import kept
+from ..functions.session import dealt, kept
 from ..operators import followups as U
 from ..operators import reviews as R
 from .views import load
@@ -62,7 +62,7 @@ U12_STOPS_SQL = f"""WITH {REVIEWED_SQL} SELECT d.instance_id, CASE d.instance_id
 
 
 def _results(spark, sf_dir):
-    customers = load(spark, sf_dir, "customer")
+    customers = dealt(load(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"), "c_custkey")
     return customers.selectExpr("c_custkey AS instance_id", f"parse_json({_RESULT}) AS result")
 
 

@@ -171,3 +171,10 @@ def test_entities_of_a_symbol_are_picked_before_queries_meet_them(spark):
     assert sorted(map(tuple, found.collect())) == [(q, "foo", p, n) for q in (1, 2) for p, n in (("a", "FOO"), ("b", "foo"))]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join") < plan.index("Window")
+
+
+def test_links_and_results_are_dealt_out_before_they_are_parsed(spark):
+    from caseloc.plans import reproduction_queries, review_queries
+
+    for df in (reproduction_queries._links(spark, "/root/testdata/sf0.001"), review_queries._results(spark, "/root/testdata/sf0.001")):
+        assert "REPARTITION_BY_NUM" in df._jdf.queryExecution().executedPlan().toString()
