@@ -178,3 +178,11 @@ def test_links_and_results_are_dealt_out_before_they_are_parsed(spark):
 
     for df in (reproduction_queries._links(spark, "/root/testdata/sf0.001"), review_queries._results(spark, "/root/testdata/sf0.001")):
         assert "REPARTITION_BY_NUM" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_written_tables_take_little_room(spark):
+    from caseloc.functions.session import kept
+
+    rows = spark.createDataFrame([(1, "a" * 50)], "id int, text string")
+    table = kept(rows, "room")
+    assert table.collect() == rows.collect() and all(f.endswith(".zstd.parquet") for f in table.inputFiles())
