@@ -186,3 +186,12 @@ def test_written_tables_take_little_room(spark):
     rows = spark.createDataFrame([(1, "a" * 50)], "id int, text string")
     table = kept(rows, "room")
     assert table.collect() == rows.collect() and all(f.endswith(".zstd.parquet") for f in table.inputFiles())
+
+
+def test_all_entities_of_a_symbol_are_given(spark):
+    from caseloc.operators import search
+
+    symbols = spark.createDataFrame([(1, "FOO"), (1, "foo"), (2, "Foo"), (2, "gone")], "query_id int, symbol string")
+    entities = spark.createDataFrame([(f"p{i}", "foo" if i % 2 else "Foo") for i in range(9)] + [("q", "bar")], "path string, name string")
+    found = search.exact_symbol_lane(symbols, entities)
+    assert sorted(map(tuple, found.collect())) == [(q, "foo", f"p{i}", "foo" if i % 2 else "Foo") for q in (1, 2) for i in range(9)]
