@@ -207,3 +207,46 @@ def test_a_text_is_looked_at_once_for_all_its_names(spark):
     assert got == [(1, 0, "SelectorCache"), (2, 0, "Rename"), (3, 0, "foo_bar"), (3, 1, "parse_all"), (3, 2, "onLeave"), (4, 0, "lowercase"), (8, 0, "x_yz")]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "trim(" in plan and "trim(" not in plan[: plan.index("Generate")]
+
+
+def test_path_probes_take_short_lists_and_lose_no_path(spark):
+    import random
+    import re
+
+    from caseloc.operators import search
+
+    dice = random.Random(4)
+    paths = [f"{dice.choice(('src1', 'src12', 'lib'))}/{dice.choice(('core', 'en', 'Deep/core'))}/{i}{dice.choice(('.txt', '.md', '_core.txt'))}" for i in range(60)]
+    asked = [(i, q) for i, p in enumerate(paths[:20]) for q in (p, p.split("/", 1)[1], p.rsplit("/", 1)[0], p.replace("txt", "py"), "src1 core text none", "core/txt/lib.none")]
+    asked += [(90, "see src1/core then lib/core or deep/core and 1.txt, core.txt/txt src12 core_txt"), (91, "'./src1/'"), (92, "a b"), (93, None)]
+
+    def parts(text):
+        found = [t for m in re.findall("[A-Za-z_][A-Za-z0-9_.$-]*", text) for t in (re.sub(r"^[._$-]+|[._$-]+$", "", m.lower()), *re.sub("([a-z0-9])([A-Z])", r"\1 \2", m).lower().split(" "))]
+        return [t for t in found if len(t) >= 2]
+
+    def judged(text, path):
+        probe, low, bare = re.sub(r"^(?:\./)+", "", text.strip().strip("'\"`")).lower(), path.lower(), lambda x: re.sub(r"\.[a-z0-9]{1,5}$", "", x)
+        slash, t = "/" in probe, [x for x in parts(probe) if len(x) >= 3]
+        if not probe or not (slash or re.search(r"\.[a-z0-9]{1,5}\b", probe) or (3 <= len({x for x in parts(probe) if len(x) >= 4}) <= 8 and len(probe) <= 120)):
+            return None
+        if probe in low:
+            return (96.0, 0, "exact") if probe == low else (82.0, -1, "prefix") if low.startswith(probe) else (62.0, -2, "substring")
+        if len(bare(probe)) >= 8 and bare(probe) in bare(low):
+            return 42.0, -3, "stem"
+        n = sum(x in low for x in t)
+        need = min(4, max(2, len(t) - 1)) if slash else min(4, max(3, len(set(t)) - 1))
+        return ((12.0 + 4 * n if slash else 18.0 + 6 * n), -4, "overlap") if t and n >= need else None
+
+    for limit in (3, 40):
+        want = []
+        for q in {q for q, _ in asked}:
+            best = {p: max(got) for p in set(paths) if (got := [j for a, text in asked if a == q and text and (j := judged(text, p))])}
+            order = sorted(best, key=lambda p: (-best[p][0], p))[:limit]
+            want += [(q, i + 1, p, best[p][0], best[p][2]) for i, p in enumerate(order)]
+        queries, files = spark.createDataFrame(asked, "query_id int, query string"), spark.createDataFrame([(p,) for p in paths], "path string")
+        assert sorted(map(tuple, search.path_probe(queries, files, limit).collect())) == sorted(want)
+
+    many = spark.range(300).selectExpr("concat('a/web/', id, '.txt') AS path", "concat('a/web/', id, '.txt') AS low")
+    probes = many.selectExpr("concat('web/', path, '.txt') AS probe")
+    few = search._shared_tokens(probes, many, spark.createDataFrame([], "probe string, path string"), 5)
+    assert few.count() == 300 * 5 and few.where("n <> 4").count() == 0
