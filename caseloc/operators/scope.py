@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.session import kept
+from ..functions.session import dealt, kept
 from ..functions.text import normalize_path
 from . import search as S
 from .policy import path_role, source_weights
@@ -35,14 +35,17 @@ def prefilter_queries(queries: DataFrame, seeds: DataFrame, most: int = QUERIES)
 
 def semantic_paths(terms: DataFrame, files: DataFrame, most: int = SEMANTIC) -> DataFrame:
     """(instance_id, path, score): paths with the terms (instance_id, term; single
-    words in lower case), the ``most`` best. Paths meet terms by an index of words."""
+    words in lower case), the ``most`` best. Paths meet terms by an index of words,
+    and are scored once for all instances with the same terms."""
     wanted = terms.select(F.col("term").alias("token")).distinct()
     posted = S.postings(files.select("path", normalize_path("path").alias("text")))
-    met = terms.withColumnRenamed("term", "token").join(S.token_counts(wanted, posted), "token").select("instance_id", "path").distinct()
-    lists = terms.groupBy("instance_id").agg(F.sort_array(F.collect_set("term")).alias("terms"))
-    rows = met.join(lists, "instance_id").select("instance_id", "path", path_semantic(F.col("path"), F.col("terms")).alias("score"))
-    order = Window.partitionBy("instance_id").orderBy(F.desc("score"), "path")
-    return rows.where("score > 0").withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).drop("n")
+    lists = kept(terms.groupBy("instance_id").agg(F.sort_array(F.collect_set("term")).alias("terms")), "scope-terms")
+    once = kept(lists.select("terms").distinct().withColumn("id", F.monotonically_increasing_id()), "term-lists")
+    met = once.select("id", F.explode("terms").alias("token")).join(S.token_counts(wanted, posted), "token").select("id", "path").distinct()
+    rows = dealt(met, "path").join(once, "id").select("id", "path", path_semantic(F.col("path"), F.col("terms")).alias("score"))
+    order = Window.partitionBy("id").orderBy(F.desc("score"), "path")
+    best = rows.where("score > 0").withColumn("n", F.row_number().over(order)).where(F.col("n") <= most)
+    return lists.join(once, "terms").join(best, "id").select("instance_id", "path", "score")
 
 
 def graph_scope(

@@ -250,3 +250,15 @@ def test_path_probes_take_short_lists_and_lose_no_path(spark):
     probes = many.selectExpr("concat('web/', path, '.txt') AS probe")
     few = search._shared_tokens(probes, many, spark.createDataFrame([], "probe string, path string"), 5)
     assert few.count() == 300 * 5 and few.where("n <> 4").count() == 0
+
+
+def test_paths_are_scored_once_for_instances_with_the_same_terms(spark):
+    from caseloc.operators import scope
+
+    files = spark.createDataFrame([("src/core/a.py",), ("src/b.py",), ("docs/corelib.md",), ("x.py",)], "path string")
+    terms = spark.createDataFrame([(i, t) for i in range(40) for t in ("src", "core")] + [(50, "docs"), (51, "gone"), (52, "core")], "instance_id int, term string")
+    found = scope.semantic_paths(terms, files, 2)
+    want = [(i, p, s) for i in range(40) for p, s in (("src/core/a.py", 24.0), ("src/b.py", 6.0))]
+    assert sorted(map(tuple, found.collect())) == sorted([*want, (50, "docs/corelib.md", 6.0), (52, "src/core/a.py", 6.0), (52, "docs/corelib.md", 3.0)])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(id#" in plan and "windowspecdefinition(instance_id#" not in plan
