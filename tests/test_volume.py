@@ -262,3 +262,21 @@ def test_paths_are_scored_once_for_instances_with_the_same_terms(spark):
     assert sorted(map(tuple, found.collect())) == sorted([*want, (50, "docs/corelib.md", 6.0), (52, "src/core/a.py", 6.0), (52, "docs/corelib.md", 3.0)])
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "windowspecdefinition(id#" in plan and "windowspecdefinition(instance_id#" not in plan
+
+
+def test_lists_of_names_are_not_sent_to_the_driver(spark, monkeypatch):
+    from caseloc.functions.session import kept
+    from caseloc.operators import edges, graph, search
+
+    page = spark.createDataFrame([(f"ui/v{i}.jsx", f'<div className="box-n{i % 3} card" />') for i in range(40)], "path string, text string")
+    other = spark.createDataFrame([("s.css", ".box-n0 {}\n#card {}"), ("c.json", '{"box-n1": 1}'), ("d.md", "see v7.jsx and V8")], "path string, text string")
+    files = kept(page.unionByName(other), "files")
+    raw = edges.style_config_doc_edges(files)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    shown = []
+    for most in (search.SENT, 0):
+        monkeypatch.setattr(search, "SENT", most)
+        found = graph.add_edges(edges.style_config_doc_edges(files), files, False)
+        shown.append((sorted(map(tuple, found.collect())), sorted(map(tuple, search.token_counts(files.selectExpr("'box' AS token").distinct(), search.postings(files)).collect()))))
+    assert shown[0] == shown[1] and len(shown[0][0]) == 14 + 40 + 13 + 1 and len(shown[0][1]) == 42
+    assert "BroadcastExchange" not in plan(edges.class_styles(files)) and "BroadcastHashJoin" not in plan(graph.add_edges(kept(raw, "raw"), files))
