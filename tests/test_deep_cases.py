@@ -182,3 +182,12 @@ def test_the_kth_challenger_meets_the_kth_weakest(spark):
     got = {r.rank: (r.path, r.replaced) for r in rounds.cross_round_frontier(rows).collect()}
     assert got[8] == ("best", "s8") and got[7] == ("third", "s7") and got[6] == ("s6", None) and len(got) == 8
     assert {r.replaced for r in rounds.cross_round_frontier(rows, margin=7.0).collect()} == {None, "s8"}
+
+
+def test_texts_of_entities_are_cut_from_whole_files(spark):
+    code = {"a/b.js": "class A {\n  run(x) {\n    y\n  }\n}\ntail", "c.d.py": "z = 1\n", "e.js": None}
+    files = spark.createDataFrame(list(code.items()), "path string, text string")
+    found = spark.createDataFrame([("a/b.js", "method", "run", 2, 4), ("a/b.js", "class", "A", 1, 85), ("a/b.js", "class", "A", 1, 85), ("a/b.js", "import", "q", 1, 1)], "path string, kind string, name string, start_line int, end_line int")
+    entities = interflow.flow_entities(found, files)
+    got = [(r.path, r.kind, r.name, r.start_line, r.text) for r in entities.orderBy("id").collect()]
+    assert got == [("a/b.js", "class", "A", 1, code["a/b.js"]), ("a/b.js", "method", "run", 2, "  run(x) {\n    y\n  }"), ("c.d.py", "module", "c.d", 1, "z = 1\n"), ("e.js", "module", "e", 1, None)]
