@@ -191,3 +191,13 @@ def test_texts_of_entities_are_cut_from_whole_files(spark):
     entities = interflow.flow_entities(found, files)
     got = [(r.path, r.kind, r.name, r.start_line, r.text) for r in entities.orderBy("id").collect()]
     assert got == [("a/b.js", "class", "A", 1, code["a/b.js"]), ("a/b.js", "method", "run", 2, "  run(x) {\n    y\n  }"), ("c.d.py", "module", "c.d", 1, "z = 1\n"), ("e.js", "module", "e", 1, None)]
+
+
+def test_names_that_nobody_calls_are_not_counted(spark, monkeypatch):
+    written = {}
+    monkeypatch.setattr(interflow, "kept", lambda df, name: written.setdefault(name, df))
+    rows = [(i, f"src/p{i}/f.py", "function", f"idle{i}", f"idle{i}", 1, "x") for i in range(6)] + [(10, "src/a/g.py", "function", "once", "once", 1, "y"), (11, "src/z/h.py", "function", "caller", "caller", 1, "z")]
+    entities = spark.createDataFrame(rows, "id long, path string, kind string, name string, symbol string, start_line int, text string")
+    found = interflow.resolved_calls(spark.createDataFrame([(11, "once"), (11, "gone")], "id long, symbol string"), entities)
+    assert [tuple(r) for r in found.collect()] == [(11, "once", 10)]
+    assert [r.symbol for r in written["declared"].collect()] == ["once"]
